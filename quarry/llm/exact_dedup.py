@@ -36,7 +36,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Of equal normalised texts the row with the most code points in its original text stays, then the smallest id.
     Nulls: a null text is empty; a null id comes after every other id and can only stay where no other id has as
@@ -60,6 +60,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "group_size",
         (F.col("row_id").eqNullSafe(F.col("best.i")) & (F.col("n") == -F.col("best.m"))).alias("kept"),
         "text_sha256",
+        F.col("n").alias("n_chars"),
     )
 
 
@@ -68,12 +69,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows repeated in full with the staying id are one document and come back once.
     """
-    kept = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__norm_sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("__n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__norm_sha") == F.col("__sha"))
-    stay = marked.join(kept, match, "left_semi")
-    # a repeated id may stand at both a longer and a shorter copy; the longest original of each text stays
-    clash = stay.groupBy("__norm_sha").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__top")).where("__c > 1")
-    once = stay.join(clash.select("__norm_sha"), "__norm_sha", "left_anti")
-    several = stay.join(clash, "__norm_sha").where("__n = __top").drop("__c", "__top").dropDuplicates(["__norm_sha"])
-    return once.unionByName(several).select(*docs.columns)
+    keys = ["__sha", "__n", "__none", "__id"]
+    kept = duplicate_groups(docs, id_col, text_col).where("kept")
+    lengths = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("__n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = lengths.withColumn("__none", F.col(id_col).isNull()).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    stays = kept.select(F.col("text_sha256").alias("__sha"), "n_chars", F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"))
+    stay = marked.join(stays.withColumnRenamed("n_chars", "__n").withColumn("__n", F.col("__n").cast("int")).distinct(), keys, "left_semi")
+    return stay.dropDuplicates(keys).select(*docs.columns)  # dealt by these keys already
