@@ -4,26 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import exact_dedup, mixing, packed_ids, sentencepiece_codec, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), words=3, radius=3)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(_documents(spark, sf_dir)).drop("repeats")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf_dir)).drop("n_chars")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_documents(spark, sf_dir), shards=16)
+
+
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.encode_and_read_back(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_packed_ids": op8_packed_ids,
 }
 
 ORACLES: dict[str, str] = {
