@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, mixing, packed_ids, sentencepiece_codec, sharding, simhash
+from quarry.llm import exact_dedup, fingerprints, mixing, packed_ids, secrets, sentencepiece_codec, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_documents(spark, sf_dir)).drop("repeats")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf_dir)).drop("n_chars")
 
@@ -38,13 +42,20 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.encode_and_read_back(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for an owner, a document for a repository."""
+    return secrets.scan_secrets(_documents(spark, sf_dir), owner_col="source", repo_col="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_packed_ids": op8_packed_ids,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
