@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, fingerprints, mixing, packed_ids, quality, secrets, sentencepiece_codec, sharding, simhash
+from quarry.llm import exact_dedup, fingerprints, html_tree, mixing, packed_ids, quality, secrets, sentencepiece_codec, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir), owner_col="source", repo_col="doc_id")
 
 
+def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), html_tree.trained())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_packed_ids": op8_packed_ids,
     "op9_secrets": op9_secrets,
+    "op10_html_tree": op10_html_tree,
 }
 
 ORACLES: dict[str, str] = {
