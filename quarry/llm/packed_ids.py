@@ -39,6 +39,7 @@ ESCAPE = 15
 GROUP = 4096  # ids between two offsets
 BLOCK = 1 << 17  # ids after which a block is closed
 _ROOM = 800_000  # words a worker's table holds before it begins anew
+_CHARS = 1 << 19  # characters tokenized at a time, whole documents
 _HEAD = struct.Struct("<4sIIQII")
 _COUNT = np.array([*COUNTS, 1], np.int64)
 
@@ -54,13 +55,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = int(values.max()).bit_length()
     best = np.full(n, ESCAPE, np.int8)
     at = np.arange(n)
+    small = values.astype(np.uint32) if top <= 32 else values
     for selector in range(next((i for i, w in enumerate(WIDTHS) if w >= top), len(WIDTHS) - 1), -1, -1):
         count, width = COUNTS[selector], WIDTHS[selector]
         if width >= top:
             best[:] = selector
             continue
         big = np.zeros(n + 1, np.int32)
-        np.cumsum(values >= np.uint64(1 << width), out=big[1:])
+        np.cumsum(small >= small.dtype.type(1 << width), out=big[1:])
         fits = big[np.minimum(at + count, group_end)] == big[:-1]
         if not fits.any():
             break
@@ -204,7 +206,7 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.table, self.filled = _Numbers(), 0
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.start, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)  # under 2**31 ids in all, with _ROOM words
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,10 +233,14 @@ class WordTokenizer:
         found[owner] = joined
         found[~owner] = np.fromiter(chain.from_iterable(rest), np.uint32)
         if self.filled + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.filled], np.empty(len(self.flat) + total, np.uint32)])
+            self.flat = np.resize(self.flat, 2 * (self.filled + total))
         self.flat[self.filled : self.filled + total] = found
-        self.start = np.concatenate([self.start, self.filled + ends - sizes])
-        self.count = np.concatenate([self.count, sizes])
+        known = len(self.table) - len(words)
+        if len(self.table) > len(self.start):
+            room = 2 * len(self.table)
+            self.start, self.count = np.resize(self.start, room), np.resize(self.count, room)
+        self.start[known : len(self.table)] = self.filled + ends - sizes
+        self.count[known : len(self.table)] = sizes
         self.filled += total
 
     def _words(self, text: str) -> list[str]:
@@ -257,12 +263,13 @@ class WordTokenizer:
         known = len(self.table)
         parts = [self._words(t) for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.table.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.table.__getitem__, chain.from_iterable(parts)), np.int32, int(sizes.sum()))
         if len(self.table) > known:
             self._learn(list(islice(self.table, known, None)))
         n = self.count[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)]
         edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
         return ids, np.diff(edge)
 
@@ -301,8 +308,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             return out
 
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                rows = batch[i : i + 64]
+            size = batch["t"].str.len().cumsum() // _CHARS
+            for _, rows in batch.groupby(size, sort=True):
                 ids, sizes = used.encode(rows["t"].tolist())
                 ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
                 names += [None if z else int(x) for x, z in zip(rows["id"], rows["none"])]
