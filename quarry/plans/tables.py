@@ -47,7 +47,7 @@ TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}
 QUESTIONS = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 GOLD = "gold AS (SELECT query_id, doc_id FROM q JOIN documents ON contains(text, query) AND query <> '')"
 PASSAGES = r"""lines AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(s)), lambda i: {'n': i - 1, 'content': s[i],
-        'start_offset': coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x) + 1)), 0)})) AS r
+        'start_offset': coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT})) AS r
         FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
     passages AS (SELECT doc_id, r.n AS n, r.start_offset AS start_offset, r.start_offset + length(r.content) AS end_offset, r.content AS content FROM lines WHERE r.content <> '')"""
 
