@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -30,7 +31,12 @@ def session(name: str = "quarry", cores: int | str = "*", partitions: int = 8, *
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so their Python finds it wherever they run."""
+    """Send this package to the executors once a context, so their Python finds it wherever they run.
+
+    Arrow batches of a session that still has the default size are made smaller: ten thousand long texts at once are too many.
+    """
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "1000")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
