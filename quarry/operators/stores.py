@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,49 @@ def first_valid(*values: Column) -> Column:
 
 def allowed_attributes(attributes: Column, names: list[str]) -> Column:
     return F.map_filter(attributes, lambda k, _: k.isin(*names))
+
+
+MOST_TURNS, MOST_QUESTIONS = 100, 200
+
+
+def append_turns(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Conversations (conversation_id, turn_no, run_id, ...) with new rows, which have no turn_no, after the last of each.
+
+    A run that is there already changes nothing. Raises where a conversation would have over MOST_TURNS turns.
+    """
+    fresh = new.join(stored.select("conversation_id", "run_id"), ["conversation_id", "run_id"], "left_anti").dropDuplicates(["conversation_id", "run_id"])
+    last = stored.groupBy("conversation_id").agg(F.max("turn_no").alias("__last"))
+    order = Window.partitionBy("conversation_id").orderBy("run_id")
+    fresh = fresh.join(last, "conversation_id", "left").withColumn("turn_no", (F.coalesce("__last", F.lit(0)) + F.row_number().over(order)).cast("int")).drop("__last")
+    both = stored.unionByName(fresh.select(*stored.columns))
+    if both.groupBy("conversation_id").count().where(F.col("count") > MOST_TURNS).limit(1).count():
+        raise ValueError(f"a conversation has {MOST_TURNS} turns at most")
+    return both
+
+
+def check_questions(questions: DataFrame) -> None:
+    """Raise for a question set that is too long or repeats ids."""
+    n, ids = questions.agg(F.count(F.lit(1)), F.count_distinct("question_id")).first()
+    if n > MOST_QUESTIONS or ids != n:
+        raise ValueError(f"a set has {MOST_QUESTIONS} questions with ids of their own")
+
+
+def interrupted(batches: DataFrame, running: list[str]) -> DataFrame:
+    """Batches whose status says running though no run holds them are interrupted."""
+    dead = (F.col("status") == "running") & ~F.col("batch_id").isin(*(running or [""]))
+    return batches.withColumn("status", F.when(dead, "interrupted").otherwise(F.col("status")))
+
+
+def keyed_identity(value: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a value in hex, from built-in hashes: the same in every engine that knows the key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    digest = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), value.cast("binary")), 256))
+    return F.sha2(F.concat(F.lit(bytearray(outer)), digest), 256)
+
+
+def span_totals(spans: DataFrame) -> DataFrame:
+    """(trace_id, operation): number, failures, time, and time that isn't spent in child spans."""
+    inside = spans.groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("inside"))
+    own = spans.join(inside, ["trace_id", "span_id"], "left").withColumn("own", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("inside", F.lit(0.0))))
+    return own.groupBy("trace_id", "operation").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "ok").alias("failures"), F.sum("duration_ms").alias("ms"), F.sum("own").alias("own_ms"))

@@ -1,0 +1,18 @@
+"""The engine's tables."""
+
+from __future__ import annotations
+
+SOURCES = "scope_id string, path string, size long, modified timestamp, revision string"
+DOCUMENTS = "doc_id string, path string, extension string, text string"
+CHUNKS = (
+    "id string, content string, original_content string, file_path string, source string, location string, start_line long, end_line long, page_number long, "
+    "start_offset long, end_offset long, heading string, chunk_id int, symbols string, vector array<float>"
+)
+RANKED = "query_id string, channel string, rank int, chunk_id string, score double"
+QUESTIONS = "workspace_id string, revision string, question_id string, question string"
+BATCH_ROWS = "batch_id string, question_id string, run_id string, status string, passage_count int, source_count int, duration_ms double, error string"
+LABELS = "batch_id string, question_id string, run_id string, rank int, source_id string, start_offset long, end_offset long, content_sha256 string, label string"
+TURNS = "conversation_id string, turn_no int, run_id string, question string, answer string, source_ids array<string>"
+SPANS = "trace_id string, span_id string, parent_id string, operation string, started_unix double, duration_ms double, status string, attributes map<string,string>"
+EVIDENCE = "run_id string, rank int, source_id string, name string, content string, start_offset long, end_offset long, score double, location_verified boolean"
+EVENTS = "event string, arm string, question_id string, ranked_doc_ids array<string>, scores array<double>, latency_seconds double"
