@@ -16,7 +16,7 @@ CITATION = r"\[(?:\s*dsid_[0-9a-f]+\s*[,;]?\s*)+\]|dsid_[0-9a-f]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased words in order; null text: none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def identifier_words(text: Column) -> Column:
