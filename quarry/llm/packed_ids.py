@@ -283,7 +283,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-_BLOCKS = "part int, block int, documents long, ids long, payload binary"
+_BLOCKS = "part int, block int, documents long, before long, ids long, payload binary"  # before: ids of the part before the block
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -298,13 +298,13 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         names: list = []
         flat: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        held = 0
+        held = before = 0
 
         def block() -> pd.DataFrame:
-            nonlocal names, flat, lengths, held, number
+            nonlocal names, flat, lengths, held, number, before
             payload = write_block(names, np.concatenate(lengths), np.concatenate(flat))
-            out = pd.DataFrame({"part": [part], "block": [number], "documents": [len(names)], "ids": [held], "payload": [payload]})
-            names, flat, lengths, held, number = [], [], [], 0, number + 1
+            out = pd.DataFrame({"part": [part], "block": [number], "documents": [len(names)], "before": [before], "ids": [held], "payload": [payload]})
+            names, flat, lengths, held, number, before = [], [], [], 0, number + 1, before + held
             return out
 
         for batch in batches:
@@ -335,12 +335,12 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
 def read_files(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (if keep_ids)."""
     blocks = spark.read.schema(_BLOCKS).parquet(folder)
-    sizes = sorted((r["part"], r["block"], r["ids"]) for r in blocks.select("part", "block", "ids").collect())  # one row a block
-    starts, before = [], 0
-    for part, block, n in sizes:
-        starts.append((part, block, before))
-        before += n
-    offsets = spark.createDataFrame(starts, "part int, block int, start long")
+    sizes = blocks.groupBy("part").agg(F.sum("ids").alias("ids")).collect()  # one row a part
+    starts, total = [], 0
+    for part, n in sorted((r["part"], r["ids"]) for r in sizes):
+        starts.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(starts, "part int, earlier long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -359,7 +359,8 @@ def read_files(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataF
                 yield pd.DataFrame(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
-    return blocks.join(F.broadcast(offsets), ["part", "block"]).select("start", "payload").mapInPandas(run, schema)
+    placed = blocks.join(F.broadcast(offsets), "part").select((F.col("earlier") + F.col("before")).alias("start"), "payload")
+    return placed.mapInPandas(run, schema)
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, **columns) -> DataFrame:
