@@ -1,6 +1,6 @@
 """Exact dedup by content sort.
 
-The normalised text is the sort key: Spark samples splitters, range-partitions by (text, row salt) and sorts
+The normalised text is the sort key: Spark samples splitters, range-partitions by (start of the text, its hash, row salt) and sorts
 each partition externally, so equal texts are neighbours. A pass over each sorted partition compares every text
 in full with the one before it and labels the run with its SHA-256. The salt in the range key lets the
 splitters cut through a large group of copies, so no partition holds more than its share; the pieces of such a
@@ -48,8 +48,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(id_col).alias("row_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"),
         normalised(F.col(text_col)).alias("norm"),
-    ).withColumn("salt", F.xxhash64("row_id"))
-    dealt = rows.repartitionByRange(tasks(spark), "norm", "salt").sortWithinPartitions("norm")
+    )
+    # splitters are sampled on the driver, so they are short: the text's first characters, then a hash of all of it, then salt
+    ranges = [F.substring("norm", 1, 24), F.xxhash64("norm"), F.xxhash64("row_id")]
+    dealt = rows.repartitionByRange(tasks(spark), *ranges).sortWithinPartitions("norm")
     labelled = settle(dealt.mapInPandas(_runs, "row_id long, n long, text_sha256 string"))
     # min over (-length, null last, id): the longest original text, then the smallest id
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col("row_id").isNull().alias("z"), F.col("row_id").alias("i")))
