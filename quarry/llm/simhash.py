@@ -82,7 +82,10 @@ def fingerprint(text: str | None, words: int = 3, distinct: bool = False) -> int
 
 def wide_fingerprint(text: str | None, words: int, longs: int) -> bytes:
     """longs * 64 bits over the text's distinct shingles; a finer estimate of their overlap than 64 bits give."""
-    hashes = shingle_hashes(text, words, True)
+    return wide_of(shingle_hashes(text, words, True), longs)
+
+
+def wide_of(hashes: np.ndarray, longs: int) -> bytes:
     return b"".join(_majority(_mixed(hashes, n) if n else hashes).to_bytes(8, "little") for n in range(longs))
 
 

@@ -61,6 +61,15 @@ def test_no_near_copy_stays(spark):
     assert {r["doc_id"] for r in kept.collect()} <= {i for i, c in enumerate(classes) if i == c}
 
 
+def test_stage_keeps_what_brute_force_keeps(spark):
+    """Texts of similarity 0.7 to 0.8 stay."""
+    texts, _ = copies(6)
+    classes, _ = brute(texts)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, c in enumerate(classes) if i == c]
+
+
 @pytest.mark.parametrize("limit", [20_000, 5])
 def test_large_buckets_and_shards(spark, limit):
     """Chains of variants of one text, where most pairs aren't similar."""
