@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Base findings come from three fixed patterns. Beside them, every token that looks like a credential is a candidate; its
-hash is counted over the whole corpus by distinct repositories and owners. A value that several owners have is an example
-that people copy; one that a single owner has looks live, and its place is added to the findings.
+Base findings come from three fixed patterns. Beside them, every token that looks like a credential is a candidate. The hash
+of each one's value, base or not, is counted over the whole corpus by distinct repositories and owners. A value that several
+owners or many repositories have is an example that people copy; another looks live. The places of live candidates are added
+to the findings; base findings all stay, and those that are examples are named.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SHAPES = re.compile(
 _KNOWN = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_live_|xox[abprs]-|AIza|ya29\.|npm_|pypi-|SG\.|eyJ")
 LEAST_BITS = 3.0  # entropy a character of a token without a known prefix
 MOST_OWNERS = 1  # owners of a live value
+MOST_REPOS = 10  # repositories of a live value
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -49,6 +51,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def base_values(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, kind's number, value) of the base findings: what is assigned, or the whole of it."""
+    return [(a, b, KINDS.index(k), ASSIGN.match(text, a)[2] if k == "assign" else text[a:b]) for a, b, k in base]
+
+
 def _entropy(value: str) -> float:
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -86,13 +93,16 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             more = candidates(text, base)
             kinds = Counter(k for _, _, k in base)
             line = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
-            hashes = [{"start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, b, v in more]
+            hashes = [{"start": a, "end": b, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, b, k, v in base_values(text, base) + [(a, b, 3, v) for a, b, v in more]]
             out.append((doc_id, repo, owner, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(line.encode()).hexdigest(), line, hashes))
         yield pd.DataFrame(out, columns=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """One row per input row: doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans, n_base_live, n_base_example, base_examples.
+
+    n_live and n_example count the further candidates, n_base_live and n_base_example the base findings; base_examples has the
+    places of the latter.
 
     Nulls: a null text has no findings; rows with a null owner are one owner, and likewise repositories. Repeated rows each
     get a row and count as one repository. An empty table gives no rows; other columns are ignored.
@@ -104,22 +114,27 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit("")).alias("owner"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     )
-    schema = f"doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, more array<struct<start:int,end:int,value:string>>"
+    schema = f"doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, more array<struct<start:int,end:int,kind:int,value:string>>"
     found = settle(texts.mapInPandas(_scan, schema)).withColumn("row", F.monotonically_increasing_id())  # stable: the rows are stored
     each = found.where(F.size("more") > 0).select("row", "repo", "owner", F.inline("more"))
     # distinct (value, repo, owner) first, then distinct within a value; both combine before the shuffle
     pairs = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("_")).drop("_")
     owners = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
     owned = settle(owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")))
+    example, further = (F.col("owners") > most_owners) | (F.col("repos") > most_repos), F.col("kind") == 3
     judged = each.join(owned, "value").groupBy("row").agg(
-        F.count_if(F.col("owners") > most_owners).alias("n_example"),
-        F.array_sort(F.collect_list(F.when(F.col("owners") <= most_owners, F.struct("start", "end")))).alias("live"),
+        F.count_if(further & example).alias("n_example"),
+        F.array_sort(F.collect_list(F.when(further & ~example, F.struct("start", "end")))).alias("live"),
+        F.count_if(~further & ~example).alias("n_base_live"),
+        F.array_sort(F.collect_list(F.when(~further & example, F.struct("start", "kind", "end")))).alias("copied"),
     )
     # both lists are in order; a live place goes among the base ones by its start
     base = F.filter(F.split("base", ","), lambda s: s != "")
     placed = F.transform(base, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.when(s.startswith("assign"), 0).when(s.startswith("access"), 1).otherwise(2).alias("k"), s.alias("s")))
     lived = F.transform(F.col("live"), lambda x: F.struct(x["start"].alias("a"), F.lit(3).alias("k"), F.concat_ws(":", F.lit("live"), x["start"].cast("string"), x["end"].cast("string")).alias("s")))
     spans = F.when(F.size("live") > 0, F.array_join(F.transform(F.array_sort(F.concat(placed, lived)), lambda x: x["s"]), ",")).otherwise(F.col("base"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    named = F.transform(F.col("copied"), lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string")))
     return found.join(judged, "row", "left").select(
         "doc_id",
         "n_assign",
@@ -129,4 +144,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
         "base_sha256",
         F.coalesce(spans, F.col("base")).alias("spans"),
+        F.coalesce("n_base_live", F.lit(0)).cast("long").alias("n_base_live"),
+        F.when(F.size("copied") > 0, F.size("copied")).otherwise(0).cast("long").alias("n_base_example"),
+        F.coalesce(F.array_join(named, ","), F.lit("")).alias("base_examples"),
     )
