@@ -1,8 +1,9 @@
 """Document fingerprints from prefix polynomial hashes.
 
 prefix[i] is the sum of (c[j] + 1) * B**j over j < i, modulo 2**31 - 1, for two bases. From two such arrays any span
-of a text is compared with any span of another in constant time, and the longest common extension at either end is
-found by binary search. A document's fingerprint is its length and the last entries of its arrays.
+of a text is compared with any span of another in constant time, and longest common extensions are found by binary search:
+at both ends, and between them from each next place where ANCHOR code points agree, looked up by their hash. A document's
+fingerprint is its length and the last entries of its arrays.
 """
 
 from __future__ import annotations
@@ -19,22 +20,26 @@ from quarry.llm.common import tasks
 
 P = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353 % P)
+ANCHOR = 16  # code points that must agree for an extension to begin after a difference
+_AHEAD = 64  # anchors among which the nearest is taken
 
 
 class _Powers:
     """B**j for both bases, grown as texts need them."""
 
-    def __init__(self):
-        self.held = [np.ones(1, np.uint64) for _ in BASES]
+    def __init__(self, bases: tuple[int, ...] = BASES):
+        self.bases = bases
+        self.held = [np.ones(1, np.uint64) for _ in bases]
 
     def upto(self, n: int) -> list[np.ndarray]:
         while len(self.held[0]) <= n:
             size = len(self.held[0])
-            self.held = [np.concatenate([h, h * np.uint64(pow(b, size, P)) % np.uint64(P)]) for h, b in zip(self.held, BASES)]
+            self.held = [np.concatenate([h, h * np.uint64(pow(b, size, P)) % np.uint64(P)]) for h, b in zip(self.held, self.bases)]
         return self.held
 
 
 _powers = _Powers()
+_inverse = _Powers(tuple(pow(b, -1, P) for b in BASES))
 
 
 class PrefixHash:
@@ -84,12 +89,65 @@ class PrefixHash:
                 high = mid - 1
         return low
 
+    def grams(self, start: int, end: int) -> np.ndarray:
+        """The hash of the ANCHOR code points at each place of a span, wherever it is."""
+        inverse, parts = _inverse.upto(self.n), []
+        for x, power in zip(self.prefix, inverse):
+            span = (x[start + ANCHOR : end + 1] + np.uint64(P) - x[start : end + 1 - ANCHOR]) % np.uint64(P)
+            parts.append(span * power[start : end + 1 - ANCHOR] % np.uint64(P))
+        return parts[0] << np.uint64(31) | parts[1]
+
+    def extension(self, a: int, other: PrefixHash, b: int, most: int) -> int:
+        """Length of the longest equal spans at a here and at b there."""
+        low, high = 0, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self.same(a, other, b, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    def _between(self, other: PrefixHash, start: int, end: int, other_end: int) -> int:
+        """Total length of further extensions in spans from start on, one after the other in both texts."""
+        if min(end, other_end) - start < ANCHOR:
+            return 0
+        there, at = np.unique(other.grams(start, other_end), return_inverse=True)
+        here = self.grams(start, end)
+        rank = np.minimum(np.searchsorted(there, here), len(there) - 1)
+        places = np.flatnonzero(there[rank] == here)
+        if not len(places):
+            return 0
+        rank, width = rank[places], other_end - start
+        keys = np.sort(at * width + np.arange(len(at)))  # an anchor's places there are together, in order
+        i = j = total = next_ = 0
+        while next_ < len(places):
+            some = slice(next_, next_ + _AHEAD)
+            found = np.searchsorted(keys, rank[some] * width + j)
+            key = keys[np.minimum(found, len(keys) - 1)]
+            on = (found < len(keys)) & (key // width == rank[some])
+            if not on.any():
+                next_ += _AHEAD
+                continue
+            cost = np.where(on, places[some] + key % width, np.iinfo(np.int64).max)
+            best = int(np.argmin(cost))
+            i, j = int(places[some][best]), int(key[best] % width)
+            length = self.extension(start + i, other, start + j, min(end - start - i, other_end - start - j))
+            if not length:  # hashes of unlike anchors met
+                next_ += best + 1
+                continue
+            total, i, j = total + length, i + length, j + length
+            next_ = int(np.searchsorted(places, i))
+        return total
+
     def likeness(self, other: PrefixHash) -> float:
-        """Share of the longer text covered by the longest common extensions from both ends; two empty texts: 1."""
+        """Share of the longer text in common extensions: from both ends, and between them in the same order; two empty texts: 1."""
         if not max(self.n, other.n):
             return 1.0
-        both = min(self.common_prefix(other) + self.common_suffix(other), self.n, other.n)
-        return both / max(self.n, other.n)
+        least = min(self.n, other.n)
+        front = self.common_prefix(other)
+        back = min(self.common_suffix(other), least - front)
+        return (front + back + self._between(other, front, self.n - back, other.n - back)) / max(self.n, other.n)
 
 
 def codes_of(text: str) -> np.ndarray:
