@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,15 +15,36 @@ class Conflict(RuntimeError):
     """The revision isn't the expected one."""
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that parts stay as they are."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint(eager=True)
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """New rows replace those of the same key in place; others go after the last. Columns as stored; new has no ordinal."""
+    """New rows replace those of the same key in place; others go after the last, by key. Columns as stored; new has no ordinal.
+
+    Added rows are dealt by ranges of the key and each part counts its own; one count a part meets on the driver.
+    """
+    spark = stored.sparkSession
     names = [c for c in stored.columns if c not in (key, ordinal)]
-    last = stored.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("last"))
-    both = stored.select(key, ordinal, F.struct(*names).alias("old")).join(new.select(key, F.struct(*names).alias("new")), key, "full_outer")
-    added = F.row_number().over(Window.partitionBy(F.col(ordinal).isNull()).orderBy(key))  # the few rows of one import
-    both = both.crossJoin(last).withColumn(ordinal, F.coalesce(F.col(ordinal), F.col("last") + added))
+    revised = new.select(key, F.struct(*names).alias("new"))
     kept = F.coalesce("new", "old")
-    return both.select(key, ordinal, *[kept[c].alias(c) for c in names])
+    held = stored.select(key, ordinal, F.struct(*names).alias("old")).join(revised, key, "left").select(key, ordinal, *[kept[c].alias(c) for c in names])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    added = new.select(key, *names).join(stored.select(key), key, "left_anti")
+    added = _stored(added.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()))
+    before = stored.agg(F.coalesce(F.max(ordinal), F.lit(-1))).first()[0] + 1
+    starts = []
+    for part, n in sorted((r["__part"], r["count"]) for r in added.groupBy("__part").count().collect()):
+        starts.append((part, before))
+        before += n
+    starts = spark.createDataFrame(starts, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.col("__before")
+    added = added.join(F.broadcast(starts), "__part").withColumn(ordinal, place)  # one row a part
+    return held.unionByName(added.select(key, ordinal, *names))
 
 
 def check_workspace(documents: DataFrame, name: str = "name", content: str = "content") -> None:

@@ -30,6 +30,14 @@ def w2_upsert(spark: SparkSession, d: str) -> DataFrame:
     return stores.upsert(stored, new, "doc_id")
 
 
+@query()
+def w2_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as new rows over a store of three quarters of it."""
+    rows = documents(spark, d).select("doc_id", "n_chars")
+    stored = rows.where("doc_id % 4 <> 0").withColumn("ordinal", F.col("doc_id"))
+    return stores.upsert(stored, rows.withColumn("n_chars", F.col("n_chars") + 1), "doc_id")
+
+
 @query("SELECT source, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS size_bytes FROM documents GROUP BY source ORDER BY lower(source), source LIMIT 10 OFFSET 2")
 def w3_list(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("size_bytes"))
