@@ -104,6 +104,17 @@ def e1_span_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select("doc_id", "l_n", "r_n")
 
 
+@query()
+def e1_span_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines. Spans meet in bins of 256 offsets of their document, and each pair in the bin where its overlap starts."""
+    base = passages(spark, d)
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 256), F.floor((F.col(b) - 1) / 256))).alias("bin")
+    left = base.select("doc_id", F.col("n").alias("l_n"), F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
+    right = base.where("end_offset > 20").select("doc_id", F.col("n").alias("r_n"), F.greatest(F.lit(0), F.col("start_offset") - 20).alias("r_start"), (F.col("end_offset") - 20).alias("r_end"))
+    pairs = metrics.span_overlap(left.select("*", bins("l_start", "l_end")), right.select("*", bins("r_start", "r_end")), ["doc_id", "bin"])
+    return pairs.where(F.col("bin") == F.floor(F.greatest("l_start", "r_start") / 256)).select("doc_id", "l_n", "r_n")
+
+
 @query(f"""WITH {_ARMS}, sizes AS (SELECT query_id, count(DISTINCT doc_id) AS answers FROM gold GROUP BY query_id),
     j AS (SELECT t.query_id, t.rank, g.doc_id AS group_no FROM top t LEFT JOIN gold g ON t.query_id = g.query_id AND t.doc_id = g.doc_id),
     s AS (SELECT query_id, count(*) AS passages, count(group_no) AS hits, count(DISTINCT group_no) AS found, min(rank) FILTER (group_no IS NOT NULL) AS first, sum(CASE WHEN group_no IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS gain FROM j GROUP BY query_id)

@@ -16,3 +16,21 @@ def test_upsert(spark):
     df = registry.QUERIES["w2_upsert_whole"](spark, DATA)
     assert "isnull(ordinal" not in df._jdf.queryExecution().toString()
     assert {tuple(r) for r in df.select("doc_id", "ordinal", "n_chars").collect()} == {(i, added.get(i, i), r["n_chars"] + 1) for i, r in docs.items()}
+
+
+def test_span_overlap(spark):
+    expected = []
+    for i, r in documents(spark).items():
+        at, spans = 0, []
+        for n, line in enumerate((r["text"] or "").split("\n")):
+            if line:
+                spans.append((n, at, at + len(line)))
+            at += len(line) + 1
+        for n, a, b in spans:
+            for m, c, e in spans:
+                c, e = max(0, c - 20), e - 20
+                shared = min(b, e) - max(a, c)
+                if e > 0 and shared > 0 and shared * 2 >= min(b - a, e - c):
+                    expected.append((i, n, m))
+    got = [tuple(r) for r in registry.QUERIES["e1_span_overlap_whole"](spark, DATA).collect()]
+    assert sorted(got) == sorted(expected) and max(n for _, n, _ in got) >= 6
