@@ -272,3 +272,10 @@ def q22_verify(spark: SparkSession, d: str) -> DataFrame:
 def a1_passages(spark: SparkSession, d: str) -> DataFrame:
     top = arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm").join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.substring("text", 1, 80).alias("content")), "doc_id")
     return windows.rendered(top.withColumn("location", F.lit("L1")))
+
+
+@query()
+def a1_passages_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole retrieved texts."""
+    top = arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm").join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.col("text").alias("content")), "doc_id")
+    return windows.rendered(top.withColumn("location", F.lit("L1")))

@@ -34,3 +34,14 @@ def test_span_overlap(spark):
                     expected.append((i, n, m))
     got = [tuple(r) for r in registry.QUERIES["e1_span_overlap_whole"](spark, DATA).collect()]
     assert sorted(got) == sorted(expected) and max(n for _, n, _ in got) >= 6
+
+
+def test_answers_hold_whole_texts(spark):
+    from quarry.plans.evaluation import arms
+
+    docs = documents(spark)
+    expected = {}
+    for r in arms(spark, DATA).where("arm = 'score' and rank <= 3").orderBy("rank").collect():
+        expected.setdefault(r["query_id"], []).append(f"[{r['rank']}] {docs[r['doc_id']]['source']} (L1)\n{docs[r['doc_id']]['text']}")
+    got = {r["query_id"]: r["answer"] for r in registry.QUERIES["a1_passages_whole"](spark, DATA).collect()}
+    assert got == {q: "\n\n".join(parts) for q, parts in expected.items()}
