@@ -162,6 +162,12 @@ def q4_phrase(spark: SparkSession, d: str) -> DataFrame:
     return lexical.phrase_matches(documents(spark, d), asked)
 
 
+@query()
+def q4_phrase_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every question's whole token sequence as the phrase."""
+    return lexical.phrase_matches(documents(spark, d), questions(spark, d))
+
+
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents)
     SELECT doc_id, term, count(*) AS tf, max(dl) AS dl, min(pos) AS first_position FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM t) GROUP BY doc_id, term""")
 def i2_postings(spark: SparkSession, d: str) -> DataFrame:

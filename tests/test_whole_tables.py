@@ -45,3 +45,19 @@ def test_answers_hold_whole_texts(spark):
         expected.setdefault(r["query_id"], []).append(f"[{r['rank']}] {docs[r['doc_id']]['source']} (L1)\n{docs[r['doc_id']]['text']}")
     got = {r["query_id"]: r["answer"] for r in registry.QUERIES["a1_passages_whole"](spark, DATA).collect()}
     assert got == {q: "\n\n".join(parts) for q, parts in expected.items()}
+
+
+def test_long_phrases(spark):
+    import re
+
+    cut = lambda t: [w for w in re.split(r"[^\w]+", (t or "").lower()) if w]
+    asked = {r["item_id"]: cut(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    expected = {}
+    for i, r in documents(spark).items():
+        words = cut(r["text"])
+        for q, phrase in asked.items():
+            hits = sum(words[k : k + len(phrase)] == phrase for k in range(len(words) - len(phrase) + 1)) if phrase else 0
+            if hits:
+                expected[q, i] = hits
+    got = {(r["query_id"], r["doc_id"]): r["hits"] for r in registry.QUERIES["q4_phrase_whole"](spark, DATA).collect()}
+    assert got == expected and max(len(asked[q]) for q, _ in got) > 3
