@@ -37,8 +37,13 @@ DROPPED = frozenset("script style textarea noscript iframe template select optio
 #: An open p ends before these; an li, dt, dd, tr, td, th or option ends before one of its own kind.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARKUP = re.compile(r"<(?=[A-Za-z!?/])")
+_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_GAP, _KEY, _EQUALS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+_COMMENT_END = re.compile(r"--!?>")
+#: Tags of one kind: each ends the other.
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _SPACE = re.compile(r"[\s]+")
 
 
@@ -55,18 +60,94 @@ class Node:
     children: int = 0
 
 
+def _skipped(page: str, at: int) -> int:
+    """The place after a comment, declaration or stray end tag that begins at `at`."""
+    if page.startswith("<!--", at):
+        for early in ("<!-->", "<!--->"):
+            if page.startswith(early, at):
+                return at + len(early)
+        end = _COMMENT_END.search(page, at + 4)
+        return end.end() if end else len(page)
+    end = page.find(">", at)
+    return end + 1 if end >= 0 else len(page)
+
+
+def attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int]:
+    """A tag's attributes, from the end of its name on, and the place after the tag.
+
+    A quote opens a value only after an equals sign; elsewhere it is part of a name. A value whose quote is never closed
+    ends with the tag, so that no text is lost to it. last: the last place of either quote in the page. Each place is read at most twice.
+    """
+    found: dict[str, str] = {}
+    size = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= size:
+            return found, size
+        if page[at] == ">":
+            return found, at + 1
+        key = _KEY.match(page, at)
+        at, value = key.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                if at < last[quote]:
+                    end = page.find(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    end = page.find(">", at)
+                    end = end if end >= 0 else size
+                    value, at = page[at + 1 : end], end
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(key[0].lower(), value)
+
+
+class _Open:
+    """The elements that are open, and where each kind last is, so that no end tag looks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # inline elements keep their block's number
+        self.places: dict[str, list[int]] = {}
+        self.push("#root", 0)
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.places.setdefault("#block", []).append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.places["#block"].pop()
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page, parents first, with the text directly in each cut into blocks at its block children.
 
     Inline elements belong to the block around them. Character references are decoded once, white space becomes
     one space, blocks are trimmed and empty ones left out. Unclosed, stray and cut-off tags are taken as browsers take them.
+    Time is in proportion to the page's length, whatever its markup.
     """
     nodes = [Node("#root", -1)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # inline elements keep their block's number
+    opened = _Open()
     run: list[str] = []
     place = 0
-    in_link = 0
     linked = 0
+    size = len(page)
+    last = {quote: page.rfind(quote) for quote in "\"'"}
 
     def flush() -> None:
         nonlocal place, linked
@@ -74,7 +155,7 @@ def parse(page: str) -> list[Node]:
             text = _SPACE.sub(" ", "".join(run)).strip()
             run.clear()
             if text:
-                node = nodes[stack[-1][1]]
+                node = nodes[opened.node]
                 node.blocks.append((place, text))
                 node.chars += len(text)
                 node.links += min(linked, len(text))
@@ -82,107 +163,98 @@ def parse(page: str) -> list[Node]:
         linked = 0
 
     def close_to(depth: int) -> None:
-        nonlocal in_link
-        if any(t not in INLINE for t, _ in stack[depth:]):
+        if opened.last("#block") >= depth:
             flush()
-        in_link -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        opened.cut(depth)
 
     def text_of(raw: str) -> None:
         nonlocal linked
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
-            if in_link:
+            if opened.places.get("a"):
                 linked += len(text)
 
-    at, size = 0, len(page)
+    at = 0
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         if m is None:
             text_of(page[at:])
             break
         text_of(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        at = m.start()
+        name = _TAG.match(page, at + 1)
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                text_of(m[0][9:].removesuffix("]]>"))
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                text_of(page[at + 9 : end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
+            else:
+                at = _skipped(page, at)
             continue
-        tag = name.lower()
-        if m[1]:
+        tag = name[2].lower()
+        at = name.end()
+        if page[at : at + 1] == ">":
+            given, at, empty = {}, at + 1, False
+        else:
+            given, at = attributes(page, at, last)
+            empty = page[at - 2] == "/"
+        if name[1]:
+            depth = opened.last(tag)
             if tag == "br":
                 run.append(" ")
-            elif tag == "p" and not any(t == "p" for t, _ in stack):
+            elif tag == "p" and depth < 0:
                 flush()
-            else:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close_to(depth)
-                        break
-                    if tag in INLINE and stack[depth][0] not in INLINE:
-                        break  # an inline end tag doesn't close blocks
+            elif depth > (opened.last("#block") if tag in INLINE else 0):  # an inline end tag doesn't close blocks
+                close_to(depth)
             continue
         if tag == "br":
             run.append(" ")
             continue
-        if tag in _ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+        if tag in _ENDS_P and opened.stack[opened.last("#block")][0] == "p":
+            close_to(opened.last("#block"))
         if tag in _ENDS_OWN:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag or (tag in ("dt", "dd") and stack[depth][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[depth][0] in ("td", "th")):
-                    close_to(depth)
-                    break
-                if stack[depth][0] in _ENDS_OWN[tag]:
-                    break
+            depth = opened.last(*_ALIKE.get(tag, (tag,)))
+            if depth > opened.last(*_ENDS_OWN[tag]):
+                close_to(depth)
         if tag in VOID:
             if tag not in INLINE:
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             body = page[at : end.start()] if end else page[at:]
             at = end.end() if end else size
             flush()
-            nodes[stack[-1][1]].children += 1
-            nodes.append(Node(tag, stack[-1][1], hidden=True))
+            nodes[opened.node].children += 1
+            nodes.append(Node(tag, opened.node, hidden=True))
             nodes[-1].chars = len(body) if tag != "title" else 0
             continue
+        hidden = bool(given) and _hidden(given)
         if tag in INLINE:
             if tag == "a":
-                in_link += 1
-                nodes[stack[-1][1]].n_links += 1
-            hidden = "hidden" in m[3].lower() and _hidden(m[3])
+                nodes[opened.node].n_links += 1
             if not hidden:
-                stack.append((tag, stack[-1][1]))
+                opened.push(tag, opened.node)
                 continue
         flush()
-        names, hidden = _names(m[3]) if m[3] else ("", False)
-        nodes[stack[-1][1]].children += 1
-        nodes.append(Node(tag, stack[-1][1], names, hidden or tag in DROPPED))
-        if not m[3].rstrip().endswith("/") or tag not in ("svg", "canvas", "object"):
-            stack.append((tag, len(nodes) - 1))
+        nodes[opened.node].children += 1
+        nodes.append(Node(tag, opened.node, _names(given) if given else "", hidden or tag in DROPPED))
+        if not empty or tag not in ("svg", "canvas", "object"):
+            opened.push(tag, len(nodes) - 1)
     flush()
     return nodes
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    values = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
-    names = " ".join(values.get(k, "") for k in ("class", "id", "role", "itemprop"))
+def _names(given: dict[str, str]) -> str:
+    names = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop"))
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names)
-    return re.sub(r"[^a-z]+", " ", names.lower()).strip(), _hidden(attributes, values)
+    return re.sub(r"[^a-z]+", " ", names.lower()).strip()
 
 
-def _hidden(attributes: str, values: dict[str, str] | None = None) -> bool:
-    if values is None:
-        values = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
-    style = values.get("style", "").replace(" ", "").lower()
-    return "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+def _hidden(given: dict[str, str]) -> bool:
+    style = given.get("style", "").replace(" ", "").lower()
+    return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
 # ---- features
