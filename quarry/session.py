@@ -11,7 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_MOST_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
@@ -33,10 +34,12 @@ def session(name: str = "quarry", cores: int | str = "*", partitions: int = 8, *
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, so their Python finds it wherever they run.
 
-    Arrow batches of a session that still has the default size are made smaller: ten thousand long texts at once are too many.
+    Arrow batches of a session that still has the default size are made smaller, in rows and in bytes: ten thousand long texts at once are too many.
     """
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, "1000")
+    if int(spark.conf.get(_BYTES).rstrip("b")) > _MOST_BYTES:
+        spark.conf.set(_BYTES, str(_MOST_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
