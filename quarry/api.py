@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions.stem import stemmed_tokens
 from quarry.functions.text import source_title, titled, tokens
 from quarry.operators import chunks, dense, facets, fusion, lexical, windows
+from quarry.operators.index import embed_once
+from quarry.storage import sent, settle
 
 NOTHING = "No relevant information found."
 
@@ -63,31 +65,42 @@ class Retriever:
         made = made.join(self.documents.select("doc_id", "path"), "doc_id")
         searchable = titled(source_title(F.col("path")), F.col("content")) if s.titles else F.col("content")
         made = made.withColumn("n", F.col("chunk_id")).withColumn("id", F.concat_ws("::chunk:", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
-        self.passages = made.withColumn("searchable", searchable).persist()
+        self.passages = settle(made.withColumn("searchable", searchable))
+        self._index = self._vectors = None
 
-    def close(self) -> None:
-        self.passages.unpersist()
+    @property
+    def index(self) -> lexical.Index:
+        """The passages' postings, stored when a search first asks for them and read by all later ones."""
+        if self._index is None:
+            self._index = lexical.build_index(self.passages, "id", "searchable", stemmed_tokens if self.settings.stemming else tokens)
+        return self._index
+
+    @property
+    def vectors(self) -> DataFrame:
+        """The passages' vectors; each distinct text is embedded once, when a search first asks for them."""
+        if self._vectors is None:
+            rows = self.passages.select("id", F.col("searchable").alias("content"))
+            self._vectors = settle(embed_once(rows, lambda t: t.withColumn("vector", self.embed(F.col("text")))).select("id", F.col("vector").alias("embedding")))
+        return self._vectors
 
     def _channels(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        s, p = self.settings, self.passages
-        how = {"k1": s.k1, "b": s.b, "id_col": "id", "text_col": "searchable"}
-        words = lexical.bm25(p, asked, s.depth, tokenizer=stemmed_tokens if s.stemming else tokens, **how)
+        s = self.settings
+        words = lexical.bm25(self.index, asked, s.depth, k1=s.k1, b=s.b)
         if self.embed is None:
             return words.limit(0), words
-        vectors = p.select("id", self.embed(F.col("searchable")).alias("embedding"))
-        return dense.search(vectors, asked.select("query_id", self.embed(F.col("query")).alias("vector")), s.depth, s.metric, "id"), words
+        return dense.search(self.vectors, asked.select("query_id", self.embed(F.col("query")).alias("vector")), s.depth, s.metric, "id"), words
 
     def search(self, questions: DataFrame, scorer=None) -> DataFrame:
         """(query_id, id, rank, doc_id, content, start_offset, end_offset, whole_document): facets searched apart, fused, shortlisted, reranked and merged, then widened."""
         s = self.settings
-        parts = facets.decompose(questions, s.facets).withColumn("facet_id", F.xxhash64("query_id", "facet_no"))
+        parts = settle(facets.decompose(questions, s.facets).withColumn("facet_id", F.xxhash64("query_id", "facet_no")))
         asked = parts.select(F.col("facet_id").alias("query_id"), F.col("facet").alias("query"))
-        channels = [c.persist() for c in self._channels(asked)]
+        channels = [settle(c) for c in self._channels(asked)]
         fused = fusion.rrf(*channels, weights=s.weights, k=s.rrf_k)
         short = fusion.balanced(fused, channels, s.depth) if s.balanced else fused.where(F.col("fused_rank") <= s.depth).withColumn("shortlist_rank", F.col("fused_rank"))
-        full = short.join(self.passages.select(F.col("id").alias("doc_id"), F.col("searchable").alias("content")), "doc_id").join(F.broadcast(asked), "query_id")
+        full = short.join(self.passages.select(F.col("id").alias("doc_id"), F.col("searchable").alias("content")), "doc_id").join(sent(asked), "query_id")
         kept = fusion.rerank(full, scorer if scorer is not None else -F.col("shortlist_rank").cast("double"), s.top_k)
-        named = kept.select(F.col("query_id").alias("facet_id"), "doc_id", F.col("final_rank").alias("rank")).join(F.broadcast(parts.select("facet_id", "query_id", "facet_no")), "facet_id")
+        named = kept.select(F.col("query_id").alias("facet_id"), "doc_id", F.col("final_rank").alias("rank")).join(sent(parts.select("facet_id", "query_id", "facet_no")), "facet_id")
         merged = fusion.merge_facets(named, s.top_k).withColumnRenamed("doc_id", "id")
         hits = merged.join(self.passages.select("id", "doc_id", "n"), "id").select("query_id", "doc_id", "n", "rank")
         wide = windows.expand(hits, self.passages.select("doc_id", "n", "start_offset", "end_offset", "content"), self.documents, s.radius, s.whole_documents)

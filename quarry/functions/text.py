@@ -19,6 +19,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
+def pieces(text: Column) -> Column:
+    """Tokens with an empty one where the text begins or ends between tokens: cheaper than `tokens` where rows are exploded and filtered anyway."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK)
+
+
+def filled(parts: Column) -> Column:
+    """Number of tokens in pieces; only the first and the last can be empty."""
+    first, last = (F.element_at(parts, 1) == "").cast("int"), (F.element_at(parts, -1) == "").cast("int")
+    return F.when(F.size(parts) == 1, 1 - first).otherwise(F.size(parts) - first - last)
+
+
 def identifier_words(text: Column) -> Column:
     """Text with identifier boundaries turned into spaces."""
     return F.regexp_replace(text, IDENTIFIER, " ")

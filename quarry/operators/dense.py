@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.lexical import ranked
 
 QUERY_VECTORS = 10_000  # query vectors that one pass over the corpus carries
+_BLOCK = 1 << 22  # scores worked out at a time
 
-
-def _zipped(a: Column, b: Column, f) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return _zipped(a, b, lambda x, y: x * y)
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return _zipped(a, b, lambda x, y: (x - y) * (x - y))
+#: Scores that rise with nearness, of a block of rows x and all queries q: cosine is one minus its distance, the others the distance turned round. A zero vector is like no other.
+METRICS = {
+    "cosine": lambda x, q: _unit(x) @ _unit(q).T,
+    "l2": lambda x, q: 2 * (x @ q.T) - (x * x).sum(axis=1)[:, None] - (q * q).sum(axis=1)[None, :],
+    "dot": lambda x, q: x @ q.T,
+}
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
 
 
-#: Scores that rise with nearness: cosine is one minus its distance, the others the distance turned round.
-METRICS = {"cosine": cosine, "l2": lambda a, b: 0.0 - squared_distance(a, b), "dot": dot}
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row is among a column's k best; of rows with equal scores, the first ones."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, bool)
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    above, at = scores > least, scores == least
+    return above | (at & (np.cumsum(at, axis=0) <= k - above.sum(axis=0)))
 
 
 def valid(vector: Column, width: int) -> Column:
@@ -37,16 +43,46 @@ def valid(vector: Column, width: int) -> Column:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score, rank): the exact k nearest. queries: query_id, vector; a stated set that fits a broadcast.
+    """(query_id, doc_id, score, rank): the exact k nearest. queries: query_id, vector; a stated set.
 
-    Every vector meets every query once, in blocks of the corpus; each task keeps k a query before the shuffle.
-    Raises if there are more than QUERY_VECTORS queries: they are to come in turns.
+    The corpus doesn't move: blocks of it are multiplied with all the queries, which go to every worker as one matrix, and each block
+    keeps k a query. Over QUERY_VECTORS queries come in turns, parted by a hash. Rows with null vectors are left out.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    if queries.limit(QUERY_VECTORS + 1).count() > QUERY_VECTORS:
-        raise ValueError(f"over {QUERY_VECTORS} query vectors: pass them in turns")
-    corpus = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("__v")).where("__v is not null")
-    pairs = corpus.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("__q")).where("__q is not null")))
-    scored = pairs.select("query_id", "doc_id", METRICS[metric](F.col("__v"), F.col("__q")).alias("score"))
-    return ranked(scored, k)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    turns = -(-asked.count() // QUERY_VECTORS) or 1
+    found = None
+    for turn in range(turns):
+        mine = asked if turns == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        one = _search(vectors, mine, k, metric, id_col, vector_col)
+        found = one if found is None else found.unionByName(one)
+    return ranked(found, k)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+    asked = queries.toPandas()
+    names = asked["query_id"].to_numpy()
+    matrix = np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), -1)
+    sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    score = METRICS[metric]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        for batch in batches:
+            if not len(names) or not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([batch]).sort_by("doc_id").combine_chunks()
+            ids, column = batch["doc_id"], batch["v"].combine_chunks()
+            rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            step = max(1, _BLOCK // len(names))
+            for i in range(0, len(ids), step):
+                scores = score(rows[i : i + step], matrix)
+                row, asks = np.nonzero(_best(np.round(scores, 6), k))
+                yield pa.RecordBatch.from_arrays([pa.array(names[asks]), ids.take(pa.array(row + i)).combine_chunks(), pa.array(scores[row, asks])], ["query_id", "doc_id", "score"])
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    corpus = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v")).where("v is not null")
+    return corpus.mapInArrow(nearest, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import identifier_words, tokens
+from quarry.functions.text import filled, identifier_words, pieces, tokens
+from quarry.storage import scratch, settle, spread, tasks
 
 K1, B, EPSILON = 1.5, 0.75, 1e-9
 QUERY_ROWS = 200_000  # query terms up to which they are broadcast
@@ -22,21 +24,29 @@ def ranked(scores: DataFrame, k: int, score: str = "score", by: str = "query_id"
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """(doc_id, dl, t). The length is taken here: next to an explode it would be worked out again for every token."""
-    return docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
+    """(doc_id, dl, t), t with empty tokens at its ends perhaps. The length is taken here: next to an explode it would be worked out again for every token."""
+    if tokenizer is tokens:
+        cut, count = pieces, filled
+    else:
+        cut, count = tokenizer, F.size
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "doc_id")
+    return texts.select("doc_id", F.coalesce(cut(F.col("t")), F.array().cast("array<string>")).alias("t")).select("doc_id", count(F.col("t")).cast("int").alias("dl"), "t")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, positions: bool = False) -> DataFrame:
     """(doc_id, term, tf, dl[, positions]); summed before the shuffle. Documents without tokens have no rows."""
-    each = tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", F.posexplode("t").alias("pos", "term"))
+    parts = tokenized(docs, id_col, text_col, tokenizer)
+    before = F.when(F.get("t", F.lit(0)) == "", 1).otherwise(0) if tokenizer is tokens else F.lit(0)
+    each = parts.where("dl > 0").select("doc_id", "dl", before.alias("before"), F.posexplode("t").alias("pos", "term")).where("term != ''")
+    sums = [F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")]
     if positions:
-        return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+        sums.append(F.sort_array(F.collect_list(F.col("pos") - F.col("before"))).alias("positions"))
+    return each.groupBy("doc_id", "term").agg(*sums)
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """One row: n documents and their average length."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenizer(F.col(text_col)))).alias("avgdl"))
+    return tokenized(docs, text_col, text_col, tokenizer).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -44,38 +54,87 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tokenizer(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of all documents that share a term with the query.
+ALL = ""  # the term that every document has once in stored counts, so that documents without tokens count too
+
+
+def _terms() -> Column:
+    return F.explode(F.concat("t", F.array(F.lit(ALL)))).alias("term")
+
+
+def _counts(each: DataFrame) -> DataFrame:
+    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (term, doc_id, tf, dl) of a collection, in order of terms: texts are tokenized once for all searches."""
+
+    path: str
+    tokenizer: Callable[[Column], Column]
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
 
-    Only tokens that some query has leave the scan: the terms are broadcast when few, else joined. Term counts
-    and document frequencies are summed before they are shuffled, so a common word is no hot key.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, path: str | None = None) -> Index:
+    """Tokenize all texts and store their postings at the path, or in a folder of the session's.
+
+    A common term's rows go to as many files as its number asks for: the range key goes on with the document.
     """
-    asked = query_terms(queries, tokenizer=tokenizer)
-    wanted = asked.select("term").distinct()
-    few = asked.count() <= QUERY_ROWS
-    hint = F.broadcast if few else (lambda t: t)
-    each = tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", F.explode("t").alias("term")).join(hint(wanted), "term", "left_semi")
-    found = each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of a query at most
-    stats = corpus_stats(docs, text_col, tokenizer)
-    weights = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    weights = weights.select("query_id", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + EPSILON)
-    return found.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > EPSILON)
+    spark = docs.sparkSession
+    path = path or f"{scratch(spark, 'postings')}/rows"
+    found = _counts(tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms()))
+    found = found.repartitionByRange(tasks(spark), "term", F.xxhash64("doc_id")).sortWithinPartitions("term")
+    found.select("term", "doc_id", "tf", "dl").write.parquet(path)
+    return Index(path, tokenizer)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
+def bm25_scores(
+    docs: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that share a term with the query. docs: a table of texts, or a stored index of one.
+
+    Of a table's texts, which are tokenized once, only tokens that some query has leave the scan, summed by document. Scores are
+    summed where a document's rows are, so query terms times documents never move: only each task's best do, when ranked.
+    """
+    spark = queries.sparkSession
+    asked = settle(query_terms(queries, tokenizer=docs.tokenizer if isinstance(docs, Index) else tokenizer))
+    few = asked.count() <= QUERY_ROWS
+    hint = F.broadcast if few else (lambda t: t)
+    wanted = asked.select("term").union(spark.createDataFrame([(ALL,)], "term string")).distinct()
+    if isinstance(docs, Index):
+        found = docs.postings(spark).join(hint(wanted), "term", "left_semi")
+    else:
+        each = tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms())
+        found = settle(_counts(each.join(hint(wanted), "term", "left_semi")))
+    n, avgdl = found.where(F.col("term") == ALL).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    terms = found.where(F.col("term") != ALL)
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of a query at most
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)) + EPSILON)
+    terms = terms.repartition(tasks(spark), "doc_id")
+    return terms.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > EPSILON)
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int, **how) -> DataFrame:
     """(query_id, doc_id, score, rank, distance); distance falls as the score rises."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     return ranked(bm25_scores(docs, queries, **how), k).withColumn("distance", F.exp(-0.1 * F.col("score")))
 
 
-def fields_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """BM25 over the content and over its identifier words, summed by document."""
-    content = bm25_scores(docs, queries, id_col=id_col, text_col=text_col)
-    symbols = docs.withColumn("__symbols", identifier_words(F.col(text_col)))
-    symbols = bm25_scores(symbols, queries, id_col=id_col, text_col="__symbols")
-    both = content.unionByName(symbols).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    return ranked(both, k)
+def with_symbols(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the text's identifier words in its place."""
+    return docs.withColumn(text_col, identifier_words(F.col(text_col)))
+
+
+def fields_search(docs: DataFrame | tuple[Index, Index], queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """BM25 over the content and over its identifier words, summed by document. docs: a table, or the two fields' indexes."""
+    content, symbols = docs if isinstance(docs, tuple) else (docs.select(id_col, text_col), with_symbols(docs.select(id_col, text_col), text_col))
+    how = {"id_col": id_col, "text_col": text_col}
+    both = bm25_scores(content, queries, **how).unionByName(bm25_scores(symbols, queries, **how))
+    return ranked(both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), k)
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,9 +143,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id",
     Positions are joined to the phrase's first token and counted back: all tokens of a hit have one start.
     """
     asked = phrases.select("query_id", F.posexplode(tokens(F.col("query"))).alias("at", "term"))
-    sizes = tokenized(phrases, "query_id", "query").select(F.col("doc_id").alias("query_id"), F.col("dl").alias("size"))
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-    hint = F.broadcast if asked.count() <= QUERY_ROWS else (lambda t: t)
+    sizes = phrases.select("query_id", F.size(tokens(F.col("query"))).alias("size"))
+    # places may be one off where a text begins between tokens: only their differences count
+    placed = tokenized(docs, id_col, text_col).select("doc_id", F.posexplode("t").alias("pos", "term"))
+    hint = F.broadcast if asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else (lambda t: t)
     starts = placed.join(hint(asked), "term").groupBy("query_id", "doc_id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     full = starts.join(hint(sizes), "query_id").where("n = size")
     return full.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import sent, settle
+
 MOST_CHARACTERS = 16_000
 
 
@@ -22,7 +24,8 @@ def expand(hits: DataFrame, passages: DataFrame, sources: DataFrame, radius: int
     """
     if not 0 <= radius <= 3 or whole < 0:
         raise ValueError("radius must be from 0 to 3 and whole not negative")
-    mine = passages.join(sources.select("doc_id", "text"), "doc_id")
+    asked = sent(settle(hits.select("doc_id").distinct()))  # only what was found is read and verified
+    mine = passages.join(asked, "doc_id", "left_semi").join(sources.select("doc_id", "text").join(asked, "doc_id", "left_semi"), "doc_id")
     mine = mine.withColumn("ok", verified(F.col("text"), F.col("start_offset").cast("int"), F.col("end_offset").cast("int"), F.col("content"))).withColumn("length", F.length("text")).drop("text")
     around = Window.partitionBy("doc_id").orderBy("start_offset", "end_offset").rowsBetween(-radius, radius)
     mine = mine.withColumn("from", F.min("start_offset").over(around)).withColumn("to", F.max("end_offset").over(around)).withColumn("all_ok", F.bool_and("ok").over(around))

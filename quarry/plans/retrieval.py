@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions.text import identifier_words, tokens
 from quarry.operators import dense, fusion, lexical
 from quarry.operators.lexical import ranked
-from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, bm25_sql, documents, gold, query_vectors, questions, table, top_sql, vectors
+from quarry.operators.matches import relevant_files
+from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, bm25_sql, documents, gold, lexical_index, query_vectors, questions, table, top_sql, vectors
+from quarry.storage import sent, settle
 
 QUERIES, ORACLES = {}, {}
 _VECTOR_QUERIES = "vq AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 25 = 0)"
@@ -30,12 +32,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {QUESTIONS}, {bm25_sql()} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {top_sql('bm25', 5)}")
 def q5_bm25_top5(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(lexical.bm25(documents(spark, d), questions(spark, d), 5).drop("distance"))
+    return _rounded(lexical.bm25(lexical_index(spark, d), questions(spark, d), 5).drop("distance"))
 
 
 @query(f"WITH {QUESTIONS}, {bm25_sql()} SELECT query_id, doc_id, round(exp(-0.1 * score), 6) AS distance FROM {top_sql('bm25', 20)}")
 def q5_bm25_distance(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(documents(spark, d), questions(spark, d), 20).select("query_id", "doc_id", F.round("distance", 6).alias("distance"))
+    return lexical.bm25(lexical_index(spark, d), questions(spark, d), 20).select("query_id", "doc_id", F.round("distance", 6).alias("distance"))
 
 
 def _dense_sql(score: str, k: int = 10) -> str:
@@ -69,9 +71,9 @@ def q16_vector_valid(spark: SparkSession, d: str) -> DataFrame:
 
 def _channels(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Dense and lexical lists for the same questions: question i asks with vector i."""
-    asked = vectors(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(F.broadcast(questions(spark, d).select("query_id")), "query_id", "left_semi")
+    asked = vectors(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(sent(questions(spark, d).select("query_id")), "query_id", "left_semi")
     near = dense.search(vectors(spark, d), asked, k)
-    return near, lexical.bm25(documents(spark, d), questions(spark, d), k)
+    return near, lexical.bm25(lexical_index(spark, d), questions(spark, d), k)
 
 
 _CHANNELS = f"""{QUESTIONS}, {bm25_sql()},
@@ -107,16 +109,16 @@ _BALANCED = """turns AS (SELECT query_id, doc_id, min((rank, channel)) AS turn F
 
 @query(f"WITH {_CHANNELS}, {_rrf_sql(1.0, 1.0)}, {_BALANCED} SELECT query_id, doc_id, fused_rank, shortlist_rank FROM shortlist")
 def q9_balanced(spark: SparkSession, d: str) -> DataFrame:
-    channels = [c.persist() for c in _channels(spark, d)]
+    channels = [settle(c) for c in _channels(spark, d)]
     return fusion.balanced(fusion.rrf(*channels), channels, 12).select("query_id", "doc_id", "fused_rank", "shortlist_rank")
 
 
 def hybrid(spark: SparkSession, d: str, candidates: int = 12, top: int = 5) -> DataFrame:
     """Dense and lexical search, fusion, balanced shortlist, reranking by the stand-in scorer, final ranks."""
-    channels = [c.persist() for c in _channels(spark, d)]
+    channels = [settle(c) for c in _channels(spark, d)]
     shortlist = fusion.balanced(fusion.rrf(*channels), channels, candidates)
     texts = documents(spark, d).select("doc_id", "source", F.col("text").alias("content"))
-    full = shortlist.join(texts, "doc_id", "left").join(F.broadcast(questions(spark, d)), "query_id")
+    full = shortlist.join(texts, "doc_id", "left").join(sent(questions(spark, d)), "query_id")
     full = full.withColumn("content", F.concat(F.lit("Source: "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
     score = fusion.keyword_overlap(F.col("query"), F.col("content"), tokens)
     return fusion.rerank(full, score, top).select("query_id", "doc_id", F.round("rerank_score", 6).alias("score"), "shortlist_rank", "final_rank")
@@ -147,23 +149,13 @@ _SYMBOLS = r"regexp_replace(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z
     b AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT * FROM c UNION ALL SELECT * FROM s) GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 5) AS score FROM {top_sql("b", 5)}""")
 def q3_two_fields(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.fields_search(documents(spark, d), questions(spark, d), 5).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return lexical.fields_search((lexical_index(spark, d), lexical_index(spark, d, "symbols")), questions(spark, d), 5).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
-_PHRASES = f"ph AS (SELECT item_id AS query_id, {TOKENS.format('text')}[1:3] AS t FROM benchmark)"
-
-
-@query(f"""WITH {_PHRASES}, dt AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
-    w AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 2), lambda i: [t[i], t[i + 1], t[i + 2]])) AS w FROM dt WHERE len(t) >= 3)
-    SELECT query_id, doc_id, count(*) AS hits FROM ph JOIN w ON w.w = ph.t WHERE len(ph.t) = 3 GROUP BY ALL""")
+@query(f"""WITH ph AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS p FROM benchmark), dt AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
+    c AS (SELECT query_id, doc_id, p, t FROM ph JOIN dt ON len(p) > 0 AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' '))
+    SELECT query_id, doc_id, len(list_filter(generate_series(1, len(t) - len(p) + 1), lambda i: t[i:i + len(p) - 1] = p)) AS hits FROM c""")
 def q4_phrase(spark: SparkSession, d: str) -> DataFrame:
-    three = F.slice(tokens(F.col("query")), 1, 3)
-    asked = questions(spark, d).where(F.size(three) == 3).withColumn("query", F.array_join(three, " "))
-    return lexical.phrase_matches(documents(spark, d), asked)
-
-
-@query()
-def q4_phrase_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every question's whole token sequence as the phrase."""
     return lexical.phrase_matches(documents(spark, d), questions(spark, d))
 
@@ -180,12 +172,12 @@ def c14_symbols(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", identifier_words(F.col("text")).alias("symbols"))
 
 
-@query(f"""WITH {QUESTIONS}, {GOLD}, {bm25_sql()}, r AS {top_sql("bm25", 10)}
-    SELECT query_id, doc_id, rank FROM r WHERE doc_id IN (SELECT doc_id FROM gold)""")
+@query(f"""WITH {QUESTIONS}, {GOLD}, {bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM gold)")}
+    SELECT query_id, doc_id, rank FROM {top_sql("bm25", 10)}""")
 def q23_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Only hits inside a scope of documents, which is a table."""
+    """Search inside a scope of documents, which is a table: the scope comes before the ranking."""
     scope = gold(spark, d).select("doc_id").distinct()
-    return lexical.bm25(documents(spark, d), questions(spark, d), 10).join(scope, "doc_id", "left_semi").select("query_id", "doc_id", "rank")
+    return lexical.bm25(documents(spark, d).join(scope, "doc_id", "left_semi"), questions(spark, d), 10).select("query_id", "doc_id", "rank")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text AS question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')
@@ -200,13 +192,12 @@ def q24_conversation(spark: SparkSession, d: str) -> DataFrame:
     return turns.withColumn("previous", previous).select("conv_id", "turn", F.when(F.col("previous").isNull(), F.trim("text")).otherwise(both).alias("query"))
 
 
-@query("""WITH f AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')) AS w FROM benchmark), c AS (SELECT DISTINCT query_id, lower(w) AS w FROM f WHERE w <> '')
-    SELECT query_id, path, count(*) AS score FROM c JOIN (SELECT lower(source || '/' || lang || '_' || doc_id || '.txt') AS path FROM documents) p ON contains(p.path, w) GROUP BY ALL""")
+@query("""WITH f AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')) AS w FROM benchmark), c AS (SELECT DISTINCT query_id, lower(w) AS w FROM f WHERE w <> ''),
+    p AS (SELECT source || '/' || lang || '_' || doc_id || '.txt' AS path FROM documents), s AS (SELECT query_id, path, count(*) AS score FROM c JOIN p ON contains(lower(p.path), w) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s QUALIFY rank <= 5""")
 def s2_relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct question words that a file's path contains."""
-    words = questions(spark, d).select("query_id", F.explode(F.split("query", " ")).alias("w")).where("w != ''").select("query_id", F.lower("w").alias("w")).distinct()
-    paths = documents(spark, d).select(F.lower(F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    return paths.join(F.broadcast(words), F.col("path").contains(F.col("w"))).groupBy("query_id", "path").agg(F.count(F.lit(1)).alias("score"))
+    """The five files whose path holds the most distinct words of a question."""
+    return relevant_files(documents(spark, d).select(F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")), questions(spark, d))
 
 
 __all__ = ["QUERIES", "ORACLES", "hybrid", "ranked"]

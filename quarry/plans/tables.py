@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import lexical
+from quarry.operators.matches import holding
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,10 +30,21 @@ def query_vectors(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFram
     return vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+_indexes: dict[tuple[str, str, str], lexical.Index] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str, field: str = "text") -> lexical.Index:
+    """The stored index of the documents' texts, or of their identifier words (`symbols`); built when a session first asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir, field
+    if key not in _indexes:
+        rows = documents(spark, sf_dir).select("doc_id", "text")
+        _indexes[key] = lexical.build_index(lexical.with_symbols(rows) if field == "symbols" else rows)
+    return _indexes[key]
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): documents that hold a question's text word for word. The questions are a stated, broadcast set."""
-    asked = questions(spark, sf_dir).where("query != ''")
-    return documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    """(query_id, doc_id): documents that hold a question's text word for word."""
+    return holding(documents(spark, sf_dir), questions(spark, sf_dir))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
