@@ -12,11 +12,20 @@ def test_stems():
     assert {w: stem(w) for w in pairs} == pairs and fold("café") == "cafe"
 
 
-def test_intents():
-    assert answers.selection_limits("Find three passages, at most seven words") == (3, 7)
-    assert answers.selection_limits("Give 9 passages up to 40 words") == (5, 10) and answers.selection_limits("x") == (2, 10)
-    assert answers.requests_passages("Which passages show it?") and not answers.requests_passages("What are passages?")
-    assert answers.requests_references("Add the page numbers") and not answers.requests_references("Why is it so?")
+def test_intents(spark):
+    wants = {
+        "Find three passages, at most seven words": (3, 7, True, True),
+        "Give 9 passages up to 40 words": (5, 10, True, True),
+        "Return 99999999999 passages of no more than zero words": (5, 10, True, True),
+        "x": (2, 10, False, False),
+        "Which passages show it?": (2, 10, True, True),
+        "What are passages?": (2, 10, False, False),
+        "Add the page numbers": (2, 10, False, True),
+        "Please cite it": (2, 10, False, True),
+        "Why is it so?": (2, 10, False, False),
+    }
+    rows = spark.createDataFrame([(q,) for q in wants], "q string").select("q", answers.intents(F.col("q")).alias("i")).collect()
+    assert {r["q"]: tuple(r["i"]) for r in rows} == wants
 
 
 def test_anchors_and_envelopes():

@@ -83,18 +83,29 @@ def test_clean():
     assert readers.clean(None, False) == ""
 
 
-@pytest.mark.parametrize(
-    "question,expected",
-    [
-        ("What is reciprocal rank fusion?", ["What is reciprocal rank fusion?"]),
-        ("Which database is used? Explain the migration approach. Return the answer as JSON.", ["Which database is used?", "Explain the migration approach."]),
-        ("Which passages show learning, independent thinking, or disciplined judgment?", ["learning", "independent thinking", "disciplined judgment"]),
-        ("Was the database SQLite or PostgreSQL?", ["Was the database SQLite or PostgreSQL?"]),
-        ("What is a, and why is b, and how is c, and when is d?", ["What is a", "why is b", "how is c when is d?"]),
-    ],
-)
-def test_facets(question, expected):
-    assert facets.facets_of(question) == expected
+FACETS = {
+    "What is reciprocal rank fusion?": ["What is reciprocal rank fusion?"],
+    "Which database is used? Explain the migration approach. Return the answer as JSON.": ["Which database is used?", "Explain the migration approach."],
+    "Which passages show learning, independent thinking, or disciplined judgment?": ["learning", "independent thinking", "disciplined judgment"],
+    "Was the database SQLite or PostgreSQL?": ["Was the database SQLite or PostgreSQL?"],
+    "What is a, and why is b, and how is c, and when is d?": ["What is a", "why is b", "how is c when is d?"],
+    "Which passages show a, b, c or d?": ["a", "b", "c d"],
+    "  For each tool,  what is it with citations?\n": ["what is it?"],
+    "Return the main risks as a table. Do not invent facts.": ["the main risks"],
+    "Return the result as JSON.": ["Return the result as JSON."],
+    "How do we evaluate RAG? List the steps.": ["How do we evaluate RAG?", "List the steps.", facets.EVALUATION_FACETS[0]],
+    "How is it measured? Recommend a strategy.": ["How is it measured? Context: How is it measured? Recommend a strategy.", "Recommend a strategy. Context: How is it measured? Recommend a strategy."],
+    "": [],
+    None: [],
+}
+
+
+def test_facets(spark):
+    rows = spark.createDataFrame(list(enumerate(FACETS)), "query_id long, query string")
+    got = {i: [] for i in range(len(FACETS))}
+    for r in facets.decompose(rows).orderBy("query_id", "facet_no").collect():
+        got[r["query_id"]].append(r["facet"])
+    assert list(got.values()) == list(FACETS.values())
 
 
 def test_sign_test_and_percentile(spark):
