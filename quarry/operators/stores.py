@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import settle
+
 MOST_DOCUMENTS, MOST_BYTES, MOST_TOTAL = 500, 16 << 20, 64 << 20
 
 
@@ -15,12 +16,16 @@ class Conflict(RuntimeError):
     """The revision isn't the expected one."""
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, so that parts stay as they are."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+def source_id(path: Column) -> Column:
+    """The id of an imported file: its path's SHA-256."""
+    return F.concat(F.lit("file-"), F.sha2(path, 256))
+
+
+def set_labels(stored: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("run_id", "rank")) -> DataFrame:
+    """Labels by key: a change sets its key's label, a null one clears it; others stay. Of several changes of a key, that of the highest `n` counts."""
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct("label"), "n").alias("new"))
+    both = stored.select(*keys, F.struct("label").alias("old")).join(last, list(keys), "full_outer")
+    return both.select(*keys, F.coalesce("new", "old")["label"].alias("label")).where("label is not null")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
@@ -35,7 +40,7 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, ordinal: str = "ordinal"
     held = stored.select(key, ordinal, F.struct(*names).alias("old")).join(revised, key, "left").select(key, ordinal, *[kept[c].alias(c) for c in names])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     added = new.select(key, *names).join(stored.select(key), key, "left_anti")
-    added = _stored(added.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()))
+    added = settle(added.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()))
     before = stored.agg(F.coalesce(F.max(ordinal), F.lit(-1))).first()[0] + 1
     starts = []
     for part, n in sorted((r["__part"], r["count"]) for r in added.groupBy("__part").count().collect()):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_citations, tokens
-from quarry.operators import lexical, metrics
-from quarry.plans.tables import GOLD, PASSAGES, QUESTIONS, TOKENS, bm25_sql, documents, gold, passages, questions, table, top_sql
+from quarry.operators import lexical, metrics, reports
+from quarry.plans.tables import GOLD, PASSAGES, QUESTIONS, TOKENS, bm25_sql, documents, gold, lexical_index, passages, questions, table, top_sql
+from quarry.storage import sent, settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,7 +38,7 @@ _METRICS = f"""{_ARMS}, size AS (SELECT query_id, count(DISTINCT doc_id) AS n_go
 
 
 def arms(spark: SparkSession, d: str) -> DataFrame:
-    top = lexical.bm25(documents(spark, d), questions(spark, d), 10).select("query_id", "doc_id", "rank").persist()
+    top = settle(lexical.bm25(lexical_index(spark, d), questions(spark, d), 10).select("query_id", "doc_id", "rank"))
     by_id = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
     return top.withColumn("arm", F.lit("score")).unionByName(by_id.withColumn("arm", F.lit("id")))
 
@@ -59,19 +61,37 @@ def e7_map(spark: SparkSession, d: str) -> DataFrame:
     return _round(_metrics(spark, d).select("arm", "query_id", "precision5", "average_precision"), "precision5", "average_precision")
 
 
-@query(f"""WITH {_METRICS} SELECT arm, count(*) AS completed, (SELECT count(*) FROM q) - count(*) AS remaining,
-    round(avg(recall5), 6) AS recall5, round(avg(recall10), 6) AS recall10, round(avg(ndcg10), 6) AS ndcg10, round(avg(mrr), 6) AS mrr FROM metrics GROUP BY arm""")
+_EVENTS = f"""{_METRICS}, events_of AS (SELECT arm, query_id, CASE WHEN query_id % 7 = 0 THEN 'error' ELSE 'complete' END AS event, recall5, recall10, ndcg10, mrr, (query_id % 13 + 1) / 10.0 AS latency_seconds FROM metrics)"""
+_MEANS = ("recall5", "recall10", "ndcg10", "mrr")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger over both arms: every question is tried twice, and the second time each seventh fails."""
+    rows = _metrics(spark, d).select("arm", "query_id", *_MEANS, ((F.col("query_id") % 13 + 1) / 10.0).alias("latency_seconds"))
+    again = rows.withColumn("n", F.lit(2)).withColumn("event", F.when(F.col("query_id") % 7 == 0, "error").otherwise("complete"))
+    return rows.withColumn("n", F.lit(1)).withColumn("event", F.lit("complete")).unionByName(again)
+
+
+@query(f"""WITH {_EVENTS} SELECT arm, count(*) FILTER (event = 'complete') AS completed, count(*) FILTER (event = 'error') AS errors, (SELECT count(*) FROM q) - count(*) FILTER (event = 'complete') AS remaining,
+    round(avg(recall5) FILTER (event = 'complete'), 6) AS recall5, round(avg(recall10) FILTER (event = 'complete'), 6) AS recall10, round(avg(ndcg10) FILTER (event = 'complete'), 6) AS ndcg10, round(avg(mrr) FILTER (event = 'complete'), 6) AS mrr FROM events_of GROUP BY arm""")
 def e6_summary(spark: SparkSession, d: str) -> DataFrame:
-    planned = questions(spark, d).agg(F.count(F.lit(1)).alias("planned"))
-    means = [F.round(F.avg(m), 6).alias(m) for m in ("recall5", "recall10", "ndcg10", "mrr")]
-    return _metrics(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("completed"), *means).crossJoin(planned).withColumn("remaining", F.col("planned") - F.col("completed")).drop("planned")
+    return reports.run_summary(_events(spark, d), questions(spark, d).select("query_id"), _MEANS)
 
 
-@query(f"""WITH {_METRICS} SELECT count(*) AS questions, count(*) FILTER (a.mrr > b.mrr) AS first_better, count(*) FILTER (a.mrr < b.mrr) AS second_better,
-    round(avg(a.mrr), 6) AS first_mean, round(avg(b.mrr), 6) AS second_mean FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id'""")
+_SIGN = "least(1.0, 2 * list_sum(list_transform(generate_series(0, least(w, l)), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2)))))"
+
+
+@query(f"""WITH {_METRICS}, c AS (SELECT count(*) AS questions, count(*) FILTER (a.mrr > b.mrr) AS w, count(*) FILTER (a.mrr < b.mrr) AS l,
+        round(avg(a.mrr), 6) AS first_mean, round(avg(b.mrr), 6) AS second_mean FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
+    SELECT questions, w AS first_better, l AS second_better, first_mean, second_mean, round({_SIGN}, 6) AS p FROM c""")
 def e10_report(spark: SparkSession, d: str) -> DataFrame:
-    both = _metrics(spark, d).groupBy("query_id").pivot("arm", ["score", "id"]).agg(F.first("mrr")).where("score is not null and id is not null")
-    return both.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("score") > F.col("id")).alias("first_better"), F.count_if(F.col("score") < F.col("id")).alias("second_better"), F.round(F.avg("score"), 6).alias("first_mean"), F.round(F.avg("id"), 6).alias("second_mean"))
+    return reports.paired(_metrics(spark, d), "mrr", "score", "id")
+
+
+@query(f"""WITH {_EVENTS} SELECT arm, count(*) AS questions, round(avg(recall5), 4) AS recall5, round(avg(recall10), 4) AS recall10, round(avg(ndcg10), 4) AS ndcg10, round(avg(mrr), 4) AS mrr,
+    round(quantile_disc(latency_seconds, 0.5), 3) AS latency_p50_s, round(quantile_disc(latency_seconds, 0.95), 3) AS latency_p95_s FROM events_of GROUP BY arm""")
+def e10_arms(spark: SparkSession, d: str) -> DataFrame:
+    return reports.arm_report(_events(spark, d).where("n = 2"), _MEANS)
 
 
 @query(f"""WITH {_METRICS}, c AS (SELECT count(*) FILTER (a.mrr > b.mrr) AS w, count(*) FILTER (a.mrr < b.mrr) AS l FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
@@ -88,25 +108,13 @@ def e8_percentile(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- spans
 
-_SPANS = f"""{PASSAGES}, l AS (SELECT doc_id, n AS l_n, start_offset AS l_start, end_offset AS l_end FROM passages WHERE n < 6),
-    r AS (SELECT doc_id, n AS r_n, greatest(0, start_offset - 20) AS r_start, end_offset - 20 AS r_end FROM passages WHERE n < 6 AND end_offset > 20)"""
-
-
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    base = passages(spark, d).where("n < 6")
-    left = base.select("doc_id", F.col("n").alias("l_n"), F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
-    right = base.where("end_offset > 20").select("doc_id", F.col("n").alias("r_n"), F.greatest(F.lit(0), F.col("start_offset") - 20).alias("r_start"), (F.col("end_offset") - 20).alias("r_end"))
-    return metrics.span_overlap(left, right, ["doc_id"])
+_SPANS = f"""{PASSAGES}, l AS (SELECT doc_id, n AS l_n, start_offset AS l_start, end_offset AS l_end FROM passages),
+    r AS (SELECT doc_id, n AS r_n, greatest(0, start_offset - 20) AS r_start, end_offset - 20 AS r_end FROM passages WHERE end_offset > 20)"""
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, l_n, r_n FROM l JOIN r USING (doc_id) WHERE least(l_end, r_end) - greatest(l_start, r_start) > 0 AND (least(l_end, r_end) - greatest(l_start, r_start)) * 2 >= least(l_end - l_start, r_end - r_start)")
 def e1_span_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).select("doc_id", "l_n", "r_n")
-
-
-@query()
-def e1_span_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All lines. Spans meet in bins of 256 offsets of their document, and each pair in the bin where its overlap starts."""
+    """All lines against themselves shifted. Spans meet in bins of 256 offsets of their document, and each pair in the bin where its overlap starts."""
     base = passages(spark, d)
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 256), F.floor((F.col(b) - 1) / 256))).alias("bin")
     left = base.select("doc_id", F.col("n").alias("l_n"), F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
@@ -121,22 +129,25 @@ def e1_span_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, (hits > 0)::DOUBLE AS hit, round(found / answers, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr, round(gain / list_sum(list_transform(generate_series(1, least(answers, passages)), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(hits / passages, 6) AS precision FROM s JOIN sizes USING (query_id)""")
 def e3_scores(spark: SparkSession, d: str) -> DataFrame:
     top = arms(spark, d).where("arm = 'score'").select("query_id", "doc_id", "rank")
-    answers = gold(spark, d).persist()
+    answers = settle(gold(spark, d))
     marked = top.join(answers.withColumn("group_no", F.col("doc_id")), ["query_id", "doc_id"], "left")
     scores = metrics.span_scores(marked, answers.groupBy("query_id").agg(F.count_distinct("doc_id").alias("answers")))
     return _round(scores, "recall", "mrr", "ndcg", "precision")
 
 
-@query(f"""WITH {_ARMS} SELECT query_id, min(rank) AS anchor_rank FROM top JOIN gold USING (query_id, doc_id) GROUP BY query_id""")
+@query(f"""WITH {_ARMS}, f AS (SELECT arm, query_id, min(rank) AS rank FROM ranked JOIN gold USING (query_id, doc_id) GROUP BY arm, query_id)
+    SELECT query_id, arm AS channel, rank, coalesce(rank <= 5, false) AS hit FROM (SELECT query_id, arm FROM q, (SELECT DISTINCT arm FROM ranked)) LEFT JOIN f USING (query_id, arm)""")
 def e30_anchor_rank(spark: SparkSession, d: str) -> DataFrame:
-    return arms(spark, d).where("arm = 'score'").join(gold(spark, d), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("anchor_rank"))
+    """Each question's text is its anchor; both arms are channels."""
+    hits = arms(spark, d).join(documents(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("arm", "channel")
+    return reports.anchor_ranks(hits, questions(spark, d).where("query != ''").withColumnRenamed("query", "anchor"))
 
 
 @query(f"""WITH {_ARMS}, hit AS (SELECT query_id, min(rank) AS r FROM top JOIN gold USING (query_id, doc_id) GROUP BY query_id)
     SELECT count(*) AS questions, count(*) FILTER (r = 1) AS top1, count(*) FILTER (r <= 5) AS top5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM q LEFT JOIN hit USING (query_id)""")
 def e21_code_ranks(spark: SparkSession, d: str) -> DataFrame:
-    every = questions(spark, d).select("query_id").join(e30_anchor_rank(spark, d), "query_id", "left")
-    return every.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("anchor_rank") == 1).alias("top1"), F.count_if(F.col("anchor_rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("anchor_rank"), F.lit(0.0))), 6).alias("mrr"))
+    every = questions(spark, d).select("query_id").join(e30_anchor_rank(spark, d).where("channel = 'score'").select("query_id", "rank"), "query_id", "left")
+    return every.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
 _KEYWORDS = r"list_filter(list_transform(regexp_split_to_array(lower(query), '\s+'), lambda w: trim(w, '.,;:\"''()')), lambda w: length(w) > 3)"
@@ -167,7 +178,7 @@ def e20_keyword_grade(spark: SparkSession, d: str) -> DataFrame:
 def e19_containment(spark: SparkSession, d: str) -> DataFrame:
     from quarry.functions.text import collapsed
 
-    top = arms(spark, d).where("arm = 'score'").join(documents(spark, d).select("doc_id", "text"), "doc_id").join(F.broadcast(questions(spark, d)), "query_id")
+    top = arms(spark, d).where("arm = 'score'").join(documents(spark, d).select("doc_id", "text"), "doc_id").join(sent(questions(spark, d)), "query_id")
     return top.select("query_id", "doc_id", F.lower(collapsed(F.col("text"))).contains(F.lower(collapsed(F.col("query")))).alias("contained"))
 
 
@@ -178,7 +189,7 @@ def e36_token_hits(spark: SparkSession, d: str) -> DataFrame:
     top = arms(spark, d).where("arm = 'score' and rank <= 5").join(documents(spark, d).select("doc_id", F.lower("text").alias("body")), "doc_id")
     asked = questions(spark, d).withColumn("long", F.filter(tokens(F.col("query")), lambda w: F.length(w) > 3))
     found = F.size(F.filter("long", lambda w: F.col("body").contains(w))) / F.size("long")
-    first = top.join(F.broadcast(asked), "query_id").where((F.size("long") > 0) & (found >= 0.5)).groupBy("query_id").agg(F.min("rank").alias("r"))
+    first = top.join(sent(asked), "query_id").where((F.size("long") > 0) & (found >= 0.5)).groupBy("query_id").agg(F.min("rank").alias("r"))
     every = asked.select("query_id").join(first, "query_id", "left")
     return every.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") == 1).alias("hit1"), F.count("r").alias("hit5"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
@@ -204,11 +215,18 @@ def e14_sample(spark: SparkSession, d: str) -> DataFrame:
     return metrics.fixed_sample(table(spark, d, "labels").select("doc_id"), "doc_id", 50)
 
 
-@query(f"""WITH g AS (SELECT source, {_GRADE} AS grade FROM labels JOIN documents USING (doc_id))
-    SELECT coalesce(source, 'all') AS collection, count(*) AS n, count(*) FILTER (grade = 'exact') AS exact, count(*) FILTER (grade = 'partial') AS partial, count(*) FILTER (grade = 'miss') AS miss FROM g GROUP BY ROLLUP (source)""")
+def _wilson_sql(k: str, sign: str) -> str:
+    return f"round(({k} / n + 1.96 * 1.96 / (2 * n) {sign} 1.96 * sqrt({k} / n * (1 - {k} / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 4)"
+
+
+_INTERVALS = ", ".join(f"{_wilson_sql(g, '-')} AS {g}_low, {_wilson_sql(g, '+')} AS {g}_high" for g in reports.GRADES)
+
+
+@query(f"""WITH g AS (SELECT source, {_GRADE} AS grade FROM labels JOIN documents USING (doc_id)), c AS (
+    SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE coalesce(source, '') END AS collection, count(*) AS n, count(*) FILTER (grade = 'exact') AS exact, count(*) FILTER (grade = 'partial') AS partial, count(*) FILTER (grade = 'miss') AS miss FROM g GROUP BY ROLLUP (source))
+    SELECT *, {_INTERVALS} FROM c""")
 def e28_grades(spark: SparkSession, d: str) -> DataFrame:
-    counts = [F.count_if(F.col("grade") == g).alias(g) for g in ("exact", "partial", "miss")]
-    return _graded(spark, d).rollup("source").agg(F.count(F.lit(1)).alias("n"), *counts).withColumn("collection", F.coalesce("source", F.lit("all"))).drop("source")
+    return reports.grade_counts(_graded(spark, d), "source")
 
 
 @query(f"""WITH g AS (SELECT source, count(*) AS n, count(*) FILTER ({_GRADE} = 'exact') AS k FROM labels JOIN documents USING (doc_id) GROUP BY source)
@@ -220,44 +238,66 @@ def e26_wilson(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("source", low.alias("low"), high.alias("high"))
 
 
-@query("SELECT quality AS before, count(*) FILTER (toxic = 0) AS \"0\", count(*) FILTER (toxic = 1) AS \"1\" FROM labels GROUP BY quality")
+@query("""SELECT quality AS before, toxic AS after, count(*) AS n, CASE WHEN toxic > quality THEN 'better' WHEN toxic < quality THEN 'worse' ELSE 'same' END AS change
+    FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL""")
 def e27_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Both flags stand for the grades of two runs."""
     labels = table(spark, d, "labels")
-    return metrics.transitions(labels.select("doc_id", F.col("quality").alias("x")), labels.select("doc_id", F.col("toxic").alias("x")), "doc_id", "x", [0, 1])
+    grades = lambda c: labels.where(F.col(c).isNotNull()).select("doc_id", F.col(c).alias("grade"))
+    return reports.grade_changes(grades("quality"), grades("toxic"), "doc_id", [1, 0])
 
 
-@query("""WITH u AS (SELECT doc_id, unnest(['quality', 'toxic']) AS side, unnest([quality, toxic]) AS label FROM labels)
-    SELECT CASE WHEN (doc_id % 2 = 0) = (side = 'quality') THEN 'A' ELSE 'B' END AS arm, label, count(*) AS n FROM u GROUP BY ALL""")
+@query("""WITH u AS (SELECT doc_id, unnest(['A', 'B']) AS side, unnest([quality, toxic]) AS grade FROM labels), k AS (SELECT doc_id, side, lang || '/' || side AS arm FROM documents, (VALUES ('A'), ('B')) v(side) WHERE doc_id % 3 <> 0)
+    SELECT arm, grade, count(*) AS n FROM u JOIN k USING (doc_id, side) WHERE grade IS NOT NULL GROUP BY ALL""")
 def e29_unblind(spark: SparkSession, d: str) -> DataFrame:
-    sides = table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "side", "label")
-    arm = F.when((F.col("doc_id") % 2 == 0) == (F.col("side") == "quality"), "A").otherwise("B")
-    return sides.groupBy(arm.alias("arm"), "label").agg(F.count(F.lit(1)).alias("n"))
+    """A key names the arm behind each side; items without a key aren't counted."""
+    key = documents(spark, d).where("doc_id % 3 <> 0").select("doc_id", "lang", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side"))
+    key = key.select("doc_id", "side", F.concat("lang", F.lit("/"), "side").alias("arm"))
+    return reports.unblinded(table(spark, d, "labels").select("doc_id", F.col("quality").alias("A"), F.col("toxic").alias("B")), key, "doc_id")
 
 
-@query("""WITH c AS (SELECT lang, 100.0 * avg(quality) AS p FROM labels JOIN documents USING (doc_id) GROUP BY lang)
-    SELECT (SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS questions, (SELECT round(100.0 * avg(quality), 1) FROM labels JOIN documents USING (doc_id)) AS correct_percent, round(avg(p), 1) AS category_average FROM c""")
+@query("""WITH r AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang AS category, count(*) AS questions, 100.0 * avg(quality) AS p FROM r GROUP BY lang)
+    SELECT category, questions, round(p, 1) AS correct_percent FROM (SELECT * FROM c UNION ALL SELECT 'all', count(*), 100.0 * avg(quality) FROM r UNION ALL SELECT 'average', sum(questions), avg(p) FROM c)""")
 def e31_category_average(spark: SparkSession, d: str) -> DataFrame:
-    rows = _graded(spark, d)
-    whole = rows.agg(F.count(F.lit(1)).alias("questions"), F.round(100 * F.avg("quality"), 1).alias("correct_percent"))
-    return whole.crossJoin(rows.groupBy("lang").agg((100 * F.avg("quality")).alias("p")).agg(F.round(F.avg("p"), 1).alias("category_average")))
+    return reports.category_summary(_graded(spark, d).withColumn("correct", F.col("quality")), "lang")
 
 
 @query(f"SELECT lang, round(avg(({_GRADE} = 'exact')::INT), 6) AS share, avg(({_GRADE} = 'exact')::INT) >= 0.8 AS passed FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def e22_release_gate(spark: SparkSession, d: str) -> DataFrame:
-    share = F.avg((F.col("grade") == "exact").cast("int"))
-    return _graded(spark, d).groupBy("lang").agg(F.round(share, 6).alias("share"), (share >= 0.8).alias("passed"))
+    return reports.release_gate(_graded(spark, d), "lang")
 
 
 @query(f"SELECT count(*) AS answered, count(*) FILTER ({_GRADE} = 'exact') AS correct, count(*) FILTER ({_GRADE} = 'partial') AS partial, count(*) FILTER ({_GRADE} = 'miss') AS wrong, round(avg(({_GRADE} = 'exact')::INT), 4) AS accuracy FROM labels JOIN documents USING (doc_id)")
 def e15_summary(spark: SparkSession, d: str) -> DataFrame:
-    exact = F.col("grade") == "exact"
-    return _graded(spark, d).agg(F.count(F.lit(1)).alias("answered"), F.count_if(exact).alias("correct"), F.count_if(F.col("grade") == "partial").alias("partial"), F.count_if(F.col("grade") == "miss").alias("wrong"), F.round(F.avg(exact.cast("int")), 4).alias("accuracy"))
+    return reports.accuracy(_graded(spark, d))
+
+
+_VERDICTS = """v AS (SELECT conv_id, conv_id % 7 = 0 AS refused, ['full', 'partial', 'none'][conv_id % 3 + 1] AS relevance, list(role = 'assistant' ORDER BY turn) AS passages, list(length(text) >= 60 ORDER BY turn) AS claims,
+        list(role = 'user' ORDER BY turn) AS fin, list(turn % 2 = 0 ORDER BY turn) AS fout, list(turn ORDER BY turn) AS cited, CASE WHEN conv_id % 5 = 0 THEN [] ELSE [0, 2, 3] END AS gold FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id),
+    s AS (SELECT conv_id AS question_id, CASE WHEN NOT refused THEN list_avg(claims::INT[]) END AS faithfulness, CASE relevance WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END AS answer_relevance, list_avg(passages::INT[]) AS context_relevance,
+        coalesce(list_sum(list_transform(generate_series(1, len(passages)), lambda i: CASE WHEN passages[i] THEN list_sum(passages[1:i]::INT[]) / i ELSE 0 END)) / nullif(list_sum(passages::INT[]), 0), 0) AS context_precision,
+        list_avg(fin::INT[]) AS context_recall, list_avg(fout::INT[]) AS completeness, CASE WHEN len(gold) > 0 THEN list_avg(list_transform(cited, lambda c: list_contains(gold, c)::INT)) END AS citation_precision FROM v)"""
+
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations stand for judged answers: turns are passages, claims, facts and citations."""
+    turns = table(spark, d, "conversations").where("turn is not null")
+    turn = F.struct("turn", (F.col("role") == "assistant").alias("passage"), (F.length("text") >= 60).alias("claim"), (F.col("role") == "user").alias("in_passages"), (F.col("turn") % 2 == 0).alias("in_answer"))
+    rows = turns.groupBy(F.col("conv_id").alias("question_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    gold_ids = F.when(F.col("question_id") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(*[F.lit(x).cast("long") for x in (0, 2, 3)]))
+    words = F.when(F.col("question_id") % 3 == 0, "full").when(F.col("question_id") % 3 == 1, "partial").otherwise("none")
+    return rows.select("question_id", (F.col("question_id") % 7 == 0).alias("refused"), F.col("t.claim").alias("claims"), words.alias("relevance"), F.col("t.passage").alias("passages"), F.transform("t", lambda x: F.struct(x["in_passages"], x["in_answer"])).alias("facts"), F.col("t.turn").alias("cited"), gold_ids.alias("gold"))
 
-@query("SELECT round(avg(quality), 4) AS faithfulness, round(avg(CASE WHEN toxic = 1 THEN quality END), 4) AS relevance, round(avg(CASE WHEN quality = 5 THEN 1 END), 4) AS citation_precision FROM labels")
+
+@query(f"WITH {_VERDICTS} SELECT question_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in reports.METRICS) + " FROM s")
+def e12_quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _round(reports.quality_scores(_verdicts(spark, d)), *reports.METRICS)
+
+
+@query(f"WITH {_VERDICTS} SELECT " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in reports.METRICS) + " FROM s")
 def e12_quality_mean(spark: SparkSession, d: str) -> DataFrame:
     """Means that leave nulls out; none at all is null."""
-    return table(spark, d, "labels").agg(F.round(F.avg("quality"), 4).alias("faithfulness"), F.round(F.avg(F.when(F.col("toxic") == 1, F.col("quality"))), 4).alias("relevance"), F.round(F.avg(F.when(F.col("quality") == 5, 1)), 4).alias("citation_precision"))
+    return reports.mean_scores(reports.quality_scores(_verdicts(spark, d)))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role = 'assistant' AS useful FROM conversations), r AS (SELECT conv_id, useful, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM t),
@@ -272,12 +312,31 @@ def e11_average_precision(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.round(precision, 6).alias("average_precision"), F.round(F.avg("useful"), 6).alias("share"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS claim FROM conversations WHERE role = 'assistant')
-    SELECT conv_id, count(*) FILTER (trim(claim) <> '') AS claims, count(*) FILTER (trim(claim) <> '' AND length(claim) < 30) AS unsupported FROM c GROUP BY conv_id""")
+@query(f"""WITH {_VERDICTS}, i AS (SELECT CASE WHEN conv_id % 11 = 0 THEN 'missing_evidence' ELSE 'success' END AS status, refused AS abstained, list_avg(claims::INT[]) AS faithfulness, CASE relevance WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END AS relevance, claims FROM v)
+    SELECT count(*) FILTER (status = 'success') AS checked_questions, count(*) FILTER (status = 'success' AND NOT abstained) AS answered, count(*) FILTER (status = 'success' AND abstained) AS abstained,
+        round(avg(faithfulness) FILTER (status = 'success' AND NOT abstained), 4) AS faithfulness, round(avg(relevance) FILTER (status = 'success' AND NOT abstained), 4) AS relevance,
+        coalesce(sum(len(list_filter(claims, lambda c: NOT c))) FILTER (status = 'success' AND NOT abstained), 0)::BIGINT AS unsupported_claims, count(*) FILTER (status = 'missing_evidence') AS missing_evidence FROM i""")
 def e16_answer_summary(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.explode(F.split("text", r"\.")).alias("claim"))
-    real = F.trim("claim") != ""
-    return claims.groupBy("conv_id").agg(F.count_if(real).alias("claims"), F.count_if(real & (F.length("claim") < 30)).alias("unsupported"))
+    verdicts = _verdicts(spark, d)
+    scores = reports.quality_scores(verdicts.withColumn("refused", F.lit(False))).select("question_id", "faithfulness", F.col("answer_relevance").alias("relevance"))
+    status = F.when(F.col("question_id") % 11 == 0, "missing_evidence").otherwise("success")
+    return reports.answer_summary(verdicts.select("question_id", status.alias("status"), F.col("refused").alias("abstained"), "claims").join(scores, "question_id"))
+
+
+@query("""WITH a AS (SELECT doc_id AS question_id, coalesce(text, '') AS answer, CASE WHEN doc_id % 6 = 5 THEN '' ELSE source END AS evidence FROM documents),
+    f AS (SELECT min(question_id) AS f FROM a WHERE evidence <> '' AND question_id % 1000 = 199),
+    s AS (SELECT *, CASE WHEN f IS NOT NULL AND question_id > f THEN 'not_checked' WHEN evidence = '' THEN 'missing_evidence' WHEN question_id % 1000 = 199 THEN 'error' ELSE 'success' END AS status FROM a, f)
+    SELECT question_id, status, CASE WHEN status = 'success' THEN CASE WHEN contains(answer, ' a ') THEN 'full' ELSE 'none' END END AS relevance, CASE WHEN status = 'error' THEN 'judge failed' END AS error FROM s""")
+def e17_check_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stand for answers; a stub judges them and fails on one."""
+
+    def judge(answers: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+        told = answers.str.extract(r"^(\d*)\n", expand=False).replace("", "0").astype("int64")
+        return pd.DataFrame({"claims": [[True]] * len(answers), "relevance": answers.map(lambda t: "full" if " a " in t else "none"), "error": [None if i % 1000 != 199 else "judge failed" for i in told]})
+
+    n = F.col("doc_id")
+    rows = documents(spark, d).select(n.alias("question_id"), F.concat(n.cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("answer"), F.when(n % 6 == 5, "").otherwise(F.col("source")).alias("evidence"))
+    return reports.check_answers(rows, judge).select("question_id", "status", "relevance", "error")
 
 
 # ---- ledgers. events stand for one: a purchase is a completed call, an error a failed one.
@@ -285,20 +344,19 @@ def e16_answer_summary(spark: SparkSession, d: str) -> DataFrame:
 _LEDGER = "CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'started' END"
 
 
-@query(f"""WITH e AS (SELECT user_id, {_LEDGER} AS event FROM events) SELECT DISTINCT user_id FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event = 'complete')""")
+@query(f"""WITH e AS (SELECT user_id, (props::JSON->>'k') AS k, {_LEDGER} AS event FROM events) SELECT DISTINCT user_id, k FROM e WHERE (user_id, k) NOT IN (SELECT (user_id, k) FROM e WHERE event = 'complete')""")
 def e23_resume(spark: SparkSession, d: str) -> DataFrame:
-    ledger = table(spark, d, "events").select("user_id", F.expr(_LEDGER).alias("event"))
-    return metrics.resume(ledger.select("user_id").distinct(), ledger, ["user_id"])
+    """A user's k stands for a planned call: most users have some without a complete event."""
+    ledger = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"), F.expr(_LEDGER).alias("event"))
+    return metrics.resume(ledger.select("user_id", "k").distinct(), ledger, ["user_id", "k"])
 
 
 @query("""WITH s AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), t AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN value END) AS cost, bool_or(event_type = 'error') AS failed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
     SELECT count(*) AS calls_started, round(coalesce(sum(cost), 0), 4) AS known_cost, round(sum(CASE WHEN cost IS NOT NULL THEN 0 WHEN failed THEN 0.01 ELSE 0.5 END), 4) AS reserved FROM s LEFT JOIN t USING (user_id)""")
 def e24_spend(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    started = events.where("event_type = 'click'").select("user_id").distinct()
-    ended = events.where("event_type in ('purchase', 'error')").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("cost"), F.bool_or(F.col("event_type") == "error").alias("failed"))
-    reserve = F.when(F.col("cost").isNotNull(), 0.0).when(F.col("failed"), 0.01).otherwise(0.5)
-    return started.join(ended, "user_id", "left").agg(F.count(F.lit(1)).alias("calls_started"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("known_cost"), F.round(F.sum(reserve), 4).alias("reserved"))
+    ended = events.where("event_type in ('purchase', 'error')").select("user_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("cost"))
+    return reports.spend(events.where("event_type = 'click'"), ended, "user_id")
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)) AS extra""")
@@ -312,7 +370,7 @@ def e25_audit(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS level, count(*) FILTER (value >= 50) AS answered, count(*) FILTER (value < 50 AND value >= 10) AS busy, count(*) FILTER (value < 10) AS other FROM events GROUP BY event_type")
 def e33_outcomes(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("level")).agg(F.count_if(v >= 50).alias("answered"), F.count_if((v < 50) & (v >= 10)).alias("busy"), F.count_if(v < 10).alias("other"))
+    return reports.outcomes(table(spark, d, "events").withColumn("outcome", F.when(v >= 50, "answered").when(v >= 10, "busy").otherwise("other")), "event_type")
 
 
 @query(r"""SELECT item_id, trim(replace(regexp_replace(regexp_replace(text || ' [dsid_0a1b, dsid_22] and dsid_ff .', '\[(?:\s*dsid_[0-9a-f]+\s*[,;]?\s*)+\]|dsid_[0-9a-f]+', '', 'g'), ' {2,}', ' ', 'g'), ' .', '.')) AS stripped FROM benchmark""")

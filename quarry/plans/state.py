@@ -21,17 +21,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""WITH s AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE doc_id < 150), n AS (SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE doc_id BETWEEN 140 AND 169)
-    SELECT coalesce(s.doc_id, n.doc_id) AS doc_id, coalesce(n.n_chars, s.n_chars) AS n_chars, coalesce(s.ordinal, 149 + row_number() OVER (PARTITION BY s.doc_id IS NULL ORDER BY n.doc_id)) AS ordinal FROM s FULL JOIN n ON s.doc_id = n.doc_id""")
+@query("""WITH a AS (SELECT doc_id, n_chars + 1 AS n_chars, (SELECT max(doc_id) FROM documents WHERE doc_id % 4 <> 0) + row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents WHERE doc_id % 4 = 0)
+    SELECT doc_id, n_chars + 1 AS n_chars, doc_id AS ordinal FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT * FROM a""")
 def w2_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).select("doc_id", "n_chars")
-    stored = rows.where("doc_id < 150").withColumn("ordinal", F.col("doc_id"))
-    new = rows.where("doc_id between 140 and 169").withColumn("n_chars", F.col("n_chars") + 1)
-    return stores.upsert(stored, new, "doc_id")
-
-
-@query()
-def w2_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
     """The whole table as new rows over a store of three quarters of it."""
     rows = documents(spark, d).select("doc_id", "n_chars")
     stored = rows.where("doc_id % 4 <> 0").withColumn("ordinal", F.col("doc_id"))
@@ -44,13 +36,15 @@ def w3_list(spark: SparkSession, d: str) -> DataFrame:
     return stores.page(rows, [F.lower("source"), F.col("source")], 10, 2)
 
 
-@query("SELECT doc_id, coalesce(b.toxic, a.quality) AS label FROM labels a LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b USING (doc_id) WHERE doc_id % 5 <> 0")
+@query("""WITH l AS (SELECT conv_id AS run_id, turn AS rank, CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 3 = 0 THEN 'irrelevant' ELSE role END AS label FROM conversations)
+    SELECT * FROM l WHERE label IS NOT NULL""")
 def w7_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels set again by key, and cleared ones gone."""
-    labels = table(spark, d, "labels")
-    again = labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("new"))
-    cleared = labels.where("doc_id % 5 = 0").select("doc_id")
-    return labels.join(again, "doc_id", "left").join(cleared, "doc_id", "left_anti").select("doc_id", F.coalesce("new", "quality").alias("label"))
+    """Labels of passages (run and rank): some set again, the last setting counting, and some cleared. Turns stand for passages."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("rank"), F.col("role").alias("label"))
+    once = turns.where("rank % 3 = 0").select("run_id", "rank", F.lit("unclear").alias("label"), F.lit(1).alias("n"))
+    again = once.withColumn("label", F.lit("irrelevant")).withColumn("n", F.lit(2))
+    cleared = turns.where("rank % 5 = 0").select("run_id", "rank", F.lit(None).cast("string").alias("label"), F.lit(3).alias("n"))
+    return stores.set_labels(turns.where("rank % 7 <> 3"), once.unionByName(again).unionByName(cleared).unionByName(turns.where("rank % 7 = 3 and rank % 5 <> 0 and rank % 3 <> 0").withColumn("n", F.lit(1))))
 
 
 @query("SELECT event_type, count(CASE WHEN value >= 20 THEN value WHEN (props::JSON->>'k')::INT >= 5 THEN 1 END) AS valid, round(sum(CASE WHEN value >= 20 THEN value ELSE 0 END), 4) AS cost FROM events GROUP BY event_type")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chunks, facets, fusion, index, lexical, windows
 from quarry.plans.evaluation import arms
-from quarry.plans.tables import PASSAGES, QUESTIONS, bm25_sql, documents, passages, questions, table, top_sql
+from quarry.plans.tables import PASSAGES, QUESTIONS, bm25_sql, documents, lexical_index, passages, questions, table, top_sql
 from quarry.sources import readers
+from quarry.storage import sent, settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -96,7 +97,7 @@ def c12_context(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "n", F.array_join(F.transform(chosen, lambda x: x["content"]), "\n\n").alias("context"))
 
 
-@query()
+@query(f"""WITH {PASSAGES} SELECT doc_id, n, end_offset + length(regexp_replace(text[1:end_offset], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS end_utf16 FROM passages JOIN documents USING (doc_id)""")
 def c15_utf16(spark: SparkSession, d: str) -> DataFrame:
     rows = passages(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", "n", T.utf16_offset(F.col("text"), F.col("end_offset").cast("int")).alias("end_utf16"))
@@ -112,11 +113,11 @@ def r4_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", readers.html_column(F.col("html")).alias("text"))
 
 
-@query("SELECT event_id, 'k: ' || (props::JSON->>'k') AS text FROM events")
+@query("""SELECT event_id, 'k: ' || (props::JSON->>'k') || chr(10) || 'user.id: ' || user_id || chr(10) || 'user.tags.[0].n: ' || event_id || chr(10) || 'x' AS text FROM events WHERE props IS NOT NULL AND user_id IS NOT NULL""")
 def r5_json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """A known shape stays on the JVM; any shape goes through readers.json_text."""
-    fields = F.from_json("props", "map<string,string>")
-    return table(spark, d, "events").select("event_id", F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n").alias("text"))
+    """Nested objects and arrays, flattened to lines."""
+    nested = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tags": [{"n": '), F.col("event_id").cast("string"), F.lit('}, "x"]}}'))
+    return table(spark, d, "events").where("props is not null and user_id is not null").select("event_id", readers.json_column(nested).alias("text"))
 
 
 @query(r"""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '# GRADED CELL: exercise ' || user_id WHEN 1 THEN '### Exercise ' || user_id || ':' WHEN 2 THEN 'see exercise ' || user_id ELSE 'none' END AS c FROM events)
@@ -161,9 +162,12 @@ def s7_noise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(name.alias("path"), F.col("event_id").alias("ext")).where(~matches(F.col("path"), NOISE))
 
 
-@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
+@query("SELECT conv_id, list(length(text) ORDER BY turn) AS sizes FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def s15_field(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """The field `turns[].said.size` of records made of conversations."""
+    turn = F.struct("turn", F.struct(F.length("text").alias("size")).alias("said"))
+    records = table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return readers.select_field(records, "turns[].said.size", "sizes").select("conv_id", "sizes")
 
 
 @query(f"""WITH {QUESTIONS}, g AS (SELECT query_id, doc_id FROM q JOIN documents ON contains(text, query) AND query <> ''),
@@ -229,8 +233,8 @@ def q18_balanced_passages(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d)
     two = asked.select("query_id", F.lit(0).alias("facet_no"), "query").unionByName(asked.select((F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("facet_no"), "query"))
     keyed = two.withColumn("id", F.col("query_id") * 2 + F.col("facet_no"))
-    hits = lexical.bm25(documents(spark, d), keyed.select(F.col("id").alias("query_id"), "query"), 10)
-    named = hits.withColumnRenamed("query_id", "id").join(F.broadcast(keyed.select("id", "query_id", "facet_no")), "id")
+    hits = lexical.bm25(lexical_index(spark, d), keyed.select(F.col("id").alias("query_id"), "query"), 10)
+    named = hits.withColumnRenamed("query_id", "id").join(sent(keyed.select("id", "query_id", "facet_no")), "id")
     return fusion.merge_facets(named.select("query_id", "facet_no", "rank", "doc_id"))
 
 
@@ -239,18 +243,20 @@ _HITS = f"""{PASSAGES}, {QUESTIONS}, {bm25_sql()}, top AS {top_sql("bm25", 5)},
 
 
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = passages(spark, d).persist()
+    rows = passages(spark, d)
     top = arms(spark, d).where("arm = 'score' and rank <= 5").drop("arm")
+    rows = settle(rows.join(sent(top.select("doc_id").distinct()), "doc_id", "left_semi"))  # passages of the documents found
     second = rows.groupBy("doc_id").agg((F.min("n") + 1).alias("n"))
     return top.join(second, "doc_id").select("query_id", "doc_id", "n", "rank"), rows
 
 
-@query(f"""WITH {_HITS}, w AS (SELECT *, min(start_offset) OVER x AS f, max(end_offset) OVER x AS t FROM passages WINDOW x AS (PARTITION BY doc_id ORDER BY start_offset ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
-    SELECT h.query_id, h.doc_id, h.rank, CASE WHEN t - f <= 16000 THEN f ELSE start_offset END AS start_offset, CASE WHEN t - f <= 16000 THEN t ELSE end_offset END AS end_offset FROM hits h JOIN w USING (doc_id, n)""")
+@query(f"""WITH {PASSAGES}, {QUESTIONS}, {bm25_sql()}, top AS {top_sql("bm25", 5)}, hits AS (SELECT query_id, doc_id, n, rank FROM top JOIN passages USING (doc_id)), w AS (SELECT *, min(start_offset) OVER x AS f, max(end_offset) OVER x AS t FROM passages WINDOW x AS (PARTITION BY doc_id ORDER BY start_offset ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+    SELECT h.query_id, h.doc_id, h.n, h.rank, CASE WHEN t - f <= 16000 THEN f ELSE start_offset END AS start_offset, CASE WHEN t - f <= 16000 THEN t ELSE end_offset END AS end_offset FROM hits h JOIN w USING (doc_id, n)""")
 def q20_window(spark: SparkSession, d: str) -> DataFrame:
-    hits, rows = _hits(spark, d)
-    hits = hits.join(rows.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
-    return windows.expand(hits, rows, documents(spark, d), radius=1).select("query_id", "doc_id", "rank", "start_offset", "end_offset")
+    """Every passage of the documents found, with its neighbours."""
+    _, rows = _hits(spark, d)
+    hits = arms(spark, d).where("arm = 'score' and rank <= 5").drop("arm").join(rows.select("doc_id", "n"), "doc_id")
+    return windows.expand(hits, rows, documents(spark, d), radius=1).select("query_id", "doc_id", "n", "rank", "start_offset", "end_offset")
 
 
 @query(f"""WITH {_HITS} SELECT h.query_id, h.doc_id, h.rank, CASE WHEN length(text) <= 2000 THEN 0 ELSE start_offset END AS start_offset, CASE WHEN length(text) <= 2000 THEN length(text) ELSE end_offset END AS end_offset, length(text) <= 2000 AS whole_document
@@ -268,14 +274,7 @@ def q22_verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {QUESTIONS}, {bm25_sql()}, top AS {top_sql("bm25", 3)}
-    SELECT query_id, string_agg('[' || rank || '] ' || source || ' (L1)' || chr(10) || text[1:80], chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN documents USING (doc_id) GROUP BY query_id""")
+    SELECT query_id, string_agg('[' || rank || '] ' || source || ' (L1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN documents USING (doc_id) GROUP BY query_id""")
 def a1_passages(spark: SparkSession, d: str) -> DataFrame:
-    top = arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm").join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.substring("text", 1, 80).alias("content")), "doc_id")
-    return windows.rendered(top.withColumn("location", F.lit("L1")))
-
-
-@query()
-def a1_passages_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The whole retrieved texts."""
     top = arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm").join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.col("text").alias("content")), "doc_id")
     return windows.rendered(top.withColumn("location", F.lit("L1")))
