@@ -65,7 +65,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
 def _search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
     asked = queries.toPandas()
     names = asked["query_id"].to_numpy()
-    matrix = np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), -1)
+    matrix = np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), -1) if len(asked) else np.empty((0, 0))
     sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
     score = METRICS[metric]
 
