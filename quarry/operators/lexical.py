@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import filled, identifier_words, pieces, tokens
-from quarry.storage import scratch, settle, spread, tasks
+from quarry.storage import scratch, sent, settle, spread, tasks
 
 K1, B, EPSILON = 1.5, 0.75, 1e-9
 QUERY_ROWS = 200_000  # query terms up to which they are broadcast
@@ -67,10 +67,12 @@ def _counts(each: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Stored postings (term, doc_id, tf, dl) of a collection, in order of terms: texts are tokenized once for all searches."""
+    """Stored postings (term, doc_id, tf, dl) of a collection and its totals: texts are tokenized once for all searches."""
 
     path: str
     tokenizer: Callable[[Column], Column]
+    n: int
+    avgdl: float
 
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -79,14 +81,18 @@ class Index:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, path: str | None = None) -> Index:
     """Tokenize all texts and store their postings at the path, or in a folder of the session's.
 
-    A common term's rows go to as many files as its number asks for: the range key goes on with the document.
+    Each file is in order of terms, so that readers skip row groups; a common term's rows are spread over the files with its documents.
     """
     spark = docs.sparkSession
     path = path or f"{scratch(spark, 'postings')}/rows"
     found = _counts(tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms()))
-    found = found.repartitionByRange(tasks(spark), "term", F.xxhash64("doc_id")).sortWithinPartitions("term")
-    found.select("term", "doc_id", "tf", "dl").write.parquet(path)
-    return Index(path, tokenizer)
+    found.sortWithinPartitions("term").select("term", "doc_id", "tf", "dl").write.parquet(path)
+    return Index(path, tokenizer, *_totals(spark.read.parquet(path)))
+
+
+def _totals(found: DataFrame) -> tuple[int, float]:
+    n, avgdl = found.where(F.col("term") == ALL).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    return n, avgdl or 1.0
 
 
 def bm25_scores(
@@ -101,18 +107,19 @@ def bm25_scores(
     asked = settle(query_terms(queries, tokenizer=docs.tokenizer if isinstance(docs, Index) else tokenizer))
     few = asked.count() <= QUERY_ROWS
     hint = F.broadcast if few else (lambda t: t)
-    wanted = asked.select("term").union(spark.createDataFrame([(ALL,)], "term string")).distinct()
     if isinstance(docs, Index):
-        found = docs.postings(spark).join(hint(wanted), "term", "left_semi")
+        n, avgdl = docs.n, docs.avgdl
+        terms = docs.postings(spark).join(hint(asked.select("term").distinct()), "term", "left_semi")
     else:
+        wanted = asked.select("term").union(spark.createDataFrame([(ALL,)], "term string")).distinct()
         each = tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms())
         found = settle(_counts(each.join(hint(wanted), "term", "left_semi")))
-    n, avgdl = found.where(F.col("term") == ALL).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    terms = found.where(F.col("term") != ALL)
+        n, avgdl = _totals(found)
+        terms = found.where(F.col("term") != ALL)
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of a query at most
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)) + EPSILON)
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)) + EPSILON)
     terms = terms.repartition(tasks(spark), "doc_id")
     return terms.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > EPSILON)
 
@@ -140,16 +147,17 @@ def fields_search(docs: DataFrame | tuple[Index, Index], queries: DataFrame, k:
 def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, hits): places where a phrase's tokens follow one another. A phrase of no token has no match.
 
-    Positions are joined to the phrase's first token and counted back: all tokens of a hit have one start.
+    Documents meet phrases on the phrase's longest token, which few have, and are then looked through whole.
     """
-    asked = phrases.select("query_id", F.posexplode(tokens(F.col("query"))).alias("at", "term"))
-    sizes = phrases.select("query_id", F.size(tokens(F.col("query"))).alias("size"))
-    # places may be one off where a text begins between tokens: only their differences count
-    placed = tokenized(docs, id_col, text_col).select("doc_id", F.posexplode("t").alias("pos", "term"))
-    hint = F.broadcast if asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else (lambda t: t)
-    starts = placed.join(hint(asked), "term").groupBy("query_id", "doc_id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    full = starts.join(hint(sizes), "query_id").where("n = size")
-    return full.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    asked = phrases.select("query_id", tokens(F.col("query")).alias("p")).where("size(p) > 0")
+    longest = F.element_at(F.array_sort(F.transform("p", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    asked = settle(asked.withColumn("term", longest))
+    has = tokenized(docs, id_col, text_col).select("doc_id", F.explode("t").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi").distinct()
+    pairs = sent(settle(has.join(sent(asked), "term").select("doc_id", "query_id", "p")))
+    line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    texts = tokenized(docs, id_col, text_col).select("doc_id", "t").join(pairs, "doc_id").where(line(F.col("t")).contains(line(F.col("p"))))
+    starts = F.filter(F.sequence(F.lit(1), F.size("t") - F.size("p") + 1), lambda i: F.slice("t", i, F.size("p")) == F.col("p"))
+    return texts.select("query_id", "doc_id", F.size(starts).cast("long").alias("hits"))
 
 
 def quoted_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
