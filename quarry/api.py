@@ -11,6 +11,7 @@ from quarry.functions.stem import stemmed_tokens
 from quarry.functions.text import source_title, titled, tokens
 from quarry.operators import chunks, dense, facets, fusion, lexical, windows
 from quarry.operators.index import embed_once
+from quarry.operators.lifecycle import cleaned
 from quarry.storage import sent, settle
 
 NOTHING = "No relevant information found."
@@ -28,6 +29,7 @@ class Settings:
     b: float = 0.75
     metric: str = "cosine"
     titles: bool = True
+    clean: bool = True
     stemming: bool = True
     balanced: bool = True
     facets: int = 3
@@ -63,9 +65,10 @@ class Retriever:
         self.documents = documents if "path" in documents.columns else documents.withColumn("path", F.lit(""))
         made = chunks.chunk_documents(self.documents, path_col="path", size=s.chunk_size, overlap=s.chunk_overlap)
         made = made.join(self.documents.select("doc_id", "path"), "doc_id")
-        searchable = titled(source_title(F.col("path")), F.col("content")) if s.titles else F.col("content")
+        made = cleaned(made, "path", "content", "clean") if s.clean else made.withColumn("clean", F.col("content"))
+        searchable = titled(source_title(F.col("path")), F.col("clean")) if s.titles else F.col("clean")
         made = made.withColumn("n", F.col("chunk_id")).withColumn("id", F.concat_ws("::chunk:", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
-        self.passages = settle(made.withColumn("searchable", searchable))
+        self.passages = settle(made.withColumn("searchable", searchable).drop("clean"))
         self._index = self._vectors = None
 
     @property

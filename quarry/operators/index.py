@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import shutil
@@ -71,17 +72,20 @@ class Generations:
     def publish(self, rows: DataFrame, stamp: dict, expected: str | None = None) -> dict:
         """Write a version and make it current, unless another was published since `expected`. An empty table is refused."""
         name = f"generation-{uuid4().hex}"
-        path = os.path.join(self.folder, name)
+        path = os.path.join(self.folder, f"writing-{name}")  # no other publisher clears it away
         rows.write.mode("errorifexists").parquet(path)
         n = self.spark.read.parquet(path).count()
-        now = self.manifest()
-        if not n or (expected is not None and (now or {}).get("generation") != expected):
-            shutil.rmtree(path, ignore_errors=True)
-            if not n:
-                raise ValueError("an index can't be empty")
-            raise RebuildRequired("another version was published meanwhile")
-        made = {"generation": name, "previous": (now or {}).get("generation"), "rows": n, "stamp": stamp, "published": time.time()}
-        write_json_atomic(self.pointer, made)
+        with open(os.path.join(self.folder, "publish.lock"), "w", encoding="utf-8") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)  # what is read, compared and replaced is one publisher's; a lost one's lock goes with it
+            now = self.manifest()
+            if not n or (expected is not None and (now or {}).get("generation") != expected):
+                shutil.rmtree(path, ignore_errors=True)
+                if not n:
+                    raise ValueError("an index can't be empty")
+                raise RebuildRequired("another version was published meanwhile")
+            made = {"generation": name, "previous": (now or {}).get("generation"), "rows": n, "stamp": stamp, "published": time.time()}
+            os.rename(path, os.path.join(self.folder, name))
+            write_json_atomic(self.pointer, made)
         for old in os.listdir(self.folder):
             if old.startswith("generation-") and old not in (name, made["previous"]):
                 shutil.rmtree(os.path.join(self.folder, old), ignore_errors=True)
@@ -97,6 +101,11 @@ class Generations:
             raise RebuildRequired("the version isn't whole")
         return rows
 
+    def clear(self) -> None:
+        """Forget all versions."""
+        shutil.rmtree(self.folder, ignore_errors=True)
+        os.makedirs(self.folder, exist_ok=True)
+
     def open_or_build(self, stamp: dict, build) -> DataFrame:
         try:
             return self.open(stamp)

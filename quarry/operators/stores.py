@@ -74,7 +74,8 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
 def retained(items: DataFrame, now: Column, max_age: float, budget: int, time_col: str = "modified", size_col: str = "size", by: list[str] | None = None) -> DataFrame:
     """What stays when the oldest go while too old or while the rest is over budget: the newest whose running size fits.
 
-    Sums run within `by`; the running size of a large store is taken over whole seconds first, so no one task orders all.
+    Items of one time stay or go together. Sizes are summed by time first, combined before the shuffle, so a task that runs
+    over them has a row for each distinct time of its `by` group, and of the whole store without `by`.
     """
     newest = Window.partitionBy(*(by or [])).orderBy(F.col(time_col).desc()).rangeBetween(Window.unboundedPreceding, 0)
     steps = items.groupBy(*(by or []), time_col).agg(F.sum(size_col).alias("__step"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Where running headers and page numbers sit, how often one repeats, and what makes a heading.
-MARGIN, REPEATED_SHARE, REPEATED_PAGES, HEADING_RATIO, HEADING_CHARS = 0.08, 0.3, 3, 1.25, 150
+MARGIN, REPEATED_SHARE, REPEATED_PAGES, HEADING_RATIO, HEADING_CHARS, BOLD_SHARE = 0.08, 0.3, 3, 1.25, 150, 0.9
+ROMAN, CONTENTS_ENTRY = r"^[IVXLCDM]+\.?$", r"\s\d{1,4}$|^\d{1,4}\s*[–-]\s*\d{1,4}\s"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
@@ -14,7 +15,7 @@ def page_text(spans: DataFrame) -> DataFrame:
     """(doc_id, text) from spans (doc_id, page, block, line, text, top, bottom, size, bold), pages joined by form feeds.
 
     Lines in the margins go if they are page numbers or repeat, digits aside, on 30 % of the pages and at least three. A short
-    block in type 1.25 times the body's becomes a `# ` line. Lines of a block are joined by spaces, hyphens at their ends closed.
+    block in type 1.25 times the body's, or in bold capitals that end without a stop, becomes a `# ` line, unless it is a number or an entry of a table of contents. Lines of a block are joined by spaces, hyphens at their ends closed.
     """
     text = F.col("text")
     for a, b in _LIGATURES.items():
@@ -31,8 +32,13 @@ def page_text(spans: DataFrame) -> DataFrame:
     body = weights.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
     ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
     joined = F.aggregate(F.transform(ordered, lambda x: x["text"]), F.lit(""), lambda s, t: F.when(s == "", t).when(s.rlike("[a-z]-$"), F.concat(F.regexp_replace(s, "-$", ""), t)).otherwise(F.concat(s, F.lit(" "), t)))
-    blocks = kept.groupBy("doc_id", "page", "block").agg(joined.alias("text"), F.max("size").alias("size")).join(body, "doc_id")
-    heading = (F.col("size") >= HEADING_RATIO * F.col("body")) & (F.length("text") <= HEADING_CHARS)
+    n = F.length("text")
+    bold = F.sum(F.when(F.col("bold"), n).otherwise(0)) / F.sum(n)
+    blocks = kept.groupBy("doc_id", "page", "block").agg(joined.alias("text"), F.max("size").alias("size"), bold.alias("bold")).join(body, "doc_id")
+    letters = F.regexp_replace("text", r"[^\p{L}]", "")
+    capitals = (F.col("bold") >= BOLD_SHARE) & (letters == F.upper(letters)) & ~F.col("text").endswith(".")
+    other = F.col("text").rlike(ROMAN) | F.col("text").rlike(CONTENTS_ENTRY)
+    heading = ((F.col("size") >= HEADING_RATIO * F.col("body")) | capitals) & (n <= HEADING_CHARS) & (F.length(letters) >= 3) & ~other
     blocks = blocks.withColumn("text", F.when(heading, F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text")))
     page = blocks.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     every = spans.select("doc_id", "page").distinct().join(page, ["doc_id", "page"], "left")

@@ -18,7 +18,13 @@ NOISE = ("test_*.py", "*_test.py", "*.pyc", "__pycache__")
 SKIPPED_DIRS = frozenset("node_modules target build dist venv env __pycache__ vendor coverage site-packages out".split())
 
 
+# Names that stand for folders of the user's.
+SHORTCUTS = {"desktop": "~/Desktop", "documents": "~/Documents", "downloads": "~/Downloads"}
+
+
 def resolve(path: str) -> str:
+    """An absolute path; three shortcuts, `~` and variables are opened."""
+    path = SHORTCUTS.get(path.strip().lower(), path)
     return os.path.abspath(os.path.expandvars(os.path.expanduser(path)))
 
 
@@ -76,12 +82,32 @@ def validate_scope(files: DataFrame, extensions: Sequence[str] | None = None, mo
     return chosen
 
 
+def _repository(root: str) -> bool:
+    """Whether a folder is inside a work tree, told without git."""
+    at = os.path.realpath(root)
+    while True:
+        if os.path.exists(os.path.join(at, ".git")):
+            return True
+        if os.path.dirname(at) == at:
+            return False
+        at = os.path.dirname(at)
+
+
 def without_ignored(files: DataFrame, root: str) -> DataFrame:
-    """Files that git's ignore rules let through; outside a repository all. Asked of git on the driver, for a bounded scope."""
+    """Files that git's ignore rules let through; outside a repository all. Asked of git on the driver, for a bounded scope.
+
+    Inside a repository an answer that git can't give is an error: what is private stays out.
+    """
+    if not _repository(root):
+        return files
     paths = [r["path"] for r in files.select("path").limit(MOST_FILES + 1).collect()]
     if len(paths) > MOST_FILES:
         raise ValueError(f"over {MOST_FILES} files")
-    asked = subprocess.run(["git", "-C", root, "check-ignore", "--stdin", "-z"], input="\0".join(paths), capture_output=True, text=True)
+    try:
+        asked = subprocess.run(["git", "-C", root, "check-ignore", "--stdin", "-z"], input="\0".join(paths), capture_output=True, text=True)
+    except FileNotFoundError as missing:
+        raise RuntimeError("git is needed to read a repository's ignore rules") from missing
     if asked.returncode not in (0, 1):
-        return files
-    return files.where(~F.col("path").isin(*[p for p in asked.stdout.split("\0") if p] or [""]))
+        raise RuntimeError(f"git gave no answer about ignored files: {asked.stderr.strip()}")
+    ignored = files.sparkSession.createDataFrame([(p,) for p in asked.stdout.split("\0") if p], "path string")
+    return files.join(F.broadcast(ignored), "path", "left_anti")  # MOST_FILES rows at most

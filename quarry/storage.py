@@ -45,6 +45,18 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written by columns to the shared folder, and read from there: for wide rows of which later stages read some columns."""
+    folder = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in as few partitions as its number of rows asks for, so that short tables don't keep hundreds of tasks and files. No row moves."""
+    return df.coalesce(max(1, min(tasks(df.sparkSession), -(-rows // each))))
+
+
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows; else it is joined as it comes."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -53,7 +53,10 @@ def test_layout(spark):
     for page in range(1, 5):
         rows += [(1, page, 0, 0, f"Running head {page}", 0.02, 0.04, 9.0, False), (1, page, 1, 0, "Body of the ﬁrst exam-", 0.3, 0.32, 10.0, False), (1, page, 1, 1, "ple text.", 0.33, 0.35, 10.0, False), (1, page, 2, 0, str(page), 0.95, 0.97, 9.0, False)]
     rows.append((1, 1, -1, 0, "Chapter One", 0.2, 0.24, 16.0, True))
-    text = page_text(spark.createDataFrame(rows, "doc_id long, page int, block int, line int, text string, top double, bottom double, size double, bold boolean")).first()["text"]
+    rows += [(2, 1, 0, 0, "BOLD CAPITALS", 0.2, 0.24, 10.0, True), (2, 1, 1, 0, "ALL OF IT.", 0.3, 0.34, 10.0, True), (2, 1, 2, 0, "Bold Words", 0.4, 0.44, 10.0, True), (2, 1, 3, 0, "PLAIN", 0.5, 0.54, 10.0, False)]
+    both = {r["doc_id"]: r["text"] for r in page_text(spark.createDataFrame(rows, "doc_id long, page int, block int, line int, text string, top double, bottom double, size double, bold boolean")).collect()}
+    assert both[2] == "# BOLD CAPITALS\n\nALL OF IT.\n\nBold Words\n\nPLAIN"
+    text = both[1]
     assert text == "# Chapter One\n\nBody of the first example text." + "\fBody of the first example text." * 3
 
 

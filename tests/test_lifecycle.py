@@ -135,3 +135,45 @@ def test_average_precision(spark):
     rows = spark.createDataFrame([([True, False, True],), ([False],), ([],)], "f array<boolean>")
     got = [r[0] for r in rows.select(reports.average_precision(F.col("f"))).collect()]
     assert got[0] == pytest.approx((1 + 2 / 3) / 2) and got[1] == 0 and got[2] is None
+
+
+def test_ignore_rules_fail_closed(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    from quarry.sources import scope
+
+    paths = [f"{tmp_path}/{n}" for n in ("kept.txt", "secret.txt")]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, size int")
+    outside = scope.without_ignored(files, str(tmp_path))
+    assert outside.count() == 2
+    (tmp_path / ".git").mkdir()  # a broken repository
+    with pytest.raises(RuntimeError):
+        scope.without_ignored(files, str(tmp_path))
+    (tmp_path / ".git").rmdir()
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".gitignore").write_text("secret*\n")
+    assert [r["path"] for r in scope.without_ignored(files, str(tmp_path)).collect()] == paths[:1]
+    monkeypatch.setenv("PATH", "")
+    with pytest.raises(RuntimeError):
+        scope.without_ignored(files, str(tmp_path))
+
+
+def test_one_of_two_publishers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quarry.operators.index import Generations, RebuildRequired
+
+    first = Generations(spark, str(tmp_path)).publish(spark.range(3), {"v": 1})["generation"]
+
+    def publish(n):
+        try:
+            return Generations(spark, str(tmp_path)).publish(spark.range(n), {"v": n}, first)["rows"]
+        except RebuildRequired:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [n for n in pool.map(publish, (4, 5, 6, 7)) if n]
+    assert len(won) == 1 and Generations(spark, str(tmp_path)).open({"v": won[0]}).count() == won[0]
+    Generations(spark, str(tmp_path)).clear()
+    with pytest.raises(RebuildRequired):
+        Generations(spark, str(tmp_path)).open()
