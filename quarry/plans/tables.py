@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import lexical
 from quarry.operators.matches import holding
+from quarry.storage import there
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ _indexes: dict[tuple[str, str, str], lexical.Index] = {}
 def lexical_index(spark: SparkSession, sf_dir: str, field: str = "text") -> lexical.Index:
     """The stored index of the documents' texts, or of their identifier words (`symbols`); built when a session first asks for it."""
     key = spark.sparkContext.applicationId, sf_dir, field
-    if key not in _indexes:
+    if key not in _indexes or not there(spark, _indexes[key].path):  # a shared folder may be emptied between queries
         rows = documents(spark, sf_dir).select("doc_id", "text")
         _indexes[key] = lexical.build_index(lexical.with_symbols(rows) if field == "symbols" else rows)
     return _indexes[key]

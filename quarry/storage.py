@@ -32,6 +32,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to the shared folder and later stages read them from there."""
     context = df.sparkSession.sparkContext
