@@ -1,36 +1,41 @@
-"""What the operators share: stable storage, order over partitions, text rules."""
+"""What the operators share: text rules, order over partitions, components, and workers' memory."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import gathered, scratch, settle, shared_dir, stored, tasks  # noqa: F401
+
 #: ASCII white space as the contracts name it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run over a task's batches. Python workers outlive their tasks, so what is free at the end goes back to the system."""
 
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared folder and later stages read them from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return wrapped
 
 
-def tasks(spark: SparkSession) -> int:
-    """Partitions for an explicit repartition: what the session sets for shuffles."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name of the caller's meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def number_rows(df: DataFrame, order: list[Column], into: str) -> DataFrame:
@@ -60,10 +65,13 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (a, b) with b the smallest id reachable, for each a that isn't it.
 
     Alternating large-star and small-star steps; every step is a pair of aggregations and equi-joins, so a
-    hub's edges are summed before the shuffle and split by adaptive skew joins after it. Loops and repeated edges are allowed.
+    hub's edges are summed before the shuffle and split by adaptive skew joins after it. Few edges stay in few tasks. Loops and
+    repeated edges are allowed.
     """
-    edges = edges.where("a is not null and b is not null and a != b")
-    now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = settle(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    n = edges.count()
+    few = lambda df: settle(gathered(df.distinct(), n))
+    now = few(gathered(edges, n))
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -73,9 +81,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = settle(large.where("a != b").distinct())
+        large = few(large.where("a != b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         small = small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = settle(small.distinct())
+        now = few(small)

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, settle, tasks
+from quarry.llm.common import components, settle, tasks, tidy, whole_row
 
 SEED = 42
 LIMIT = 20_000  # rows of a BK-tree shard
-_BATCH = 100_000  # rows of whole buckets handled at a time
+_BATCH = 50_000  # rows of whole buckets handled at a time
 _ASKS = 8192  # searches begun at a time
 _FRONTIER = 400_000  # steps of a search held at a time
 
@@ -63,14 +63,6 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
-def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A further hash of each hash, by the n-th multiply and shift."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (n + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -80,13 +72,9 @@ def fingerprint(text: str | None, words: int = 3, distinct: bool = False) -> int
     return _majority(shingle_hashes(text, words, distinct))
 
 
-def wide_fingerprint(text: str | None, words: int, longs: int) -> bytes:
-    """longs * 64 bits over the text's distinct shingles; a finer estimate of their overlap than 64 bits give."""
-    return wide_of(shingle_hashes(text, words, True), longs)
-
-
-def wide_of(hashes: np.ndarray, longs: int) -> bytes:
-    return b"".join(_majority(_mixed(hashes, n) if n else hashes).to_bytes(8, "little") for n in range(longs))
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes, signed."""
+    return _signed(_majority(hashes))
 
 
 # ---- BK-trees, all those of a batch of buckets at once
@@ -133,21 +121,20 @@ class Forest:
         self.kids = order[self.parent[order] >= 0]
         self.keys = self.parent[self.kids] * 65 + self.edge[self.kids]
 
-    def classes(self, radius: int, near) -> np.ndarray:
-        """Class of each row: rows of a tree within the radius and near(i, j) are linked, and links are followed."""
+    def classes(self, radius: int) -> np.ndarray:
+        """Class of each row: rows of a tree within the radius are linked, and links are followed."""
         n, parent = len(self.bits), self.parent
         root = np.arange(n)
         held = np.flatnonzero((parent >= 0) & (self.edge <= radius))
-        held = held[near(held, parent[held])]
         root = _join(root, held, parent[held])
         alone = np.bincount(self.top, minlength=n)[self.top] == 1 if n else np.empty(0, bool)
         asks = np.flatnonzero(~alone)
         for i in range(0, len(asks), _ASKS):
             item = asks[i : i + _ASKS]
-            root = self._search(item, self.top[item], radius, near, root)
+            root = self._search(item, self.top[item], radius, root)
         return root
 
-    def _search(self, item: np.ndarray, node: np.ndarray, radius: int, near, root: np.ndarray) -> np.ndarray:
+    def _search(self, item: np.ndarray, node: np.ndarray, radius: int, root: np.ndarray) -> np.ndarray:
         """Follow edges within the radius, a piece of the frontier at a time and the last piece first, so that memory is bounded."""
         whole = self._uniform(root)
         stack = [(item, node)]
@@ -160,9 +147,7 @@ class Forest:
             far = np.bitwise_count(self.bits[item] ^ self.bits[node]).astype(np.int64)
             hit = (far <= radius) & (root[item] != root[node])
             if hit.any():
-                a, b = item[hit], node[hit]
-                ok = near(a, b)
-                root = _join(root, a[ok], b[ok])
+                root = _join(root, item[hit], node[hit])
             low = np.searchsorted(self.keys, node * 65 + np.maximum(far - radius, 0), "left")
             high = np.searchsorted(self.keys, node * 65 + np.minimum(far + radius, 64), "right")
             count = high - low
@@ -184,26 +169,14 @@ class Forest:
         return whole
 
 
-def _linked(radius: int, wide_radius: int | None):
+def _linked(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
 
         def solve(frame: pd.DataFrame) -> pd.DataFrame:
-            forest = Forest(frame["cell"].to_numpy(), frame["bits"].to_numpy().view(np.uint64))
+            root = Forest(frame["cell"].to_numpy(), frame["bits"].to_numpy().view(np.uint64)).classes(radius)
             ids = frame["id"].to_numpy()
-            if wide_radius is None:
-                near = lambda a, b: np.ones(len(a), bool)
-            else:
-                wide = np.frombuffer(b"".join(frame["wide"]), np.uint64).reshape(len(frame), -1)
-
-                def near(a, b):
-                    out = np.empty(len(a), bool)
-                    for i in range(0, len(a), 1 << 16):
-                        out[i : i + (1 << 16)] = np.bitwise_count(wide[a[i : i + (1 << 16)]] ^ wide[b[i : i + (1 << 16)]]).sum(axis=1) <= wide_radius
-                    return out
-
-            root = forest.classes(radius, near)
             out = np.flatnonzero(ids[root] != ids)
             return pd.DataFrame({"a": ids[out], "b": ids[root][out]})
 
@@ -232,72 +205,56 @@ def block_masks(radius: int, keep: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, keep)]
 
 
-def linked_classes(prints: DataFrame, radius: int, keep: int = 2, wide_radius: int | None = None, limit: int = LIMIT) -> DataFrame:
-    """(a, b) for each id a whose class has a smaller id b, b the smallest. prints: id, bits (signed long), wide (binary).
-
-    Two prints are linked if their bits differ in at most `radius` places and, if wide_radius is given, their wide
-    bits in at most that many; links are followed. Prints should be distinct; repeated ones are linked like others.
-    """
+def tree_links(prints: DataFrame, radius: int, keep: int = 2, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links that connect what bits within the radius connect, each id to the first of its class in a tree. prints: id, bits (signed long)."""
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(radius, keep)])
-    rows = prints.select("id", "bits", "wide", F.posexplode(masks).alias("table", "mask"))
-    rows = rows.select("id", "bits", "wide", F.xxhash64("table", F.col("bits").bitwiseAND(F.col("mask"))).alias("key"))
+    rows = prints.select("id", "bits", F.posexplode(masks).alias("table", "mask"))
+    rows = rows.select("id", "bits", F.xxhash64("table", F.col("bits").bitwiseAND(F.col("mask"))).alias("key"))
     # buckets over the limit, to be cut into shards
     big = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("s"))
     rows = rows.join(settle(big), "key", "left")
     mine = F.pmod(F.xxhash64("bits", "id"), F.col("s").cast("long")).cast("int")
     others = F.when(F.col("s").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("s") - 1))
-    rows = rows.withColumn("mine", F.coalesce(mine, F.lit(0))).select("id", "bits", "wide", "key", "mine", F.explode(others).alias("other"))
-    rows = rows.select("id", "bits", "wide", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    rows = rows.withColumn("mine", F.coalesce(mine, F.lit(0))).select("id", "bits", "key", "mine", F.explode(others).alias("other"))
+    rows = rows.select("id", "bits", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     dealt = rows.repartition(tasks(prints.sparkSession), "cell").sortWithinPartitions("cell", "id")
-    return components(dealt.mapInPandas(_linked(radius, wide_radius), "a long, b long"))
+    return dealt.mapInPandas(tidy(_linked(radius)), "a long, b long")
+
+
+def linked_classes(prints: DataFrame, radius: int, keep: int = 2, limit: int = LIMIT) -> DataFrame:
+    """(a, b) for each id a whose class has a smaller id b, b the smallest. prints: id, bits (signed long).
+
+    Two prints are linked if their bits differ in at most `radius` places; links are followed. Prints should be
+    distinct; repeated ones are linked like others.
+    """
+    return components(tree_links(prints, radius, keep, limit))
 
 
 # ---- the operator
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 3,
-    distinct: bool = False,
-    radius: int = 3,
-    keep: int = 2,
-    wide_words: int | None = None,
-    wide_longs: int = 4,
-    wide_radius: int | None = None,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct: bool = False, radius: int = 3, keep: int = 2) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
     Texts link if their SimHashes over `words`-word shingles (each distinct one once, if `distinct`) differ in at most
-    `radius` bits. With wide_words, a second SimHash of wide_longs * 64 bits over distinct shingles of so many
-    words must agree too, within wide_radius bits.
+    `radius` bits.
     Nulls: a null text counts as empty and an empty text has fingerprint zero, linked like any other; a row with a
     null id is no one's link and has a null component_id. Repeated rows and ids each get a row, classed by its own text. An empty table gives no rows; other columns are ignored.
     """
-    confirm = wide_words is not None
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "bits": [_signed(fingerprint(t, words, distinct)) for t in batch["t"]],
-                    "wide": [wide_fingerprint(t, wide_words, wide_longs) for t in batch["t"]] if confirm else None,
-                }
-            )
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": [_signed(fingerprint(t, words, distinct)) for t in batch["t"]]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found = settle(texts.mapInPandas(prints, "doc_id long, bits long, wide binary"))
+    found = settle(texts.mapInPandas(tidy(prints), "doc_id long, bits long"))
     # equal prints are one node, named by its smallest id
-    nodes = found.where("doc_id is not null").groupBy("bits", "wide").agg(F.min("doc_id").alias("id"))
-    nodes = settle(nodes)
-    links = linked_classes(nodes.select("id", "bits", "wide"), radius, keep, wide_radius if confirm else None)
-    named = nodes.join(links, nodes["id"] == links["a"], "left").select("bits", "wide", F.coalesce("b", "id").alias("component_id"))
-    same = [found["bits"] == named["bits"], found["wide"].eqNullSafe(named["wide"])]
-    return found.join(named, same, "left").select(
+    nodes = settle(found.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("id")))
+    links = linked_classes(nodes.select("id", "bits"), radius, keep)
+    named = nodes.join(links, nodes["id"] == links["a"], "left").select("bits", F.coalesce("b", "id").alias("component_id"))
+    return found.join(named, "bits", "left").select(
         "doc_id",
-        F.lower(F.lpad(F.hex(found["bits"]), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
 
@@ -305,5 +262,6 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is its class's smallest, all columns kept. A row with a null id stays."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    own = F.col(id_col).cast("long").alias("own")
+    return docs.select(whole_row(docs), own).join(gone, F.col("own") == F.col("doc_id"), "left_anti").select("row.*")

@@ -66,7 +66,7 @@ OPERATORS = {
 }
 FILTERS = {
     "exact": lambda d: exact_dedup.drop_duplicates(d),
-    "near": lambda d: simhash.drop_near_duplicates(d, words=1, distinct=True, radius=7, wide_words=5, wide_radius=45),
+    "near": lambda d: simhash.drop_near_duplicates(d, words=1, distinct=True, radius=7),
     "mix": lambda d: mixing.mix(d),
     "quality": lambda d: quality.keep_good(d, quality.fit([], [], np.array([]))),
 }
@@ -146,7 +146,7 @@ def test_linked_classes_whatever_the_sharding(spark, keep, limit):
         for _ in range(r.randint(0, 4)):
             base ^= 1 << r.randrange(64)
         bits[i] = base
-    rows = spark.createDataFrame([(i, simhash._signed(b), None) for i, b in bits.items()], "id long, bits long, wide binary")
+    rows = spark.createDataFrame([(i, simhash._signed(b)) for i, b in bits.items()], "id long, bits long")
     got = {x["a"]: x["b"] for x in simhash.linked_classes(rows, 3, keep, limit=limit).collect()}
     expected = brute_components(bits, lambda a, b: (a ^ b).bit_count() <= 3)
     assert {i: got.get(i, i) for i in bits} == expected
@@ -158,7 +158,7 @@ def test_forest_equals_brute_force():
         bits = r.integers(0, 2**63, 200).astype(np.uint64)
         bits[50:] = bits[r.integers(0, 50, 150)] ^ (np.uint64(1) << r.integers(0, 63, 150).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, 150).astype(np.uint64))
         bucket = np.sort(r.integers(0, 5, 200))
-        root = simhash.Forest(bucket, bits).classes(radius, lambda a, b: np.ones(len(a), bool))
+        root = simhash.Forest(bucket, bits).classes(radius)
         keyed = {i: (int(bucket[i]), int(bits[i])) for i in range(200)}
         expected = brute_components(keyed, lambda a, b: a[0] == b[0] and (a[1] ^ b[1]).bit_count() <= radius)
         assert {i: int(x) for i, x in enumerate(root)} == expected
@@ -217,7 +217,8 @@ def test_field_marginals_by_enumeration():
     total = sum(weight.values())
     expected = [sum(w for y, w in weight.items() if y[i]) / total for i in range(4)]
     assert np.allclose(field.marginals(unary), expected)
-    assert np.allclose(quality._expected(unary[None], field.pair, np.ones((1, 4), bool))[0][0], expected)
+    both = quality._Chains([2, 4, 1]).expected(np.concatenate([unary[:2], unary, unary[:1]]), field.pair)[0]
+    assert np.allclose(both[2:6], expected) and np.allclose(both[:2], field.marginals(unary[:2]))
 
 
 def test_fingerprints(docs):
@@ -367,8 +368,8 @@ def test_pipeline(spark, tmp_path):
                 groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), []).append((-len(r["text"] or ""), r["doc_id"]))
             assert sorted(r["doc_id"] for r in after) == sorted(min(g)[1] for g in groups.values())
         if name == "SimHash near-dedup":
-            prints = {r["doc_id"]: (simhash.fingerprint(r["text"], 1, True), int.from_bytes(simhash.wide_fingerprint(r["text"], 5, 4), "little")) for r in before}
-            near = brute_components(prints, lambda a, b: (a[0] ^ b[0]).bit_count() <= 7 and (a[1] ^ b[1]).bit_count() <= 45)
+            sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5, True).tolist()) for r in before}
+            near = brute_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
             assert sorted(r["doc_id"] for r in after) == sorted(i for i, c in near.items() if i == c)
         if name == "mixing sources":
             repeats = {r["doc_id"]: r["repeats"] for r in mixing.mix_table(spark.createDataFrame(before, SCHEMA)).collect()}

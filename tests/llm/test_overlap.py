@@ -85,8 +85,12 @@ def test_large_buckets_and_shards(spark, limit):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
     sets = {i: overlap.shingle_set(t, 5) for i, t in enumerate(texts)}
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
-    found = [(i, overlap.node_of(s), len(s), overlap.parities(s), overlap.prefix(s, *none).view(np.int64).tolist()) for i, s in sets.items()]
-    found = spark.createDataFrame(found, "doc_id long, node long, n int, parity binary, prefix array<long>")
+    found = []
+    for i, s in sets.items():
+        node, keys = overlap.node_of(s), overlap.prefix(s, *none)
+        hot = np.sort(keys[::2])  # as if a sample had found half of the shingles in 12 texts
+        found.append((i, node, len(s), overlap.parities(s), keys.view(np.int64).tolist(), overlap.salts(keys, node, hot, np.full(len(hot), 12), limit).tolist()))
+    found = spark.createDataFrame(found, "doc_id long, node long, n int, parity binary, prefix array<long>, salt array<int>")
     links = {x["a"]: x["b"] for x in overlap.similar_classes(found, rows, 5, limit=limit).collect()}
     got, first = [], {}
     for i, s in sets.items():
@@ -106,10 +110,23 @@ def test_prefixes_of_similar_sets_meet():
             assert set(overlap.prefix(a, hot, rank).tolist()) & set(overlap.prefix(b, hot, rank).tolist())
 
 
+def test_parities_rule_out_no_similar_pair():
+    r = np.random.default_rng(1)
+    ruled = 0
+    for _ in range(2000):
+        n = int(r.integers(0, 3000))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < r.uniform(0.5, 1)], r.integers(0, 2**64, int(r.integers(0, n // 3 + 2)), dtype=np.uint64)]))
+        fits = overlap.possible(overlap.parities(a), len(a), overlap.parities(b), len(b))
+        assert fits or not overlap.similar(a, b)
+        ruled += not fits
+    assert ruled > 1000
+
+
 def test_odd_rows(spark):
     long = "word and more words of a long text. " * 3000
     rows = [(1, "a b"), (1, "other words here"), (2, "A  b"), (3, ""), (4, None), (None, "a b"), (5, long), (6, long + "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("__gone", F.lit("x")).withColumn("own", F.lit("x"))
     kept = overlap.drop_similar(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "5", "None"]
