@@ -12,6 +12,7 @@ Features are shapes of characters and words, the same in any language: no langua
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -21,7 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import whole_row
+
 SAMPLE = 4000  # labelled documents that are fitted at most: those of smallest hash
+SAMPLE_LINES = 400_000  # lines that are fitted at most, of whole documents in that order
+LONGEST = 1000  # lines of a document that is fitted; longer ones are scored like others
 ROUNDS, STEPS, RATE, DECAY = 3, 150, 0.08, 1e-3
 _OWN = 17  # features of a line by itself
 _CLASSES = 7  # other, upper, lower, digit, space, stop, symbol
@@ -60,8 +65,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(w) for w in words], np.float32)
     twice = np.array([sum(map(str.__eq__, w, w[1:])) for w in words], np.float32)
     kinds_of = np.array([len(set(w)) for w in words], np.float32)
-    seen = pd.Series(lines)
-    again = (seen.groupby(seen, sort=False).transform("size") > 1).to_numpy() if len(lines) > 1 else np.zeros(len(lines), bool)
+    times = Counter(lines)
     one, some = np.maximum(length, 1), np.maximum(n, 1)
     letters = np.maximum(counts[:, 1] + counts[:, 2], 1)
     own = np.empty((len(lines), _OWN), np.float32)
@@ -80,7 +84,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     own[:, 12] = symbol_words / some > 0.25
     own[:, 13] = [line.rstrip()[-1:] in (".", "?", "!") for line in lines]
     own[:, 14] = [line[:1].isupper() for line in lines]
-    own[:, 15] = again
+    own[:, 15] = [times[line] > 1 for line in lines]
     own[:, 16] = length == 0
     zero = np.zeros((1, _OWN), np.float32)
     return np.hstack([own, np.vstack([zero, own[:-1]]), np.vstack([own[1:], zero])]), length
@@ -138,35 +142,41 @@ class Field:
         return float(1 / (1 + np.exp(-(self.scale * self.share(text) + self.offset))))
 
 
-def _padded(docs: list[np.ndarray], fill: float = 0.0) -> np.ndarray:
-    out = np.full((len(docs), max(map(len, docs)), *docs[0].shape[1:]), fill)
-    for i, d in enumerate(docs):
-        out[i, : len(d)] = d
-    return out
-
-
-def _expected(unary: np.ndarray, pair: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of all documents' lines, and the expected counts of adjoining labels. unary: documents x lines."""
-    n, t = unary.shape
-    p = np.exp(pair - pair.max())
-    node = np.stack([1 / (1 + np.exp(unary)), 1 / (1 + np.exp(-unary))], axis=2)
-    f = np.empty((n, t, 2))
-    f[:, 0] = node[:, 0]
-    for i in range(1, t):
-        x = (f[:, i - 1] @ p) * node[:, i]
-        f[:, i] = np.where(real[:, i, None], x / x.sum(axis=1, keepdims=True), f[:, i - 1])
-    b = np.ones((n, t, 2))
-    for i in range(t - 2, -1, -1):
-        x = (node[:, i + 1] * b[:, i + 1]) @ p.T
-        b[:, i] = np.where(real[:, i + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
-    m = f * b
-    good = m[:, :, 1] / m.sum(axis=2)
-    both = np.zeros((2, 2))
-    for i in range(1, t):
-        x = f[:, i - 1, :, None] * p * (node[:, i] * b[:, i])[:, None, :]
-        x /= x.sum(axis=(1, 2), keepdims=True)
-        both += x[real[:, i]].sum(axis=0)
-    return good, both
+class _Chains:
+    """Documents' lines, one document after another. Steps go over all documents that are long enough at once, so that
+    memory is that of the lines, however unlike their numbers are."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        order = np.argsort(-self.sizes, kind="stable")
+        self.deep = self.starts[order]
+        top = int(self.sizes.max(initial=0))
+        self.active = np.searchsorted(-self.sizes[order], -np.arange(top), "left")  # documents of over t lines
+        self.follows = np.ones(int(self.sizes.sum()), bool)  # lines with one before them
+        self.follows[self.starts] = False
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts) if len(self.starts) else np.empty(0)
+
+    def expected(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of all lines, and the expected counts of adjoining labels. No document is without lines."""
+        p = np.exp(pair - pair.max())
+        node = np.stack([1 / (1 + np.exp(unary)), 1 / (1 + np.exp(-unary))], axis=1)
+        f, b = node.copy(), np.ones_like(node)
+        for t in range(1, len(self.active)):
+            at = self.deep[: self.active[t]] + t
+            x = (f[at - 1] @ p) * node[at]
+            f[at] = x / x.sum(axis=1, keepdims=True)
+        for t in range(len(self.active) - 1, 0, -1):
+            at = self.deep[: self.active[t]] + t
+            x = (node[at] * b[at]) @ p.T
+            b[at - 1] = x / x.sum(axis=1, keepdims=True)
+        m = f * b
+        at = np.flatnonzero(self.follows)
+        both = f[at - 1][:, :, None] * p * (node[at] * b[at])[:, None, :]
+        both /= both.sum(axis=(1, 2), keepdims=True)
+        return m[:, 1] / m.sum(axis=1), both.sum(axis=0)
 
 
 def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray) -> Field:
@@ -179,15 +189,17 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
         return Field(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)), 0.0, lean)
     order = np.argsort([len(f) for f in features], kind="stable")  # batches of like lengths
     batches = [order[i : i + 256] for i in range(0, len(order), 256)]
-    every = np.vstack(features)
-    mean, spread = every.mean(axis=0), every.std(axis=0) + 1e-3
+    lines_in = sum(map(len, features))
+    mean = sum(f.sum(axis=0, dtype=np.float64) for f in features) / lines_in
+    spread = np.sqrt(sum(((f - mean) ** 2).sum(axis=0) for f in features) / lines_in) + 1e-3
     weigh = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     data = []
     for rows in batches:
-        x = _padded([((features[i] - mean) / spread).clip(-6, 6) for i in rows])
-        data.append((rows, x, _padded([np.ones(len(features[i])) for i in rows]) > 0, _padded([lengths[i] + 1.0 for i in rows])))
+        x = np.concatenate([((features[i] - mean) / spread).clip(-6, 6).astype(np.float32) for i in rows])
+        chains = _Chains([len(features[i]) for i in rows])
+        data.append((rows, x, chains, np.concatenate([lengths[i] + 1.0 for i in rows]), np.repeat(labels[rows], chains.sizes)))
     weights, pair = np.zeros(width + 1), np.zeros((2, 2))
-    lines = [np.where(real, labels[rows][:, None], 0.0) for rows, _, real, _ in data]
+    lines = [own.copy() for *_, own in data]
     for _ in range(ROUNDS):
         theta = np.concatenate([weights, pair.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -196,29 +208,30 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
             grad = np.zeros_like(theta)
             n = 0.0
             k = step % len(data)
-            for (rows, x, real, _), y in [(data[k], lines[k]), (data[-1 - k], lines[-1 - k])]:
-                good, both = _expected(x @ weights[:-1] + weights[-1], pair, real)
-                gap = np.where(real, (y - good) * weigh[rows][:, None], 0.0)
-                grad[: width] += np.einsum("nt,ntf->f", gap, x)
+            for (rows, x, chains, _, _), y in [(data[k], lines[k]), (data[-1 - k], lines[-1 - k])]:
+                good, both = chains.expected(x @ weights[:-1] + weights[-1], pair)
+                gap = (y - good) * np.repeat(weigh[rows], chains.sizes)
+                grad[:width] += gap @ x
                 grad[width] += gap.sum()
-                adjoining = real[:, 1:]
-                a, b = y[:, :-1][adjoining] > 0.5, y[:, 1:][adjoining] > 0.5
-                seen = np.array([[(~a & ~b).sum(), (~a & b).sum()], [(a & ~b).sum(), (a & b).sum()]], float)
+                b = np.flatnonzero(chains.follows)
+                first, second = y[b - 1] > 0.5, y[b] > 0.5
+                seen = np.array([[(~first & ~second).sum(), (~first & second).sum()], [(first & ~second).sum(), (first & second).sum()]], float)
                 grad[-4:] += (seen - both).ravel()
-                n += real.sum()
+                n += len(y)
             grad = grad / n - DECAY * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, pair = theta[:-4], theta[-4:].reshape(2, 2)
         shares = np.empty(len(labels))
-        for j, (rows, x, real, length) in enumerate(data):
-            good, _ = _expected(x @ weights[:-1] + weights[-1], pair, real)
-            shares[rows] = (good * length).sum(axis=1) / length.sum(axis=1)
-            sure = np.where(good > 0.9, 1.0, np.where(good < 0.1, 0.0, labels[rows][:, None]))
+        for j, (rows, x, chains, length, own) in enumerate(data):
+            good, _ = chains.expected(x @ weights[:-1] + weights[-1], pair)
+            shares[rows] = chains.sums(good * length) / chains.sums(length)
+            sure = np.where(good > 0.9, 1.0, np.where(good < 0.1, 0.0, own))
             # a document keeps at least its most typical line
-            best = np.argmax(np.where(real, np.where(labels[rows][:, None] > 0, good, 1 - good) * length, -1), axis=1)
-            sure[np.arange(len(rows)), best] = labels[rows]
-            lines[j] = np.where(real, sure, 0.0)
+            typical = np.where(own > 0, good, 1 - good) * length
+            best = [a + int(np.argmax(typical[a : a + size])) for a, size in zip(chains.starts.tolist(), chains.sizes.tolist())]
+            sure[best] = labels[rows]
+            lines[j] = sure
     scale, offset = _scaled(shares, labels)
     return Field(mean, spread, weights, pair, scale, offset)
 
@@ -243,22 +256,34 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
-    """Fit on at most `sample` labelled documents that aren't held out. Their features, and no texts, come to the driver.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES, longest: int = LONGEST) -> Field:
+    """Fit on at most `sample` labelled documents that aren't held out, of at most `longest` lines each and `sample_lines` together. Their features, and no texts, come to the driver.
 
-    Null labels, ids and texts are left out; a document with several labels or an id with several texts counts as often.
+    Documents are taken whole, in order of a hash of their ids; one that would go over the lines is left out. Null labels, ids
+    and texts are left out; a document with several labels or an id with several texts counts as often. Without labels of
+    both kinds the field leans to the one there is, and without any it scores one half.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    known = known.where(~held_out("__id") & F.col("__id").isNotNull())
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    mine = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("t"), "__id", "__label").where("t is not null")
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(label_col).cast("int").alias("label"))
+    known = known.where(~held_out("own") & F.col("own").isNotNull())
+    chosen = known.orderBy(F.xxhash64("own"), "own").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    mine = texts.join(F.broadcast(chosen), F.col("id") == F.col("own")).select("id", "label", "t")  # sample rows at most
+    n_lines = F.length("t") - F.length(F.replace("t", F.lit("\n"))) + 1
+    sized = mine.groupBy("id", F.xxhash64("id").alias("place")).agg(F.sum(n_lines).alias("n")).orderBy("place", "id").limit(sample).collect()
+    room, taken = sample_lines, []
+    for r in sized:
+        if r["n"] <= min(room, longest):
+            room -= r["n"]
+            taken.append((r["id"],))
+    taken = docs.sparkSession.createDataFrame(taken, "id long")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [line_features(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["__id"], "label": batch["__label"], "f": [f.tobytes() for f, _ in made], "n": [n.tobytes() for _, n in made]})
+            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "f": [f.tobytes() for f, _ in made], "n": [n.tobytes() for _, n in made]})
 
-    rows = mine.mapInPandas(features, "id long, label int, f binary, n binary").toPandas().sort_values(["id", "label", "f"])
+    fitted = mine.join(F.broadcast(taken), "id", "left_semi").select("id", "label", "t")
+    rows = fitted.mapInPandas(features, "id long, label int, f binary, n binary").toPandas().sort_values(["id", "label", "f"])
     made = [np.frombuffer(f, np.float32).reshape(-1, 3 * _OWN) for f in rows["f"]]
     return fit(made, [np.frombuffer(n, np.float32) for n in rows["n"]], rows["label"].to_numpy())
 
@@ -284,5 +309,5 @@ def classify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the field doesn't reject, all columns kept."""
-    return docs.withColumn("__score", score_documents(docs, field, text_col)).where("__score >= 0.5").drop("__score")
+    """The rows of docs that the field doesn't reject, all columns kept. Rows with null or empty texts have the score of a share of one half; repeated rows stay or go alike."""
+    return docs.select(whole_row(docs), score_documents(docs, field, text_col).alias("score")).where("score >= 0.5").select("row.*")
