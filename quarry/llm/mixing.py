@@ -3,8 +3,8 @@
 Targets: every source gets its weight's share of what is to be taken; sources over `epochs` times their size are
 clamped there and their excess goes to the others by weight, until none is above. Sampling: a source taken r times
 over gives floor(r) whole repetitions of each document and a seeded sample for the rest: documents in order of a
-seeded hash, up to the source's quota of words. The cut in that order is found by descending prefixes of the
-hash, so a source of any size is summed in parallel and only a sliver of it is ever put in order.
+seeded hash, as far as the source's quota of words goes, and one more that fits best what is then left of it. The cut in that
+order is found by descending prefixes of the hash, so a source of any size is summed in parallel and only a sliver of it is ever put in order.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import number_rows, settle
+from quarry.llm.common import number_rows, settle, whole_row
 
 WEIGHTS = (3.0, 1.0, 2.0)  # of the first, second, third source, and so on again
 SHARE = 1.5  # words to take, as a share of all words
@@ -50,8 +50,9 @@ def water_fill(sources: DataFrame, wanted: float, epochs: float = EPOCHS) -> Dat
 
 
 def _cuts(rows: DataFrame, quotas: DataFrame, few: bool) -> DataFrame:
-    """(key, low, cut): rows with hash < low, or (hash, id) <= cut, are each source's first rows up to its quota, to the nearest row."""
+    """(key, low, cut, extra): rows with hash < low, or (hash, id) <= cut, are each source's first rows within its quota; (hash, id) = extra fits best what is left."""
     small = F.broadcast if few else (lambda t: t)
+    whole = rows
     here, low = rows.join(small(quotas), "key").withColumn("low", F.lit(0).cast("long")), F.col("low")
     upward = Window.partitionBy("key").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)  # over 2^_DIGIT rows a source
     for step in (1, 2):
@@ -65,8 +66,18 @@ def _cuts(rows: DataFrame, quotas: DataFrame, few: bool) -> DataFrame:
     alike = here.groupBy("key", "hash", "id").agg(F.sum("size").alias("size"), F.first("left").alias("left"), F.first("low").alias("low"))
     inside = Window.partitionBy("key").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, 0)  # 2^-24 of a source
     alike = alike.withColumn("upto", F.sum("size").over(inside))
-    taken = F.when(F.col("upto") - F.col("size") / 2 <= F.col("left"), F.struct("hash", "id"))
-    return settle(alike.groupBy("key").agg(F.first("low").alias("low"), F.max(taken).alias("cut")))
+    within = F.col("upto") <= F.col("left")
+    cuts = alike.groupBy("key").agg(
+        F.first("low").alias("low"),
+        F.max(F.when(within, F.struct("hash", "id"))).alias("cut"),
+        (F.first("left") - F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0))).alias("gap"),
+    )
+    cuts = settle(cuts)
+    beyond = whole.join(small(cuts), "key").where((F.col("hash") >= F.col("low")) & F.coalesce(F.struct("hash", "id") > F.col("cut"), F.lit(True)))
+    off = F.abs(F.col("size") - F.col("gap"))
+    best = beyond.where(off < F.col("gap")).groupBy("key").agg(F.min(F.struct(off.alias("off"), "hash", "id")).alias("b"))
+    best = best.select("key", F.struct(F.col("b.hash").alias("hash"), F.col("b.id").alias("id")).alias("extra"))
+    return settle(cuts.drop("gap").join(best, "key", "left"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
@@ -82,7 +93,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> tuple[DataFrame, bool]:
-    """One row per source: key, source_size, target, whole, low, cut; and whether they are few. rows: id, source, key, size, hash."""
+    """One row per source: key, source_size, target, whole, low, cut, extra; and whether they are few. rows: id, source, key, size, hash."""
     sources = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     # code point order is the order of UTF-8 bytes, as Spark compares strings
     sources = settle(number_rows(sources, [F.col("source").asc_nulls_last()], "place"))
@@ -93,12 +104,13 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(epochs)))).otherwise(F.lit(0.0))
     aimed = aimed.withColumn("whole", F.floor(times).cast("long")).withColumn("left", F.least((times - F.floor(times)) * F.col("source_size"), F.col("source_size").cast("double")))
     cuts = _cuts(rows.select("key", "id", "size", "hash"), aimed.where("left > 0").select("key", "left"), few)
-    return aimed.join(cuts, "key", "left").select("key", "source_size", "target", "whole", "low", "cut"), few
+    return aimed.join(cuts, "key", "left").select("key", "source_size", "target", "whole", "low", "cut", "extra"), few
 
 
 def _repeats() -> Column:
-    extra = (F.col("hash") < F.col("low")) | (F.struct("hash", "id") <= F.col("cut"))
-    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+    place = F.struct("hash", "id")
+    once = (F.col("hash") < F.col("low")) | F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(place == F.col("extra"), F.lit(False))
+    return F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")
 
 
 def mix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
@@ -119,6 +131,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of docs, all columns kept, each as often as the mix takes it. Cases as in mix_table."""
     made = _keyed(docs, id_col, text_col, source_col, seed)
     sources, few = plan(settle(docs.select(*made)), **how)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    joined = docs.select(row, *made).join(F.broadcast(sources) if few else sources, "key")
-    return joined.select("__row", F.explode(F.array_repeat(F.lit(0), _repeats().cast("int")))).select("__row.*")
+    joined = docs.select(whole_row(docs), *made).join(F.broadcast(sources) if few else sources, "key")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), _repeats().cast("int")))).select("row.*")
