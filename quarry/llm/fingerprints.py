@@ -190,15 +190,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     )
-    shares = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, 100 * n)).first()[0] if shares else None
+    shares = [i / n for i in range(1, n)] or [0.5]
+    cuts, nulls = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, 100 * n), F.count_if(F.col(id_col).isNull())).first()
     cuts = np.array(sorted(set(cuts or [])), np.int64)  # one a partition
+    first = n if nulls else 0  # buckets of null ids, by their texts' hash
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right") + 1).astype("int32")
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right") + first).astype("int32")
 
-    rows = rows.withColumn("bucket", F.when(F.col("none"), F.lit(0)).otherwise(range_of("id"))).withColumn("tie", F.xxhash64("t"))
+    rows = rows.withColumn("tie", F.xxhash64("t"))
+    by_hash = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * first), F.lit(first - 1)).cast("int")
+    rows = rows.withColumn("bucket", F.when(F.col("none"), by_hash).otherwise(range_of("id")))
     ends = rows.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("end")).collect()  # one a bucket
     ends = sorted((r["bucket"], r["end"]["id"], r["end"]["tie"]) for r in ends)
     following = [b for b, _, _ in ends[1:] + ends[:1]]
@@ -207,9 +210,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     to = F.when(last, F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("copy")), F.struct(F.col("following").alias("to"), F.lit(True).alias("copy"))))
     to = to.otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("copy"))))
     dealt = rows.join(F.broadcast(hops), "bucket").select("none", "id", "tie", "t", F.inline(to))
-    dealt = dealt.repartitionById(max(1, len(cuts) + 2), F.col("to")).sortWithinPartitions("to", F.col("copy").desc(), F.col("none").desc(), "id", "tie")
+    dealt = dealt.repartitionById(first + len(cuts) + 1, F.col("to")).sortWithinPartitions("to", F.col("copy").desc(), F.col("none").desc(), "id", "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("id", "none", "copy", "t").mapInPandas(_compare, schema)
-
-
-
