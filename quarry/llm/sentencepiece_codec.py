@@ -2,8 +2,8 @@
 
 In a vocabulary where no piece has a marker after another character, and none a line feed among others, no merge
 crosses the start of a marked word or a line feed. So a text falls into chunks that are segmented independently: a run of
-markers with the characters after it, or a line feed. Each distinct chunk is segmented once by the library and the ids are
-joined back by position. The table belongs to the worker that needs it: dealing words out by key would move many times the corpus.
+markers with the characters after it, or a line feed. Each chunk that is new to a task is segmented by the library and the ids are
+joined back by position. The table belongs to the task that needs it: dealing words out by key would move many times the corpus.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 MARK = "▁"
 _CHUNK = re.compile("\n|▁*[^▁\n]+|▁+")
-_ROOM = 500_000  # chunks a worker's table holds before it begins anew
+_ROOM, _ROOM_IDS = 500_000, 1 << 24  # chunks, and ids of chunks, that a worker's table holds before it begins anew
 _ROWS = 256  # texts encoded at a time
 
 
@@ -43,14 +45,14 @@ class ChunkCodec:
         lead = self.model.encode("\n")  # a line feed parts what follows from the marker put before a text
         self.lead = len(lead)
         self.chunked = self.chunked and len(lead) >= 2 and self.model.encode("\na")[: len(lead)] == lead
-        self._clear()
+        self.clear()
 
     def _plain(self) -> bool:
         """Whether the model takes characters as they are, with one marker before the text and none removed."""
         probe = " a  ééＡﬁ \t b  "
         return self.model.decode(self.model.encode(probe)) == probe and self.model.encode("") == []
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.table = _Numbers()
         self.texts: list[str] = []
         self.flat, self.filled = np.empty(1 << 16, np.int32), 0
@@ -74,8 +76,8 @@ class ChunkCodec:
         """The ids of each text, and the same in decimal joined by commas."""
         if not self.chunked:  # another vocabulary: the library's own way
             return [(np.asarray(x, np.int32), ",".join(map(str, x))) for x in self.model.encode(texts, num_threads=1)]
-        if len(self.table) > _ROOM:
-            self._clear()
+        if len(self.table) > _ROOM or self.filled > _ROOM_IDS:
+            self.clear()
         known = len(self.table)
         parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -101,7 +103,7 @@ _codecs: dict[str, ChunkCodec] = {}
 
 
 def codec(path: str) -> ChunkCodec:
-    """The worker's codec of a model file; its chunk table outlives the task."""
+    """The worker's codec of a model file."""
     if path not in _codecs:
         _codecs[path] = ChunkCodec(path)
     return _codecs[path]
@@ -114,6 +116,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     gives no rows; other columns are ignored. The model file must be at model_path on every executor.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used = codec(model_path)
         for batch in batches:
@@ -126,6 +129,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 if keep_ids:
                     out["ids"] = [x for x, _ in found]
                 yield pd.DataFrame(out)
+        used.clear()  # another task's words are mostly others
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = texts.schema["doc_id"].dataType.simpleString()
