@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import settle, tasks
 
 GRAIN = 1024
+MOST_CHUNKS = 2048  # parts of a shard that count their own rows
 
 
 def differencing(sizes: list[int], shards: int) -> list[int]:
@@ -76,10 +77,10 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         .join(F.broadcast(by_group), "group", "left")
         .join(F.broadcast(by_bundle), "bundle", "left")
         .withColumn("shard", F.coalesce("s1", "s2"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(tasks(spark))).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(min(tasks(spark), MOST_CHUNKS))).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "chunk")
     )
-    counts = sorted((r["shard"], r["chunk"], r["count"]) for r in dealt.groupBy("shard", "chunk").count().collect())  # shards * tasks rows
+    counts = sorted((r["shard"], r["chunk"], r["count"]) for r in dealt.groupBy("shard", "chunk").count().collect())  # shards * MOST_CHUNKS rows at most
     starts, last, before = [], None, 0
     for shard, chunk, n in counts:
         before = before if shard == last else 0
