@@ -15,3 +15,43 @@ def test_base_values_are_judged_by_owners_and_repositories(spark):
     assert of(10) == (0, 1, "access:2:22") and of(50) == (1, 0, "")
     assert of(80) == of(81) == (0, 0, "")
     assert all(r["n_live"] == r["n_example"] == 0 for r in got.values())
+
+
+def test_against_a_scan_of_all_documents(spark):
+    """Base spans, further candidates and their owners, by going through all texts one after the other."""
+    import hashlib
+    import re
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    widely, rare, local = ("ghp_" + c * 3 + "aB3dE6gH9jK2mN5pQ8rS" for c in "xyz")
+    planted = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(f" key {widely}")))
+    planted = planted.when(F.col("doc_id") == 11, F.concat("text", F.lit(f"\n{rare} secret = 'Zq81Zq81Zq81'")))
+    planted = planted.when(F.col("source") == F.lit("src3"), F.concat(F.lit(f"{local} "), "text"))
+    docs = docs.withColumn("text", F.coalesce(planted, "text")).cache()
+    rows = docs.collect()
+    patterns = [
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 32),
+    ]
+    base, owners, repos, values = {}, {}, {}, {}
+    for r in rows:
+        text = r["text"] or ""
+        found = sorted((m.start(), k, m.end(), name, m) for k, (name, p, flags, ok) in enumerate(patterns) for m in re.finditer(p, text, flags) if ok(m))
+        base[r["doc_id"]] = [f"{name}:{a}:{b}" for a, _, b, name, _ in found]
+        more = secrets.candidates(text, [(a, b, name) for a, _, b, name, _ in found])
+        values[r["doc_id"]] = [(m[2] if name == "assign" else m[0], False) for _, _, _, name, m in found] + [(v, True) for _, _, v in more]
+        for v, _ in values[r["doc_id"]]:
+            owners.setdefault(v, set()).add(r["source"])
+            repos.setdefault(v, set()).add(r["doc_id"])
+    example = {v: len(owners[v]) > secrets.MOST_OWNERS or len(repos[v]) > secrets.MOST_REPOS for v in owners}
+    assert example[widely] and not example[rare] and example[local] and len(owners[local]) == 1
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        assert r["base_sha256"] == hashlib.sha256(",".join(base[i]).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("live")] == base[i]
+        count = lambda more, ex: sum(m is more and example[v] is ex for v, m in values[i])
+        assert (r["n_live"], r["n_example"], r["n_base_live"], r["n_base_example"]) == (count(True, False), count(True, True), count(False, False), count(False, True))
