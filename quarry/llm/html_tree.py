@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
