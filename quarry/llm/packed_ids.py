@@ -21,16 +21,17 @@ import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, tasks
+from quarry.llm.common import scratch, tasks, tidy
 
 # Fixed values of the format: values a word holds, and their width in bits, for selectors 0 to 14.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1)
@@ -38,12 +39,41 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 40, 60)
 ESCAPE = 15
 GROUP = 4096  # ids between two offsets
 BLOCK = 1 << 17  # ids after which a block is closed
-_ROOM = 800_000  # words a worker's table holds before it begins anew
-_CHARS = 1 << 19  # characters tokenized at a time, whole documents
+_ROOM, _ROOM_IDS = 800_000, 1 << 24  # words, and ids of words, that a worker's table holds before it begins anew
+_CHARS = 1 << 22  # characters tokenized at a time, whole documents
 _HEAD = struct.Struct("<4sIIQII")
 _COUNT = np.array([*COUNTS, 1], np.int64)
 
 
+def _selectors(values: np.ndarray) -> np.ndarray:
+    """The narrowest selector that fits at each position, were a word to begin there. Values past a group's end are zeros.
+
+    A value's class is the first selector wide enough for it, and a selector fits if no class among the values it would hold is
+    higher. Selectors later on hold fewer and wider values, so the first that fits is as many as don't.
+    """
+    n = len(values)
+    groups = -(-n // GROUP)
+    small = values.astype(np.uint32) if values.max() < 1 << 32 else values
+    flat = np.zeros(n, np.uint8)
+    for width in WIDTHS:
+        if int(small.max()) >> width:
+            flat += small >= small.dtype.type(1 << width)
+    classes = np.zeros((groups, GROUP + max(COUNTS)), np.uint8)
+    padded = np.zeros(groups * GROUP, np.uint8)
+    padded[:n] = flat
+    classes[:, :GROUP] = padded.reshape(groups, GROUP)
+    highest = {1: classes}  # by number of values: the highest class among so many from each position on
+    for count in sorted(set(COUNTS) - {1}):
+        half = min(k for k in highest if 2 * k >= count)
+        out, shift = highest[half].copy(), count - half
+        np.maximum(out[:, :-shift], highest[half][:, shift:], out=out[:, :-shift])
+        highest[count] = out
+    best = np.zeros((groups, GROUP), np.uint8)
+    for selector, count in enumerate(COUNTS):
+        best += highest[count][:, :GROUP] > selector
+    return best.reshape(-1)[:n]
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Simple-8b words of the values, and the end of each group in words."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -51,22 +81,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     group_end = np.minimum((np.arange(n) // GROUP + 1) * GROUP, n)
-    # the narrowest selector that fits at each position, were a word to begin there
-    top = int(values.max()).bit_length()
-    best = np.full(n, ESCAPE, np.int8)
-    at = np.arange(n)
-    small = values.astype(np.uint32) if top <= 32 else values
-    for selector in range(next((i for i, w in enumerate(WIDTHS) if w >= top), len(WIDTHS) - 1), -1, -1):
-        count, width = COUNTS[selector], WIDTHS[selector]
-        if width >= top:
-            best[:] = selector
-            continue
-        big = np.zeros(n + 1, np.int32)
-        np.cumsum(small >= small.dtype.type(1 << width), out=big[1:])
-        fits = big[np.minimum(at + count, group_end)] == big[:-1]
-        if not fits.any():
-            break
-        best[fits] = selector
+    best = _selectors(values)
     hop = np.minimum(np.arange(n) + _COUNT[best], group_end).tolist()
     starts, at = [], 0
     while at < n:
@@ -172,8 +187,6 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return names, lengths, kinds[values.astype(np.int64)] if n else np.empty(0, np.uint32)
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words of one pre-token of Latin letters, or two with marks after them.
 _SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?%&*$#|]+)?")
 
@@ -197,16 +210,17 @@ class WordTokenizer:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec["added_tokens"])
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]  # they match a text as it is, not its lower case
         vocabulary = self.model.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.table, self.filled = _Numbers(), 0
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)  # under 2**31 ids in all, with _ROOM words
+        self.start, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)  # ids of a batch beyond _ROOM_IDS at most, and a text has under 2**31 characters
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -243,34 +257,41 @@ class WordTokenizer:
         self.count[known : len(self.table)] = sizes
         self.filled += total
 
-    def _words(self, text: str) -> list[str]:
-        if _SEPARATORS.search(text):  # white space to Python, but not to the vocabulary's pattern
-            return _WORD.findall(text)
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split()
-        return text.lower().split()  # in Latin-1, as the normaliser does it
+    def _words(self, texts: list[str]) -> pa.ListArray:
+        """The words of each text, A-Z in lower case as the normaliser has them in the end, but in texts with an added token in any case."""
+        whole = pa.array(texts, pa.string())
+        low = pc.ascii_lower(whole)
+        for token in self.added:
+            low = pc.if_else(pc.match_substring(low, token, ignore_case=True), whole, low)
+        return pc.ascii_split_whitespace(low)
+
+    @staticmethod
+    def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """start, start + 1, ... of so many each, one after another."""
+        ends = np.cumsum(count, dtype=np.int32)
+        return np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's."""
         if not self.by_word:
             ids = self._ids(texts)
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
-        if len(self.table) > _ROOM:
-            self._clear()
+        if len(self.table) > _ROOM or self.filled > _ROOM_IDS:
+            self.clear()
         known = len(self.table)
-        parts = [self._words(t) for t in texts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.table.__getitem__, chain.from_iterable(parts)), np.int32, int(sizes.sum()))
+        parts = self._words(texts)
+        sizes = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+        words = parts.flatten().dictionary_encode()  # a word of the batch is looked up once
+        place = np.fromiter(map(self.table.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(words.dictionary))
+        at = words.indices.to_numpy()
         if len(self.table) > known:
             self._learn(list(islice(self.table, known, None)))
-        n = self.count[at]
-        ends = np.cumsum(n, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)]
-        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+        # the ids of the batch's words one after another: a short table, from which the texts' ids are taken
+        own = self._spread(self.start[place], self.count[place])
+        near, n = self.flat[own], self.count[place][at]
+        first = np.cumsum(self.count[place], dtype=np.int32) - self.count[place]
+        ids = near[self._spread(first[at], n)]
+        edge = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.concatenate(([0], np.cumsum(sizes)))]
         return ids, np.diff(edge)
 
 
@@ -293,6 +314,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     rows with one id are in order of a hash of their texts. A null text is empty.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used, part, number = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         names: list = []
@@ -369,5 +391,5 @@ def encode_and_read_back(docs: DataFrame, tokenizer_path: str, keep_ids: bool =
     An empty table gives no rows; repeated rows each get theirs; other columns are ignored.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/packed-ids-{uuid4().hex}"
+    folder = f"{scratch(spark, 'packed-ids')}/blocks"
     return read_files(spark, write_files(docs, tokenizer_path, folder, **columns), keep_ids)
