@@ -2,14 +2,16 @@
 
 1. Prefix filter: all texts order their shingles in one way. Two sets with a similarity of at least 4/5 share one of the
    first n - ceil(4 n / 5) + 1 shingles of each, whatever the order, so no such pair is left out. The order puts shingles
-   that a sample of texts has often last, so that boilerplate makes no large buckets; the sample decides the cost and no link.
+   that many texts have last, so that boilerplate makes no large buckets. Each task counts all its texts' shingles and gives those
+   that it meets often; their sums over all tasks decide the cost and no link.
 2. Buckets of texts that share such a shingle: small ones give all their pairs, large ones the pairs with their first text.
-   A bucket that the sample expects to be over `limit` is dealt as several, whose first texts are paired in turn.
+   A bucket that the counts expect to be over `limit` is dealt as several, whose first texts are paired in turn.
 3. A pair that can't be similar is left out by a bound: the parities of classes of shingles, two classes for each
    shingle at least, differ in no more places than the sets do. The others are checked on the whole sets, which are read
    from the texts again for those that are left, and components are taken of the pairs that pass.
 4. In large buckets, pairs of texts in different components follow, in cells of two shards, by the same bound and check:
-   first only those that join all that the bound lets pass, then all that are left between components.
+   first only those that join all that the bound lets pass, then all that are left between components. A bucket over `limit` is cut
+   by bands of set sizes first: sets of bands that aren't neighbours can't be similar and never meet.
 
 Similarity is that of 64-bit hashes of the shingles. Candidates from elsewhere can be given; they are checked like the others.
 """
@@ -29,7 +31,8 @@ from quarry.llm.simhash import _join, _signed, shingle_hashes
 
 SMALL = 8  # texts of a bucket whose pairs are all given at once
 LIMIT = 20_000  # texts of a shard of a large bucket
-SAMPLE = 20_000  # texts, about, that the order is taken from
+OFTEN = 8  # texts of a task that have a shingle for it to be counted over all
+_BLOCK = 1 << 22  # shingles counted at a time
 MOST_HOT = 100_000  # shingles that go last
 MOST_IDS = 2_000_000  # ids that are broadcast
 CLASSES = 512  # parity bits of a set at least, and those that a cell compares
@@ -83,18 +86,51 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
+class Often:
+    """Counts of shingles that come often, in bounded memory: after each block, those met once go, so a count is short by the number of blocks at most."""
+
+    def __init__(self):
+        self.keys, self.times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append(hashes)
+        self.size += len(hashes)
+        if self.size >= _BLOCK:
+            self._count(2)
+
+    def _count(self, least: int) -> None:
+        keys, times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        merged, at = np.unique(np.concatenate([self.keys, keys[times >= least]]), return_inverse=True)
+        sums = np.zeros(len(merged), np.int64)
+        np.add.at(sums, at, np.concatenate([self.times, times[times >= least]]))
+        self.keys, self.times, self.held, self.size = merged, sums, [], 0
+
+    def found(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self._count(1 if not len(self.keys) else 2)
+        mine = self.times >= least
+        return self.keys[mine], self.times[mine]
+
+
 def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles that three texts of a sample have, at most MOST_HOT of the most frequent, their places in the order, and the texts expected to have them."""
+    """Shingles that OFTEN texts of some task have, at most MOST_HOT of the most frequent over all texts, their places in the order, and their counts.
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A shingle that more than OFTEN texts a task have on average is among them, so what is left is rare for the size of the corpus.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = Often()
         for batch in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, words) for t in batch["t"])]).view(np.int64)})
+            for t in batch["t"]:
+                often.add(shingle_set(t, words))
+        keys, times = often.found(OFTEN)
+        yield pd.DataFrame({"h": keys.view(np.int64), "n": times})
 
-    share = max(1, texts.count() // SAMPLE)
-    seen = texts.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).mapInPandas(tidy(hashes), "h long")
-    often = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    seen = texts.select("t").mapInPandas(tidy(count), "h long, n long")
+    often = seen.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
     hot = np.array([r["h"] for r in often], np.int64).view(np.uint64)
-    times = np.array([r["n"] for r in often], np.int64) * share
+    times = np.array([r["n"] for r in often], np.int64)
     rank = np.arange(len(hot), 0, -1)
     order = np.argsort(hot)
     return hot[order], rank[order], times[order]
@@ -219,7 +255,7 @@ def _cross_pairs(whole: bool):
     """Pairs of a cell's rows in different components that sizes and parities don't rule out: all, or only as many as join what all would."""
 
     def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        node, n, group = (frame[c].to_numpy() for c in ("node", "n", "c"))
+        node, n, group, half = (frame[c].to_numpy() for c in ("node", "n", "c", "half"))
         bits = _Parities(frame["parity"])
         starts = np.append(np.flatnonzero(_begins(frame, ["cell"])), len(frame))
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -230,7 +266,7 @@ def _cross_pairs(whole: bool):
             step = max(1, _PAIRS // (end - start))
             for i in range(start, end, step):
                 x, y = np.arange(i, min(i + step, end))[:, None], np.arange(i + 1, end)[None, :]
-                p, q = np.nonzero((y > x) & (root[x - start] != root[y - start]) & _fit(n[x], n[y]))
+                p, q = np.nonzero((y > x) & (root[x - start] != root[y - start]) & ((half[x] == 0) | (half[x] != half[y])) & _fit(n[x], n[y]))
                 p, q, far = bits.possible(p + i, q + i + 1, n)
                 if not whole:
                     pairs, root = _forest(p - start, q - start, far, root)
@@ -240,7 +276,7 @@ def _cross_pairs(whole: bool):
     return lambda batches: _whole_buckets(batches, ["cell"], solve)
 
 
-def _sent_whole(ids: DataFrame) -> DataFrame:
+def sent_whole(ids: DataFrame) -> DataFrame:
     """Ids, stored; to be broadcast if they are few, so that texts needn't move."""
     ids = settle(ids)
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
@@ -250,13 +286,13 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _touched(pairs: DataFrame) -> DataFrame:
+def touched(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _of(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+def of(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of the nodes that are asked for; no other row of a large table moves."""
-    return nodes.join(_sent_whole(asked), "node", "left_semi")
+    return nodes.join(sent_whole(asked), "node", "left_semi")
 
 
 def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -267,7 +303,7 @@ def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> D
             made = [shingle_set(t, words) for t in batch["t"]]
             yield pd.DataFrame({"node": [node_of(s) for s in made], "s": [s.tobytes() for s in made]})
 
-    asked = _sent_whole(_of(nodes, _touched(pairs)).select("id").distinct())
+    asked = sent_whole(of(nodes, touched(pairs)).select("id").distinct())
     sets = settle(texts.join(asked, texts["doc_id"] == asked["id"], "left_semi").select("t").mapInPandas(tidy(read), "node long, s binary"))
     return sets.dropDuplicates(["node"]) if sets.count() > asked.count() else sets  # more only where ids repeat
 
@@ -283,7 +319,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = settle(_distinct(pairs))
     n = pairs.count()
     pairs = gathered(pairs, n)
-    near = _of(nodes.select("node", "n", "parity"), _touched(pairs))
+    near = of(nodes.select("node", "n", "parity"), touched(pairs))
     both = pairs.join(near.select(F.col("node").alias("b"), F.col("parity").alias("y"), F.col("n").alias("m")), "b")
     both = both.join(near.select(F.col("node").alias("a"), F.col("parity").alias("x"), "n"), "a")
     return settle(gathered(both, n).mapInPandas(tidy(check), "a long, b long"))
@@ -303,11 +339,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
     return settle(gathered(both, n, _CHECKS).mapInPandas(tidy(check), "a long, b long"))
 
 
-def similar_classes(found: DataFrame, texts: DataFrame, words: int, more: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+def similar_classes(found: DataFrame, texts: DataFrame, words: int, more: DataFrame | None = None, limit: int = LIMIT, verify=None) -> DataFrame:
     """(a, b) for each node a whose class has a smaller node b, b the smallest: links are similarities of 4/5, and are followed.
 
     found: doc_id, node, n, parity, prefix, salt (none: all 0; rows stored); texts: doc_id, t, which sets are read from again; more: further candidates (a, b).
+    verify(pairs, nodes, texts, words) gives the pairs that are similar; without it whole sets are compared.
     """
+    verify = verify or _verified
     spark = found.sparkSession
     known = found.where("doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
@@ -321,35 +359,49 @@ def similar_classes(found: DataFrame, texts: DataFrame, words: int, more: DataFr
     if more is not None:
         pairs = pairs.unionByName(more)
     pairs = _plausible(pairs, nodes)
-    links = components(_verified(pairs, nodes, texts, words))
+    links = components(verify(pairs, nodes, texts, words))
     for whole in (False, True):  # first what joins most, so that few pairs are left for all to be looked at
         rest = _distinct(_cells(members, links, nodes, limit).mapInPandas(tidy(_cross_pairs(whole)), "a long, b long"))
         rest = settle(rest)
-        links = components(links.unionByName(_verified(rest, nodes, texts, words)))
+        links = components(links.unionByName(verify(rest, nodes, texts, words)))
     return links
 
 
 def _cells(members: DataFrame, links: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """The rows of large buckets of several components, in their cells: a bucket over the limit is cut into shards, and every two shards meet in one."""
-    named = members.join(gathered(links, links.count()), members["node"] == links["a"], "left").select("key", "node", F.coalesce("b", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    mixed = mixed.select("key", F.ceil(F.col("m") / limit).cast("int").alias("s"))
-    named = settle(named.join(_sent_whole(mixed), "key"))  # a large bucket's rows stay where they are
-    named = named.join(_of(nodes.select("node", "n", "parity"), named.select("node").distinct()), "node")
-    named = named.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("s").cast("long")).cast("int"))
-    named = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    named = named.select("node", "c", "n", "parity", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    return named.repartition(tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "node")
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, print_of=None, candidates=None, limit: int = LIMIT) -> DataFrame:
-    """The rows of docs whose id is its class's smallest, all columns kept. A row with a null id stays.
+    """The rows of large buckets of several components, in their cells.
 
-    print_of(hashes) is a fingerprint of a shingle set and candidates(nodes) gives further pairs (a, b) from nodes (id, bits). A null
-    text counts as empty; wordless texts are alike. An empty table gives no rows.
+    A bucket of up to the limit is a cell. A larger one is cut into bands, within which sizes grow by a quarter, and bands over the limit into
+    shards. Every two shards of one band or of neighbouring bands meet in a cell; `half` tells them apart there (0: all pairs count).
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    hot, rank, times = hot_shingles(texts, words)
+    named = members.join(gathered(links, links.count()), members["node"] == links["a"], "left").select("key", "node", F.coalesce("b", "node").alias("c"))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key", "m")
+    named = settle(named.join(sent_whole(mixed), "key"))  # a large bucket's rows stay where they are
+    rows = named.join(of(nodes.select("node", "n", "parity"), named.select("node").distinct()), "node")
+    cells = rows.where(F.col("m") <= limit).select("node", "c", "n", "parity", F.xxhash64("key").alias("cell"), F.lit(0).alias("half"))
+    over = rows.where(F.col("m") > limit)
+    if not named.where(F.col("m") > limit).isEmpty():
+        over = over.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.25)) + 1e-9))
+        sizes = settle(over.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("s")))
+        at = lambda by, name: sizes.select("key", (F.col("band") - by).alias("band"), F.col("s").alias(name))
+        for by, name in ((0, "s"), (1, "above"), (-1, "below")):
+            over = over.join(at(by, name), ["key", "band"], "left")
+        mine = F.pmod(F.xxhash64("node"), F.col("s").cast("long")).cast("int")
+        over = over.withColumn("mine", mine)
+        shards = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        cell = lambda low, a, b, half: F.struct(F.xxhash64("key", *low, a, b).alias("cell"), half.cast("int").alias("half"))
+        band = F.col("band")
+        met = F.concat(
+            F.transform(shards("s"), lambda o: cell((band, band), F.least("mine", o), F.greatest("mine", o), F.when(o == F.col("mine"), 0).when(o > F.col("mine"), 1).otherwise(2))),
+            F.transform(shards("above"), lambda o: cell((band, band + 1), F.col("mine"), o, F.lit(1))),
+            F.transform(shards("below"), lambda o: cell((band - 1, band), o, F.col("mine"), F.lit(2))),
+        )
+        cells = cells.unionByName(over.select("node", "c", "n", "parity", F.explode(met).alias("met")).select("node", "c", "n", "parity", "met.cell", "met.half"))
+    return cells.repartition(tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "node")
+
+
+def shingle_table(texts: DataFrame, words: int, limit: int = LIMIT, print_of=None, hot: tuple | None = None) -> DataFrame:
+    """(doc_id, node, n, parity, prefix, salt, bits) of texts (doc_id, t), stored. Texts with equal sets are one node."""
+    hot, rank, times = hot or hot_shingles(texts, words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -368,7 +420,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 }
             )
 
-    found = stored(texts.mapInPandas(tidy(scan), "doc_id long, node long, n int, parity binary, prefix array<long>, salt array<int>, bits long"), "shingles")
+    return stored(texts.mapInPandas(tidy(scan), "doc_id long, node long, n int, parity binary, prefix array<long>, salt array<int>, bits long"), "shingles")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, print_of=None, candidates=None, limit: int = LIMIT) -> DataFrame:
+    """The rows of docs whose id is its class's smallest, all columns kept. A row with a null id stays.
+
+    print_of(hashes) is a fingerprint of a shingle set and candidates(nodes) gives further pairs (a, b) from nodes (id, bits). A null
+    text counts as empty; wordless texts are alike. An empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    found = shingle_table(texts, words, limit, print_of)
     more = None
     if candidates:
         more = candidates(found.where("doc_id is not null").groupBy("node").agg(F.first("bits").alias("bits")).withColumnRenamed("node", "id"))
@@ -378,4 +440,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = named.groupBy("c").agg(F.min("doc_id").alias("least"))
     gone = named.join(least, "c").where("doc_id != least").select("doc_id").distinct()
     own = F.col(id_col).cast("long").alias("own")
-    return docs.select(whole_row(docs), own).join(_sent_whole(gone), F.col("own") == F.col("doc_id"), "left_anti").select("row.*")
+    return docs.select(whole_row(docs), own).join(sent_whole(gone), F.col("own") == F.col("doc_id"), "left_anti").select("row.*")
