@@ -6,7 +6,8 @@
    that it meets often; their sums over all tasks decide the cost and no link.
 2. Buckets of texts that share such a shingle: small ones give all their pairs, large ones the pairs with their first text.
    A bucket that the counts expect to be over `limit` is dealt as several, whose first texts are paired in turn.
-3. A pair that can't be similar is left out by a bound: the parities of classes of shingles, two classes for each
+   A frequent shingle that all its texts have right after the same other one in the order adds no pair to that one's bucket, and goes.
+3. A pair that can't be similar is left out by a bound: the parities of classes of shingles, a class for each
    shingle at least, differ in no more places than the sets do. The others are checked on the whole sets, which are read
    from the texts again for those that are left, and components are taken of the pairs that pass.
 4. In large buckets, pairs of texts in different components follow, in cells of two shards, by the same bound and check:
@@ -51,7 +52,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 def parities(hashes: np.ndarray) -> bytes:
     """Whether each class of shingles has an odd number. Classes are low bits of the hash, so wider parities fold to narrower ones."""
-    width = max(CLASSES, 1 << (2 * len(hashes) - 1).bit_length())
+    width = max(CLASSES, 1 << max(0, len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -71,6 +72,16 @@ def possible(x: bytes, n: int, y: bytes, m: int) -> bool:
     return 5 * n >= 4 * m and 5 * m >= 4 * n and 9 * far <= n + m
 
 
+def before(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """For each frequent shingle of a prefix the one before it, if that is frequent too; else 0. Empty if none has any."""
+    if len(keys) < 2 or not len(hot):
+        return keys[:0]
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    often = hot[at] == keys
+    both = often[1:] & often[:-1]
+    return np.concatenate([keys[:1] * np.uint64(0), np.where(both, keys[:-1], 0)]) if both.any() else keys[:0]
+
+
 def prefix(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles of a sorted set that a similar set must share one of. hot is sorted; rank is its order, from 1."""
     n = len(hashes)
@@ -178,11 +189,20 @@ def _fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of buckets sorted by key, salt and node. Rows of a large or dealt bucket also come back with their key and no b; `lead`: the first of a dealt part."""
+    """Pairs (a, b) of buckets sorted by key, salt and node. Rows of a large or dealt bucket also come back with their key and no b; `lead`: the first of a dealt part.
+
+    A bucket all of whose rows have the same `earlier` key is part of that one's and gives nothing.
+    """
 
     def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         frame = frame[_begins(frame, ["key", "salt", "node"])]  # texts with equal sets
         first = _begins(frame, ["key", "salt"])
+        starts = np.flatnonzero(first)
+        earlier = frame["earlier"].to_numpy()
+        if len(starts):
+            one = (np.minimum.reduceat(earlier, starts) == np.maximum.reduceat(earlier, starts)) & (earlier[starts] != 0) & (frame["salt"].to_numpy()[starts] == 0)
+            frame = frame[~one[np.cumsum(first) - 1]]  # every pair is in the earlier shingle's bucket too
+            first = _begins(frame, ["key", "salt"])
         key, node, n, salt = (frame[c].to_numpy() for c in ("key", "node", "n", "salt"))
         bucket = np.cumsum(first) - 1
         size, lead = np.bincount(bucket)[bucket], np.flatnonzero(first)[bucket]
@@ -342,14 +362,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
 def similar_classes(found: DataFrame, texts: DataFrame, words: int, more: DataFrame | None = None, limit: int = LIMIT, verify=None) -> DataFrame:
     """(a, b) for each node a whose class has a smaller node b, b the smallest: links are similarities of 4/5, and are followed.
 
-    found: doc_id, node, n, parity, prefix, salt (none: all 0; rows stored); texts: doc_id, t, which sets are read from again; more: further candidates (a, b).
+    found: doc_id, node, n, parity, prefix, salt and earlier (none: all 0; earlier may be left out; rows stored); texts: doc_id, t, which sets are read from again; more: further candidates (a, b).
     verify(pairs, nodes, texts, words) gives the pairs that are similar; without it whole sets are compared.
     """
     verify = verify or _verified
+    if "earlier" not in found.columns:
+        found = found.withColumn("earlier", F.array().cast("array<long>"))
     spark = found.sparkSession
     known = found.where("doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
-    rows = known.select(F.inline(F.arrays_zip("prefix", "salt")), "node", "n").select(F.col("prefix").alias("key"), F.coalesce("salt", F.lit(0)).alias("salt"), "node", "n")
+    rows = known.select(F.inline(F.arrays_zip("prefix", "salt", "earlier")), "node", "n")
+    rows = rows.select(F.col("prefix").alias("key"), F.coalesce("salt", F.lit(0)).alias("salt"), F.coalesce("earlier", F.lit(0)).alias("earlier"), "node", "n")
     dealt = rows.repartition(tasks(spark), "key", "salt").sortWithinPartitions("key", "salt", "node")
     out = settle(dealt.mapInPandas(tidy(_first_pairs), "key long, a long, b long, lead boolean"))
     pairs = out.where("b is not null").select("a", "b")
@@ -400,7 +423,7 @@ def _cells(members: DataFrame, links: DataFrame, nodes: DataFrame, limit: int) -
 
 
 def shingle_table(texts: DataFrame, words: int, limit: int = LIMIT, print_of=None, hot: tuple | None = None) -> DataFrame:
-    """(doc_id, node, n, parity, prefix, salt, bits) of texts (doc_id, t), stored. Texts with equal sets are one node."""
+    """(doc_id, node, n, parity, prefix, salt, earlier, bits) of texts (doc_id, t), stored. Texts with equal sets are one node."""
     hot, rank, times = hot or hot_shingles(texts, words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,11 +439,12 @@ def shingle_table(texts: DataFrame, words: int, limit: int = LIMIT, print_of=Non
                     "parity": [parities(s) for s in made],
                     "prefix": [p.view(np.int64) for p in first],
                     "salt": [s if s.any() else s[:0] for s in (salts(p, node, hot, times, limit) for p, node in zip(first, named))],  # mostly none
+                    "earlier": [before(p, hot).view(np.int64) for p in first],
                     "bits": [print_of(s) if print_of else 0 for s in made],
                 }
             )
 
-    return stored(texts.mapInPandas(tidy(scan), "doc_id long, node long, n int, parity binary, prefix array<long>, salt array<int>, bits long"), "shingles")
+    return stored(texts.mapInPandas(tidy(scan), "doc_id long, node long, n int, parity binary, prefix array<long>, salt array<int>, earlier array<long>, bits long"), "shingles")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, print_of=None, candidates=None, limit: int = LIMIT) -> DataFrame:
