@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.stem import stemmed_tokens
 from quarry.functions.text import source_title, titled, tokens
-from quarry.operators import chunks, dense, facets, fusion, lexical, windows
+from quarry.operators import chunks, dense, facets, fusion, lexical, positional, windows
 from quarry.operators.index import embed_once
-from quarry.operators.lifecycle import cleaned
+from quarry.operators.lifecycle import cleaned, rerank_or_keep
 from quarry.storage import sent, settle
 
 NOTHING = "No relevant information found."
@@ -69,7 +69,7 @@ class Retriever:
         searchable = titled(source_title(F.col("path")), F.col("clean")) if s.titles else F.col("clean")
         made = made.withColumn("n", F.col("chunk_id")).withColumn("id", F.concat_ws("::chunk:", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
         self.passages = settle(made.withColumn("searchable", searchable).drop("clean"))
-        self._index = self._vectors = None
+        self._index = self._symbols = self._blocks = self._vectors = None
 
     @property
     def index(self) -> lexical.Index:
@@ -78,6 +78,20 @@ class Retriever:
             self._index = lexical.build_index(self.passages, "id", "searchable", stemmed_tokens if self.settings.stemming else tokens)
         return self._index
 
+    @property
+    def symbols(self) -> lexical.Index:
+        """The postings of the passages' identifier words."""
+        if self._symbols is None:
+            self._symbols = lexical.build_index(lexical.with_symbols(self.passages.select("id", "searchable"), "searchable"), "id", "searchable", self.index.tokenizer)
+        return self._symbols
+
+    @property
+    def blocks(self) -> positional.BlockIndex:
+        """The passages' positions, stored when a question first has a quoted phrase."""
+        if self._blocks is None:
+            self._blocks = positional.build(self.passages, "id", "searchable", self.index.tokenizer)
+        return self._blocks
+
     @property
     def vectors(self) -> DataFrame:
         """The passages' vectors; each distinct text is embedded once, when a search first asks for them."""
@@ -86,23 +100,39 @@ class Retriever:
             self._vectors = settle(embed_once(rows, lambda t: t.withColumn("vector", self.embed(F.col("text")))).select("id", F.col("vector").alias("embedding")))
         return self._vectors
 
-    def _channels(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _channels(self, asked: DataFrame, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Dense and lexical lists. Words count in the content and in its identifier words; a question that is one quoted phrase is searched as such."""
         s = self.settings
-        words = lexical.bm25(self.index, asked, s.depth, k1=s.k1, b=s.b)
+        within = None if scope is None else settle(self.passages.join(scope.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("id").alias("doc_id")))
+        how = {"within": within, "k1": s.k1, "b": s.b}
+        quoted = asked.where(F.trim("query").startswith('"') & F.trim("query").endswith('"'))
+        if quoted.isEmpty():
+            words = lexical.fields_search((self.index, self.symbols), asked, s.depth, **how)
+        else:
+            words = positional.quoted_search(self.blocks, (self.index, self.symbols), asked, s.depth, **how).drop("mode")
         if self.embed is None:
             return words.limit(0), words
-        return dense.search(self.vectors, asked.select("query_id", self.embed(F.col("query")).alias("vector")), s.depth, s.metric, "id"), words
+        vectors = self.vectors if within is None else self.vectors.join(within.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+        return dense.search(vectors, asked.select("query_id", self.embed(F.col("query")).alias("vector")), s.depth, s.metric, "id"), words
+
+    def search(self, questions: DataFrame, scorer=None, scope: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, rank, doc_id, content, start_offset, end_offset, whole_document): facets searched apart, fused, shortlisted, reranked and merged, then widened.
 
-    def search(self, questions: DataFrame, scorer=None) -> DataFrame:
-        """(query_id, id, rank, doc_id, content, start_offset, end_offset, whole_document): facets searched apart, fused, shortlisted, reranked and merged, then widened."""
+        scorer: a column, or a function of questions and texts (each headed by its source's name); a question that it fails for keeps its shortlist's order. scope: the documents
+        (doc_id) that are searched, if not all; ranks and counts are those of the scope.
+        """
         s = self.settings
         parts = settle(facets.decompose(questions, s.facets).withColumn("facet_id", F.xxhash64("query_id", "facet_no")))
         asked = parts.select(F.col("facet_id").alias("query_id"), F.col("facet").alias("query"))
-        channels = [settle(c) for c in self._channels(asked)]
+        channels = [settle(c) for c in self._channels(asked, scope)]
         fused = fusion.rrf(*channels, weights=s.weights, k=s.rrf_k)
         short = fusion.balanced(fused, channels, s.depth) if s.balanced else fused.where(F.col("fused_rank") <= s.depth).withColumn("shortlist_rank", F.col("fused_rank"))
-        full = short.join(self.passages.select(F.col("id").alias("doc_id"), F.col("searchable").alias("content")), "doc_id").join(sent(asked), "query_id")
-        kept = fusion.rerank(full, scorer if scorer is not None else -F.col("shortlist_rank").cast("double"), s.top_k)
+        named = F.concat(F.lit("Source: "), F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1), F.lit("\n"), F.col("searchable"))
+        full = short.join(self.passages.select(F.col("id").alias("doc_id"), named.alias("content")), "doc_id").join(sent(asked), "query_id")
+        if scorer is None or isinstance(scorer, Column):
+            kept = fusion.rerank(full, scorer if scorer is not None else -F.col("shortlist_rank").cast("double"), s.top_k)
+        else:
+            kept = rerank_or_keep(full, scorer, s.top_k)
         named = kept.select(F.col("query_id").alias("facet_id"), "doc_id", F.col("final_rank").alias("rank")).join(sent(parts.select("facet_id", "query_id", "facet_no")), "facet_id")
         merged = fusion.merge_facets(named, s.top_k).withColumnRenamed("doc_id", "id")
         hits = merged.join(self.passages.select("id", "doc_id", "n"), "id").select("query_id", "doc_id", "n", "rank")

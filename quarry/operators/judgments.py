@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.metrics import span_overlap, span_scores
+from quarry.operators.intervals import overlap_join
+from quarry.operators.metrics import span_scores
 
 
 def answer_groups(labels: DataFrame) -> DataFrame:
     """Relevant spans (question_id, ordinal, source_id, start_offset, end_offset) with their group_no.
 
     In order, a span joins the first group one of whose spans it matches (one source, half of the shorter in common),
-    else it founds one. The order decides, so a question's labels, which people made, are gone through together.
+    else it founds one. The order decides, so a question's labels, which people made, are gone through together; a span looks only at those
+    before it that share one of its bins of offsets, which are as wide as most of the question's spans are long.
     """
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal")
-        groups: list[list[tuple]] = []
-        numbers = []
-        for source, a, b in zip(rows["source_id"], rows["start_offset"], rows["end_offset"]):
-            def same(span) -> bool:
-                common = min(b, span[2]) - max(a, span[1])
-                return span[0] == source and 0 < common and common * 2 >= min(b - a, span[2] - span[1])
-
-            k = next((i for i, g in enumerate(groups) if any(map(same, g))), len(groups))
-            if k == len(groups):
-                groups.append([])
-            groups[k].append((source, a, b))
-            numbers.append(k)
+        spans = list(zip(rows["source_id"], rows["start_offset"], rows["end_offset"]))
+        width = max(1, int(np.quantile([max(1, b - a) for _, a, b in spans], 0.9)))
+        seen: dict[tuple, list[tuple]] = {}
+        numbers, groups = [], 0
+        for source, a, b in spans:
+            bins = [(source, k) for k in range(a // width, (b - 1) // width + 1)] if b > a else []
+            near = {n for k in bins for c, e, n in seen.get(k, ()) if 0 < min(b, e) - max(a, c) and (min(b, e) - max(a, c)) * 2 >= min(b - a, e - c)}
+            number = min(near, default=groups)
+            groups += number == groups
+            numbers.append(number)
+            for k in bins:
+                seen.setdefault(k, []).append((a, b, number))
         return rows.assign(group_no=numbers)
 
     kinds = dict(labels.dtypes)
@@ -42,7 +45,7 @@ def match_passages(passages: DataFrame, groups: DataFrame) -> DataFrame:
     """(query_id, rank, group_no): the lowest group each passage matches, null for none. passages: question_id, rank, source_id, start_offset, end_offset."""
     left = passages.select("question_id", "rank", "source_id", F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
     right = groups.select("question_id", "source_id", "group_no", F.col("start_offset").alias("r_start"), F.col("end_offset").alias("r_end"))
-    hits = span_overlap(left, right, ["question_id", "source_id"]).groupBy("question_id", "rank").agg(F.min("group_no").alias("group_no"))
+    hits = overlap_join(left, right, ["question_id", "source_id"]).groupBy("question_id", "rank").agg(F.min("group_no").alias("group_no"))
     return passages.select("question_id", "rank").join(hits, ["question_id", "rank"], "left").withColumnRenamed("question_id", "query_id")
 
 
@@ -56,7 +59,7 @@ def score_batch(passages: DataFrame, labels: DataFrame) -> DataFrame:
     scores = span_scores(match_passages(passages, groups), counts)
     every = labels.select("question_id", "source_id", F.col("start_offset").alias("r_start"), F.col("end_offset").alias("r_end"))
     mine = passages.select("question_id", "rank", "source_id", F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
-    judged = span_overlap(mine, every, ["question_id", "source_id"]).select("question_id", "rank").distinct()
+    judged = overlap_join(mine, every, ["question_id", "source_id"]).select("question_id", "rank").distinct()
     unjudged = passages.join(judged, ["question_id", "rank"], "left_anti").agg(F.count(F.lit(1)).alias("unjudged_passages"))
     means = [F.round(F.avg(m), 4).alias(m) for m in ("hit", "recall", "mrr", "ndcg", "precision")]
     return scores.agg(F.count(F.lit(1)).alias("judged_questions"), *means).crossJoin(unjudged)

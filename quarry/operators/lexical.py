@@ -96,20 +96,24 @@ def _totals(found: DataFrame) -> tuple[int, float]:
 
 
 def bm25_scores(
-    docs: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text", within: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with the query. docs: a table of texts, or a stored index of one.
 
     Of a table's texts, which are tokenized once, only tokens that some query has leave the scan, summed by document. Scores are
     summed where a document's rows are, so query terms times documents never move: only each task's best do, when ranked.
+    within: the documents (doc_id) of an index that are searched; counts are then those of these documents.
     """
     spark = queries.sparkSession
     asked = settle(query_terms(queries, tokenizer=docs.tokenizer if isinstance(docs, Index) else tokenizer))
     few = asked.count() <= QUERY_ROWS
     hint = F.broadcast if few else (lambda t: t)
     if isinstance(docs, Index):
-        n, avgdl = docs.n, docs.avgdl
-        terms = docs.postings(spark).join(hint(asked.select("term").distinct()), "term", "left_semi")
+        n, avgdl, held = docs.n, docs.avgdl, docs.postings(spark)
+        if within is not None:
+            held = held.join(sent(within.select("doc_id").distinct()), "doc_id", "left_semi")
+            n, avgdl = _totals(held)
+        terms = held.join(hint(asked.select("term").distinct()), "term", "left_semi")
     else:
         wanted = asked.select("term").union(spark.createDataFrame([(ALL,)], "term string")).distinct()
         each = tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms())
@@ -136,10 +140,10 @@ def with_symbols(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn(text_col, identifier_words(F.col(text_col)))
 
 
-def fields_search(docs: DataFrame | tuple[Index, Index], queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fields_search(docs: DataFrame | tuple[Index, Index], queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """BM25 over the content and over its identifier words, summed by document. docs: a table, or the two fields' indexes."""
     content, symbols = docs if isinstance(docs, tuple) else (docs.select(id_col, text_col), with_symbols(docs.select(id_col, text_col), text_col))
-    how = {"id_col": id_col, "text_col": text_col}
+    how = how | {"id_col": id_col, "text_col": text_col}
     both = bm25_scores(content, queries, **how).unionByName(bm25_scores(symbols, queries, **how))
     return ranked(both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators.contained import held
 from quarry.operators.lexical import tokenized
 from quarry.storage import sent, settle
 
@@ -14,8 +15,8 @@ def holding(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     """(query_id, doc_id): documents whose text has the query's text in it. Null and empty queries are in none.
 
     A text that holds a query has all its tokens but perhaps the outer ones, which may be parts of words. So documents meet
-    queries on the longest inner token and are then looked through. Queries of under three tokens, which have none, are a side of
-    their own that every text is looked through for.
+    queries on the longest inner token and are then looked through. Queries of under three tokens, which have none, are looked for all
+    together in one pass over each text (`contained`).
     """
     asked = settle(queries.where("query != ''").select("query_id", "query", tokens(F.col("query")).alias("t")))
     inner = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
@@ -24,11 +25,12 @@ def holding(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     short = asked.where("size(t) < 3").select("query_id", "query")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     has = tokenized(docs, id_col, text_col).select("doc_id", F.explode("t").alias("term")).join(sent(long.select("term").distinct()), "term", "left_semi").distinct()
-    pairs = settle(has.join(sent(long), "term").select("doc_id", "query_id", "query"))
-    found = texts.join(sent(pairs), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    pairs = settle(has.join(sent(long.select("query_id", "term")), "term").select("doc_id", "query_id"))
+    named = texts.join(sent(pairs), "doc_id").join(sent(long.select("query_id", "query")), "query_id")
+    found = named.where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
     if short.isEmpty():
         return found
-    return found.unionByName(texts.join(sent(short), F.col("text").contains(F.col("query"))).select("query_id", "doc_id"))
+    return found.unionByName(held(texts, short))
 
 
 def relevant_files(files: DataFrame, queries: DataFrame, most: int = 5, path_col: str = "path") -> DataFrame:

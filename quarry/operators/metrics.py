@@ -8,16 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def span_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of spans (l_start, l_end) and (r_start, r_end) of one source of which at least half of the shorter overlaps.
-
-    An equi-join on the source with the overlap as a further condition, never a product of all spans.
-    """
-    overlap = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
-    shorter = F.least(F.col("l_end") - F.col("l_start"), F.col("r_end") - F.col("r_start"))
-    return left.join(right, on).where((overlap > 0) & (overlap * 2 >= shorter))
-
-
 def document_ranks(ranked: DataFrame) -> DataFrame:
     """Repeated documents count once, at their first rank; ranks close up. ranked: arm, query_id, doc_id, rank."""
     first = ranked.groupBy("arm", "query_id", "doc_id").agg(F.min("rank").alias("first"))
@@ -90,11 +80,6 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n == 0, 0.0).otherwise(F.round(middle - half, 4)), F.when(n == 0, 0.0).otherwise(F.round(middle + half, 4))
 
 
-def percentile(values: str, share: float) -> Column:
-    """Nearest rank."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values})")
-
-
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided p of the discordant pairs."""
     n = wins + losses

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.metrics import percentile, sign_test_column, wilson
+from quarry.operators.metrics import sign_test_column, wilson
+from quarry.operators.scans import percentiles, running_total
 
 # What a judge's word for relevance counts, and the metrics of an answer.
 RELEVANCE = {"full": 1.0, "partial": 0.5, "none": 0.0}
@@ -22,22 +23,26 @@ def share(flags: Column) -> Column:
 
 
 def average_precision(flags: Column) -> Column:
-    """Mean, over true places, of the share of true ones up to there; none true: 0, no flags: null."""
+    """Mean, over true places, of the share of true ones up to there; none true, or no flags: 0."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, x: Column) -> Column:
         n, hits = s["n"] + 1, s["hits"] + x.cast("int")
         return F.struct(n.alias("n"), hits.alias("hits"), (s["sum"] + F.when(x, hits / n).otherwise(0.0)).alias("sum"))
 
-    return F.when(F.size(flags) > 0, F.aggregate(flags, start, step, lambda s: F.when(s["hits"] > 0, s["sum"] / s["hits"]).otherwise(0.0)))
+    return F.aggregate(flags, start, step, lambda s: F.when(s["hits"] > 0, s["sum"] / s["hits"]).otherwise(0.0))
 
 
 def quality_scores(verdicts: DataFrame) -> DataFrame:
     """question_id and METRICS; null where one doesn't apply.
 
     verdicts: question_id, refused, claims (array of supported), relevance, passages (array of useful), facts (array of in_passages,
-    in_answer), cited and gold (arrays of ids).
+    in_answer), cited and gold (arrays of ids). Where n_passages or n_facts say how many verdicts there should be, reading a row with another number raises.
     """
+    for expected, given in (("n_passages", "passages"), ("n_facts", "facts")):
+        if expected in verdicts.columns:
+            wrong = F.raise_error(F.concat(F.lit(f"the judge gave another number of {given} than "), F.col(expected).cast("string")))
+            verdicts = verdicts.withColumn(given, F.when(F.size(given) == F.col(expected), F.col(given)).otherwise(wrong.cast(verdicts.schema[given].dataType)))
     relevance = F.element_at(F.create_map(*[x for k, v in RELEVANCE.items() for x in (F.lit(k), F.lit(v))]), F.col("relevance"))
     cited = F.transform("cited", lambda x: F.array_contains("gold", x))
     made = {
@@ -103,15 +108,16 @@ def check_answers(answers: DataFrame, judge: Callable[[pd.Series, pd.Series], pd
 def arm_report(scores: DataFrame, metrics: Sequence[str], places: int = 4) -> DataFrame:
     """(arm, questions, metrics, latency_p50_s, latency_p95_s): means by arm, and nearest-rank latencies. scores: arm, query_id, latency_seconds, the metrics."""
     means = [F.round(F.avg(m), places).alias(m) for m in metrics]
-    latency = [F.round(percentile("latency_seconds", p), 3).alias(f"latency_p{int(p * 100)}_s") for p in (0.5, 0.95)]
-    return scores.groupBy("arm").agg(F.count(F.lit(1)).alias("questions"), *means, *latency)
+    latency = percentiles(scores, ["arm"], "latency_seconds", {"latency_p50_s": 0.5, "latency_p95_s": 0.95})
+    latency = latency.select("arm", *[F.round(c, 3).alias(c) for c in ("latency_p50_s", "latency_p95_s")])
+    return scores.groupBy("arm").agg(F.count(F.lit(1)).alias("questions"), *means).join(latency, "arm", "left")
 
 
 def paired(scores: DataFrame, metric: str, first: str, second: str) -> DataFrame:
-    """One row about the questions that both arms have: questions, first_better, second_better, first_mean, second_mean, and p of the exact sign test."""
+    """One row about the questions that both arms have: questions, first_better, second_better, first_mean, second_mean, and p of the exact sign test. Scores that are equal to 9 places are."""
     both = scores.where(F.col("arm").isin(first, second)).groupBy("query_id").agg(F.max(F.when(F.col("arm") == first, F.col(metric))).alias("a"), F.max(F.when(F.col("arm") == second, F.col(metric))).alias("b"))
     both = both.where("a is not null and b is not null")
-    row = both.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("a") > F.col("b")).alias("first_better"), F.count_if(F.col("a") < F.col("b")).alias("second_better"), F.round(F.avg("a"), 6).alias("first_mean"), F.round(F.avg("b"), 6).alias("second_mean"))
+    row = both.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.round("a", 9) > F.round("b", 9)).alias("first_better"), F.count_if(F.round("a", 9) < F.round("b", 9)).alias("second_better"), F.round(F.avg("a"), 6).alias("first_mean"), F.round(F.avg("b"), 6).alias("second_mean"))
     return row.withColumn("p", F.round(sign_test_column(F.col("first_better"), F.col("second_better")), 6))
 
 
@@ -180,6 +186,21 @@ def spend(started: DataFrame, ended: DataFrame, key: str, failed_cost: float = 0
     return started.select(key).distinct().join(calls, key, "left").agg(F.count(F.lit(1)).alias("calls_started"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("known_cost"), F.round(F.coalesce(F.sum(reserve), F.lit(0.0)), 4).alias("reserved"))
 
 
+def capped_run(planned: DataFrame, order: Sequence[str], cost: str, cap: int, proves: str) -> DataFrame:
+    """planned rows with `status`: what a run in the given order makes of them within a cap. made: called and proven; failed: the first call that proves nothing, which ends the run;
+    over_cap: the first row whose call would pass the cap, which ends it too; not_reached: all others.
+
+    Costs are summed in ranges of the order, so no task runs over all rows. A null cost counts 0. The order is total.
+    """
+    rows = running_total(planned, [], [F.col(c).asc_nulls_last() for c in order], cost, "__total")
+    at = F.struct(*order)
+    stop = rows.where((F.col("__total") > cap) | ~F.coalesce(F.col(proves), F.lit(False))).agg(F.min(at).alias("__stop"))  # one row
+    met = rows.crossJoin(F.broadcast(stop))
+    reached = F.when(F.col("__total") > cap, "over_cap").otherwise("failed")
+    status = F.when(F.col("__stop").isNull() | (at < F.col("__stop")), "made").when(at == F.col("__stop"), reached).otherwise("not_reached")
+    return met.withColumn("status", status).select(*planned.columns, "status")
+
+
 def outcomes(calls: DataFrame, by: str, outcome: str = "outcome", names: Sequence[str] = ("answered", "busy", "other")) -> DataFrame:
     """(level, a count of each outcome)."""
     return calls.groupBy(F.col(by).alias("level")).agg(*[F.count_if(F.col(outcome) == n).alias(n) for n in names])

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.scans import running_total
 from quarry.storage import settle
 
 MOST_DOCUMENTS, MOST_BYTES, MOST_TOTAL = 500, 16 << 20, 64 << 20
@@ -71,17 +72,14 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def retained(items: DataFrame, now: Column, max_age: float, budget: int, time_col: str = "modified", size_col: str = "size", by: list[str] | None = None) -> DataFrame:
-    """What stays when the oldest go while too old or while the rest is over budget: the newest whose running size fits.
+def retained(items: DataFrame, now: Column, max_age: float, budget: int, time_col: str = "modified", size_col: str = "size", by: list[str] | None = None, id_col: str = "id", incoming: int = 0) -> DataFrame:
+    """What stays when the oldest go, one after another, while too old or while the rest and `incoming` are over budget: the newest whose running size fits.
 
-    Items of one time stay or go together. Sizes are summed by time first, combined before the shuffle, so a task that runs
-    over them has a row for each distinct time of its `by` group, and of the whole store without `by`.
+    Of items of one time the smaller id goes first. Items lie in ranges of time, so a store or a group of any size is summed by many tasks.
     """
-    newest = Window.partitionBy(*(by or [])).orderBy(F.col(time_col).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    steps = items.groupBy(*(by or []), time_col).agg(F.sum(size_col).alias("__step"))
-    steps = steps.withColumn("__total", F.sum("__step").over(newest))
-    stay = steps.where((F.col(time_col) >= now - max_age) & (F.col("__total") <= budget))
-    return items.join(stay.select(*(by or []), time_col), [*(by or []), time_col], "left_semi")
+    names = items.columns
+    rows = running_total(items, by or [], [F.col(time_col).desc(), F.col(id_col).desc()], size_col, "__total")
+    return rows.where((F.col(time_col) >= now - max_age) & (F.col("__total") + incoming <= budget)).select(*names)
 
 
 def first_valid(*values: Column) -> Column:

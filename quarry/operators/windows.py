@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.positions import placed
 from quarry.storage import sent, settle
 
 MOST_CHARACTERS = 16_000
@@ -25,8 +26,9 @@ def expand(hits: DataFrame, passages: DataFrame, sources: DataFrame, radius: int
     if not 0 <= radius <= 3 or whole < 0:
         raise ValueError("radius must be from 0 to 3 and whole not negative")
     asked = sent(settle(hits.select("doc_id").distinct()))  # only what was found is read and verified
-    mine = passages.join(asked, "doc_id", "left_semi").join(sources.select("doc_id", "text").join(asked, "doc_id", "left_semi"), "doc_id")
-    mine = mine.withColumn("ok", verified(F.col("text"), F.col("start_offset").cast("int"), F.col("end_offset").cast("int"), F.col("content"))).withColumn("length", F.length("text")).drop("text")
+    texts = sources.select("doc_id", "text").join(asked, "doc_id", "left_semi")
+    mine = placed(passages.select("doc_id", "n", "start_offset", "end_offset", "content").join(asked, "doc_id", "left_semi"), texts)
+    mine = mine.select("doc_id", "n", "start_offset", "end_offset", "ok").join(texts.select("doc_id", F.length("text").alias("length")), "doc_id")
     around = Window.partitionBy("doc_id").orderBy("start_offset", "end_offset").rowsBetween(-radius, radius)
     mine = mine.withColumn("from", F.min("start_offset").over(around)).withColumn("to", F.max("end_offset").over(around)).withColumn("all_ok", F.bool_and("ok").over(around))
     found = hits.join(mine, ["doc_id", "n"], "left")
@@ -41,6 +43,23 @@ def expand(hits: DataFrame, passages: DataFrame, sources: DataFrame, radius: int
     return found.select("query_id", "doc_id", "n", "rank", start.alias("start_offset"), end.alias("end_offset"), F.col("whole").alias("whole_document"))
 
 
+def source_context(passages: DataFrame, sources: DataFrame, whole: int = 12_000, first: int = 2, before: int = 2) -> DataFrame:
+    """(doc_id, n, context): what a model is told about a passage's source: all of it, if it has at most `whole` characters, else its `first` passages and the `before` last ones, none twice.
+
+    passages: doc_id, n, content; sources: doc_id, text. Blank passages are left out. A source's passages lie in one row and are looked up by place.
+    """
+    own = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "content"))).alias("p"))
+    own = own.join(sources.select("doc_id", F.when(F.length("text") <= whole, F.col("text")).alias("short")), "doc_id")
+
+    def context(x: Column, i: Column) -> Column:
+        last = F.slice("p", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)))
+        chosen = F.filter(F.array_distinct(F.concat(F.slice("p", 1, first), last)), lambda y: F.trim(y["content"]) != "")
+        joined = F.array_join(F.transform(chosen, lambda y: y["content"]), "\n\n")
+        return F.struct(x["n"].alias("n"), F.coalesce("short", joined).alias("context"))
+
+    return own.select("doc_id", F.explode(F.transform("p", context)).alias("x")).select("doc_id", "x.*")
+
+
 def rendered(passages: DataFrame) -> DataFrame:
     """(query_id, answer): `[rank] name (location)` and the text of each passage, in order. For passages without an answer."""
     part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("name"), F.lit(" ("), F.col("location"), F.lit(")\n"), F.col("content"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_citations, tokens
-from quarry.operators import lexical, metrics, reports
+from quarry.operators import intervals, judgments, lexical, metrics, reports, scans
 from quarry.plans.tables import GOLD, PASSAGES, QUESTIONS, TOKENS, bm25_sql, documents, gold, lexical_index, passages, questions, table, top_sql
 from quarry.storage import sent, settle
 
@@ -81,11 +81,11 @@ def e6_summary(spark: SparkSession, d: str) -> DataFrame:
 _SIGN = "least(1.0, 2 * list_sum(list_transform(generate_series(0, least(w, l)), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2)))))"
 
 
-@query(f"""WITH {_METRICS}, c AS (SELECT count(*) AS questions, count(*) FILTER (a.mrr > b.mrr) AS w, count(*) FILTER (a.mrr < b.mrr) AS l,
-        round(avg(a.mrr), 6) AS first_mean, round(avg(b.mrr), 6) AS second_mean FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
+@query(f"""WITH {_METRICS}, c AS (SELECT count(*) AS questions, count(*) FILTER (round(a.ndcg10, 9) > round(b.ndcg10, 9)) AS w, count(*) FILTER (round(a.ndcg10, 9) < round(b.ndcg10, 9)) AS l,
+        round(avg(a.ndcg10), 6) AS first_mean, round(avg(b.ndcg10), 6) AS second_mean FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
     SELECT questions, w AS first_better, l AS second_better, first_mean, second_mean, round({_SIGN}, 6) AS p FROM c""")
 def e10_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.paired(_metrics(spark, d), "mrr", "score", "id")
+    return reports.paired(_metrics(spark, d), "ndcg10", "score", "id")
 
 
 @query(f"""WITH {_EVENTS} SELECT arm, count(*) AS questions, round(avg(recall5), 4) AS recall5, round(avg(recall10), 4) AS recall10, round(avg(ndcg10), 4) AS ndcg10, round(avg(mrr), 4) AS mrr,
@@ -94,7 +94,7 @@ def e10_arms(spark: SparkSession, d: str) -> DataFrame:
     return reports.arm_report(_events(spark, d).where("n = 2"), _MEANS)
 
 
-@query(f"""WITH {_METRICS}, c AS (SELECT count(*) FILTER (a.mrr > b.mrr) AS w, count(*) FILTER (a.mrr < b.mrr) AS l FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
+@query(f"""WITH {_METRICS}, c AS (SELECT count(*) FILTER (round(a.ndcg10, 9) > round(b.ndcg10, 9)) AS w, count(*) FILTER (round(a.ndcg10, 9) < round(b.ndcg10, 9)) AS l FROM metrics a JOIN metrics b USING (query_id) WHERE a.arm = 'score' AND b.arm = 'id')
     SELECT w AS wins, l AS losses, round(CASE WHEN w + l = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(generate_series(0, least(w, l)), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2))))) END, 6) AS p FROM c""")
 def e9_sign_test(spark: SparkSession, d: str) -> DataFrame:
     counts = e10_report(spark, d).select(F.col("first_better").alias("wins"), F.col("second_better").alias("losses"))
@@ -103,7 +103,7 @@ def e9_sign_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def e8_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(metrics.percentile("value", 0.5).alias("p50"), metrics.percentile("value", 0.95).alias("p95"))
+    return scans.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 # ---- spans
@@ -114,13 +114,42 @@ _SPANS = f"""{PASSAGES}, l AS (SELECT doc_id, n AS l_n, start_offset AS l_start,
 
 @query(f"WITH {_SPANS} SELECT doc_id, l_n, r_n FROM l JOIN r USING (doc_id) WHERE least(l_end, r_end) - greatest(l_start, r_start) > 0 AND (least(l_end, r_end) - greatest(l_start, r_start)) * 2 >= least(l_end - l_start, r_end - r_start)")
 def e1_span_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """All lines against themselves shifted. Spans meet in bins of 256 offsets of their document, and each pair in the bin where its overlap starts."""
+    """All lines against themselves shifted."""
     base = passages(spark, d)
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 256), F.floor((F.col(b) - 1) / 256))).alias("bin")
     left = base.select("doc_id", F.col("n").alias("l_n"), F.col("start_offset").alias("l_start"), F.col("end_offset").alias("l_end"))
     right = base.where("end_offset > 20").select("doc_id", F.col("n").alias("r_n"), F.greatest(F.lit(0), F.col("start_offset") - 20).alias("r_start"), (F.col("end_offset") - 20).alias("r_end"))
-    pairs = metrics.span_overlap(left.select("*", bins("l_start", "l_end")), right.select("*", bins("r_start", "r_end")), ["doc_id", "bin"])
-    return pairs.where(F.col("bin") == F.floor(F.greatest("l_start", "r_start") / 256)).select("doc_id", "l_n", "r_n")
+    return intervals.overlap_join(left, right, ["doc_id"]).select("doc_id", "l_n", "r_n")
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents stand for questions: a third of their lines are relevant, a third irrelevant; what was found are their lines 20 characters on, each seventh left out."""
+    base = passages(spark, d).select(F.col("doc_id").alias("question_id"), F.col("n").cast("int").alias("ordinal"), F.col("doc_id").alias("source_id"), "start_offset", "end_offset")
+    labels = base.where("ordinal % 3 <> 2").withColumn("label", F.when(F.col("ordinal") % 3 == 0, "relevant").otherwise("irrelevant"))
+    found = base.where("ordinal % 7 <> 6").select("question_id", (F.col("ordinal") + 1).alias("rank"), "source_id", (F.col("start_offset") + 20).alias("start_offset"), (F.col("end_offset") + 20).alias("end_offset"))
+    return found, labels
+
+
+@query(f"""WITH {PASSAGES}, l AS (SELECT doc_id, n, n % 3 = 0 AS good, start_offset AS a, end_offset AS b FROM passages WHERE n % 3 <> 2), p AS (SELECT doc_id, n + 1 AS rank, start_offset + 20 AS a, end_offset + 20 AS b FROM passages WHERE n % 7 <> 6),
+    m AS (SELECT p.doc_id, p.rank, min(l.n) FILTER (good) AS g FROM p JOIN l ON p.doc_id = l.doc_id AND least(p.b, l.b) - greatest(p.a, l.a) > 0 AND (least(p.b, l.b) - greatest(p.a, l.a)) * 2 >= least(p.b - p.a, l.b - l.a) GROUP BY ALL),
+    r AS (SELECT p.doc_id, p.rank, g, m.doc_id IS NULL AS unjudged FROM p LEFT JOIN m USING (doc_id, rank)), answers AS (SELECT doc_id, count(*) AS n FROM l WHERE good GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*) AS k, count(g) AS hits, count(DISTINCT g) AS found, min(rank) FILTER (g IS NOT NULL) AS first, sum(CASE WHEN g IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS gain FROM r GROUP BY doc_id),
+    q AS (SELECT (hits > 0)::INT::DOUBLE AS hit, found / n AS recall, coalesce(1.0 / first, 0) AS mrr, gain / list_sum(list_transform(generate_series(1, least(n, k)), lambda i: 1 / log2(i + 1))) AS ndcg, hits / k AS precision FROM s JOIN answers USING (doc_id))
+    SELECT count(*) AS judged_questions, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg(precision), 4) AS precision, (SELECT count(*) FROM r WHERE unjudged) AS unjudged_passages FROM q""")
+def e4_score_batch(spark: SparkSession, d: str) -> DataFrame:
+    return judgments.score_batch(*_labelled(spark, d))
+
+
+@query()
+def e2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Answer groups of all lines, each with its first and its last half as further labels."""
+    base = passages(spark, d).select(F.col("doc_id").alias("question_id"), "n", F.col("doc_id").alias("source_id"), "start_offset", "end_offset")
+    half = F.col("start_offset") + F.floor((F.col("end_offset") - F.col("start_offset")) / 2)
+    first, last = base.withColumn("end_offset", half), base.withColumn("start_offset", half)
+    every = None
+    for k, part in enumerate((first, base, last)):
+        rows = part.where("end_offset > start_offset").select("question_id", (F.col("n") * 3 + k).cast("int").alias("ordinal"), "source_id", "start_offset", "end_offset")
+        every = rows if every is None else every.unionByName(rows)
+    return judgments.answer_groups(every).select("question_id", "ordinal", "group_no")
 
 
 @query(f"""WITH {_ARMS}, sizes AS (SELECT query_id, count(DISTINCT doc_id) AS answers FROM gold GROUP BY query_id),
@@ -272,7 +301,7 @@ def e15_summary(spark: SparkSession, d: str) -> DataFrame:
     return reports.accuracy(_graded(spark, d))
 
 
-_VERDICTS = """v AS (SELECT conv_id, conv_id % 7 = 0 AS refused, ['full', 'partial', 'none'][conv_id % 3 + 1] AS relevance, list(role = 'assistant' ORDER BY turn) AS passages, list(length(text) >= 60 ORDER BY turn) AS claims,
+_VERDICTS = """v AS (SELECT conv_id, conv_id % 7 = 0 AS refused, ['full', 'partial', 'none'][conv_id % 3 + 1] AS relevance, CASE WHEN conv_id % 13 = 5 THEN [] ELSE list(role = 'assistant' ORDER BY turn) END AS passages, list(length(text) >= 60 ORDER BY turn) AS claims,
         list(role = 'user' ORDER BY turn) AS fin, list(turn % 2 = 0 ORDER BY turn) AS fout, list(turn ORDER BY turn) AS cited, CASE WHEN conv_id % 5 = 0 THEN [] ELSE [0, 2, 3] END AS gold FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id),
     s AS (SELECT conv_id AS question_id, CASE WHEN NOT refused THEN list_avg(claims::INT[]) END AS faithfulness, CASE relevance WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END AS answer_relevance, list_avg(passages::INT[]) AS context_relevance,
         coalesce(list_sum(list_transform(generate_series(1, len(passages)), lambda i: CASE WHEN passages[i] THEN list_sum(passages[1:i]::INT[]) / i ELSE 0 END)) / nullif(list_sum(passages::INT[]), 0), 0) AS context_precision,
@@ -280,13 +309,13 @@ _VERDICTS = """v AS (SELECT conv_id, conv_id % 7 = 0 AS refused, ['full', 'parti
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations stand for judged answers: turns are passages, claims, facts and citations."""
+    """Conversations stand for judged answers: turns are passages, claims, facts and citations. Some questions found no passage."""
     turns = table(spark, d, "conversations").where("turn is not null")
     turn = F.struct("turn", (F.col("role") == "assistant").alias("passage"), (F.length("text") >= 60).alias("claim"), (F.col("role") == "user").alias("in_passages"), (F.col("turn") % 2 == 0).alias("in_answer"))
     rows = turns.groupBy(F.col("conv_id").alias("question_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
     gold_ids = F.when(F.col("question_id") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(*[F.lit(x).cast("long") for x in (0, 2, 3)]))
     words = F.when(F.col("question_id") % 3 == 0, "full").when(F.col("question_id") % 3 == 1, "partial").otherwise("none")
-    return rows.select("question_id", (F.col("question_id") % 7 == 0).alias("refused"), F.col("t.claim").alias("claims"), words.alias("relevance"), F.col("t.passage").alias("passages"), F.transform("t", lambda x: F.struct(x["in_passages"], x["in_answer"])).alias("facts"), F.col("t.turn").alias("cited"), gold_ids.alias("gold"))
+    return rows.select("question_id", (F.col("question_id") % 7 == 0).alias("refused"), F.col("t.claim").alias("claims"), words.alias("relevance"), F.when(F.col("question_id") % 13 == 5, F.array().cast("array<boolean>")).otherwise(F.col("t.passage")).alias("passages"), F.transform("t", lambda x: F.struct(x["in_passages"], x["in_answer"])).alias("facts"), F.col("t.turn").alias("cited"), gold_ids.alias("gold"))
 
 
 @query(f"WITH {_VERDICTS} SELECT question_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in reports.METRICS) + " FROM s")
@@ -403,3 +432,13 @@ def e18_batch(spark: SparkSession, d: str) -> DataFrame:
     """All questions of a batch in one job: passages and distinct sources of each."""
     top = arms(spark, d).where("arm = 'score' and rank <= 5").join(documents(spark, d).select("doc_id", "source"), "doc_id")
     return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("passage_count"), F.count_distinct("source").alias("source_count"))
+
+
+@query("""WITH p AS (SELECT event_id, ts, user_id % 9 + 1 AS cost, NOT (event_type = 'error' AND event_id % 1000 = 999) AS fine FROM events WHERE event_type <> 'purchase'),
+    r AS (SELECT *, sum(cost) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM p), s AS (SELECT min((ts, event_id)) AS stop FROM r WHERE total > 20000 OR NOT fine)
+    SELECT event_id, CASE WHEN stop IS NULL OR (ts, event_id) < stop THEN 'made' WHEN (ts, event_id) > stop THEN 'not_reached' WHEN total > 20000 THEN 'over_cap' ELSE 'failed' END AS status FROM r, s""")
+def e35_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Events that no purchase has finished, called in order of time within a cap."""
+    events = table(spark, d, "events").where("event_type <> 'purchase'")
+    planned = events.select("event_id", "ts", (F.col("user_id") % 9 + 1).alias("cost"), (~((F.col("event_type") == "error") & (F.col("event_id") % 1000 == 999))).alias("fine"))
+    return reports.capped_run(planned, ["ts", "event_id"], "cost", 20_000, "fine").select("event_id", "status")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import identifier_words, tokens
-from quarry.operators import dense, fusion, lexical
+from quarry.operators import dense, fusion, lexical, positional
 from quarry.operators.lexical import ranked
 from quarry.operators.matches import relevant_files
-from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, bm25_sql, documents, gold, lexical_index, query_vectors, questions, table, top_sql, vectors
+from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, block_index, bm25_sql, documents, gold, lexical_index, query_vectors, questions, table, top_sql, vectors
 from quarry.storage import sent, settle
 
 QUERIES, ORACLES = {}, {}
@@ -157,7 +157,33 @@ def q3_two_fields(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, len(list_filter(generate_series(1, len(t) - len(p) + 1), lambda i: t[i:i + len(p) - 1] = p)) AS hits FROM c""")
 def q4_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Every question's whole token sequence as the phrase."""
-    return lexical.phrase_matches(documents(spark, d), questions(spark, d))
+    return positional.phrase_hits(block_index(spark, d), questions(spark, d)).select("query_id", "doc_id", F.col("hits").cast("long").alias("hits"))
+
+
+@query(f"WITH {QUESTIONS}, {bm25_sql()} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {top_sql('bm25', 5)}")
+def q5_top_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same five, with blocks passed over whose bounds are too low."""
+    return _rounded(positional.top_k(block_index(spark, d), questions(spark, d), 5))
+
+
+_QUOTED = f"""qq AS (SELECT item_id * 3 + k AS query_id, CASE k WHEN 0 THEN '"' || text || '"' WHEN 1 THEN '"' || text || ' zzyzx"' ELSE text END AS asked, text, k FROM benchmark, range(3) g(k)),
+    ph AS (SELECT query_id, {TOKENS.format("text")} AS p FROM qq WHERE k = 0 AND trim(text) <> '' AND NOT contains(text, '"')), dt AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
+    cand AS (SELECT query_id, doc_id, p, t FROM ph JOIN dt ON len(p) > 0 AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
+    hits AS (SELECT query_id, doc_id, len(list_filter(generate_series(1, len(t) - len(p) + 1), lambda i: t[i:i + len(p) - 1] = p))::DOUBLE AS score, 'phrase' AS mode FROM cand),
+    wq AS (SELECT query_id, replace(asked, '"', ' ') AS query FROM qq WHERE query_id NOT IN (SELECT query_id FROM hits))"""
+
+
+@query(f"""WITH {_QUOTED}, {bm25_sql(name="c", queries="wq")}, {bm25_sql(f"SELECT doc_id, {_SYMBOLS} AS text FROM documents", "s", "wq")},
+    b AS (SELECT query_id, doc_id, sum(score) AS score, 'words' AS mode FROM (SELECT * FROM c UNION ALL SELECT * FROM s) GROUP BY query_id, doc_id UNION ALL SELECT * FROM hits)
+    SELECT query_id, doc_id, round(score, 5) AS score, mode, rank FROM {top_sql("b", 5)}""")
+def q4_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Every question in quotes, in quotes with a word that no text has, and without quotes."""
+    asked = questions(spark, d)
+    text = F.col("query")
+    forms = (F.concat(F.lit('"'), text, F.lit('"')), F.concat(F.lit('"'), text, F.lit(' zzyzx"')), text)
+    every = asked.select(F.posexplode(F.array(*forms)).alias("k", "form"), "query_id").select((F.col("query_id") * 3 + F.col("k")).alias("query_id"), F.col("form").alias("query"))
+    found = positional.quoted_search(block_index(spark, d), (lexical_index(spark, d), lexical_index(spark, d, "symbols")), every, 5)
+    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), "mode", "rank")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents)

@@ -61,11 +61,18 @@ def t3_projection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("props is not null").select("event_id", stores.allowed_attributes(attributes, ["k"])["k"].alias("k"))
 
 
-@query("""WITH s AS (SELECT event_type, ts, sum(user_id % 9 + 1) AS step FROM events GROUP BY ALL), r AS (SELECT *, sum(step) OVER (PARTITION BY event_type ORDER BY ts DESC) AS total FROM s),
-    k AS (SELECT event_type, ts FROM r WHERE total <= 2000) SELECT event_id FROM events JOIN k USING (event_type, ts)""")
+@query("""SELECT event_id FROM (SELECT event_id, sum(user_id % 9 + 1) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS total FROM events) WHERE total <= 2000""")
 def t4_retention(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "events").withColumn("modified", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("size", F.col("user_id") % 9 + 1)
-    return stores.retained(items, F.lit(0), 0, 2000, by=["event_type"]).select("event_id")
+    return stores.retained(items, F.lit(0), 0, 2000, by=["event_type"], id_col="event_id").select("event_id")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, ts, sum(user_id % 9 + 1) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS total FROM events), (SELECT sum(user_id % 9 + 1) // 2 AS half FROM events) WHERE total + 500 <= half""")
+def w9_budget(spark: SparkSession, d: str) -> DataFrame:
+    """One store of all events, within half their size with a new item of 500."""
+    items = table(spark, d, "events").withColumn("modified", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("size", F.col("user_id") % 9 + 1)
+    half = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // 2
+    return stores.retained(items, F.lit(0), 0, half, id_col="event_id", incoming=500).select("event_id")
 
 
 @query("SELECT event_type AS section, count(*) AS requests, count(*) FILTER (value >= 10) AS successes, count(*) FILTER (value < 10) AS failures, round(avg(value), 6) AS latency FROM events GROUP BY event_type")

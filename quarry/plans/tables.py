@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import lexical
+from quarry.operators import lexical, positional, positions
+from quarry.operators.lifecycle import source_stamp, stamp_digest
 from quarry.operators.matches import holding
 from quarry.storage import there
 
@@ -31,18 +32,32 @@ def query_vectors(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFram
     return vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_indexes: dict[tuple[str, str, str], lexical.Index] = {}
+_indexes: dict[tuple[str, str, str], lexical.Index | positional.BlockIndex] = {}
 
 
 def lexical_index(spark: SparkSession, sf_dir: str, field: str = "text") -> lexical.Index:
-    """The stored index of the documents' texts, or of their identifier words (`symbols`); built when a session first asks for it."""
-    key = spark.sparkContext.applicationId, sf_dir, field
+    """The stored index of the documents' texts, or of their identifier words (`symbols`); built when a session first asks for it, and again when the files change."""
+    key = spark.sparkContext.applicationId, _stamp(spark, sf_dir), field
     if key not in _indexes or not there(spark, _indexes[key].path):  # a shared folder may be emptied between queries
         rows = documents(spark, sf_dir).select("doc_id", "text")
         _indexes[key] = lexical.build_index(lexical.with_symbols(rows) if field == "symbols" else rows)
     return _indexes[key]
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> positional.BlockIndex:
+    """The stored index of blocks of the documents' texts, in the same way."""
+    key = spark.sparkContext.applicationId, _stamp(spark, sf_dir), "blocks"
+    if key not in _indexes or not there(spark, _indexes[key].path):
+        _indexes[key] = positional.build(documents(spark, sf_dir).select("doc_id", "text"))
+    return _indexes[key]
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """What the documents' files are: paths, sizes and times of change. No content is read."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
+    return stamp_digest(source_stamp({}, files))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): documents that hold a question's text word for word."""
     return holding(documents(spark, sf_dir), questions(spark, sf_dir))
@@ -50,11 +65,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's lines with their code point offsets: doc_id, n, start_offset, end_offset, content. Empty lines are left out."""
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content"))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
-    lines = lines.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length("content"))
-    return lines.where("content != ''").select("doc_id", "n", "start_offset", "end_offset", "content")
+    return positions.lines(documents(spark, sf_dir))
 
 
 #: The same in SQL.

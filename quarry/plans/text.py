@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunks, facets, fusion, index, lexical, windows
+from quarry.operators import chunks, facets, fusion, index, lexical, positions, windows
 from quarry.plans.evaluation import arms
 from quarry.plans.tables import PASSAGES, QUESTIONS, bm25_sql, documents, lexical_index, passages, questions, table, top_sql
 from quarry.sources import readers
@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _location(path: Column) -> Column:
+    return positions.location(path, *map(F.col, ("first_line", "last_line", "first_page", "last_page")))
+
+
 @query()
 def c1_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 700 characters with 100 in common."""
@@ -56,9 +60,21 @@ def c5_code_symbol(spark: SparkSession, d: str) -> DataFrame:
     l AS (SELECT doc_id, n, length(text[1:start_offset]) - length(replace(text[1:start_offset], chr(10), '')) + 1 AS first, length(text[1:end_offset]) - length(replace(text[1:end_offset], chr(10), '')) + 1 AS last FROM t)
     SELECT doc_id, n, CASE WHEN first = last THEN 'L' || first ELSE 'L' || first || '-L' || last END AS location FROM l""")
 def c8_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = passages(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id")
-    first, last = T.line_of(F.col("text"), F.col("start_offset").cast("int")), T.line_of(F.col("text"), F.col("end_offset").cast("int"))
-    return rows.select("doc_id", "n", T.line_location(first, last).alias("location"))
+    found = positions.placed(passages(spark, d), documents(spark, d))
+    return found.select("doc_id", "n", _location(F.lit("a.txt")).alias("location"))
+
+
+_PAGED = "doc_id, CASE doc_id % 3 WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.IPYNB' ELSE 'c.txt' END AS path, replace(text, ' a ', chr(12) || 'a ') AS text"
+
+
+@query(f"""WITH docs AS (SELECT {_PAGED} FROM documents), {PASSAGES.replace("FROM documents", "FROM docs")}, t AS (SELECT p.*, path, length(text[1:start_offset]) - length(replace(text[1:start_offset], chr(12), '')) + 1 AS first, length(content) - length(replace(content, chr(12), '')) AS more FROM passages p JOIN docs USING (doc_id) WHERE doc_id % 3 <> 2)
+    SELECT doc_id, n, CASE doc_id % 3 WHEN 0 THEN 'p.' ELSE 'cell ' END || first || CASE WHEN more = 0 THEN '' ELSE '-' || (first + more) END AS location FROM t""")
+def c8_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and cells of lines, in texts with form feeds."""
+    n = F.col("doc_id") % 3
+    docs = documents(spark, d).select("doc_id", F.when(n == 0, "a.pdf").when(n == 1, "b.IPYNB").otherwise("c.txt").alias("path"), F.replace("text", F.lit(" a "), F.lit("\fa ")).alias("text")).where("doc_id % 3 <> 2")
+    found = positions.placed(positions.lines(docs), docs).join(docs.select("doc_id", "path"), "doc_id")
+    return found.select("doc_id", "n", _location(F.col("path")).alias("location"))
 
 
 _PATH = "CASE WHEN doc_id % 7 = 0 THEN source || '/' || lpad(doc_id::VARCHAR, 16, 'a') || '.txt' ELSE source || '/' || lang || '_report-' || doc_id || '.v1.txt' END"
@@ -84,23 +100,17 @@ def c10_titled(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).select("doc_id", T.titled(T.source_title(F.col("path")), F.col("text")).alias("content"))
 
 
-@query(f"""WITH {PASSAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i FROM passages)
-    SELECT a.doc_id, a.n, string_agg(b.content, chr(10) || chr(10) ORDER BY b.i) AS context FROM o a JOIN o b ON a.doc_id = b.doc_id AND (b.i < 2 OR (b.i >= a.i - 2 AND b.i < a.i)) GROUP BY a.doc_id, a.n""")
+@query(f"""WITH {PASSAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i FROM passages), long AS (SELECT doc_id, length(text) > 12000 AS long, text FROM documents),
+    c AS (SELECT a.doc_id, a.n, string_agg(b.content, chr(10) || chr(10) ORDER BY b.i) AS context FROM o a JOIN o b ON a.doc_id = b.doc_id AND (b.i < 2 OR (b.i >= a.i - 2 AND b.i < a.i)) WHERE trim(b.content) <> '' GROUP BY a.doc_id, a.n)
+    SELECT o.doc_id, o.n, CASE WHEN long THEN coalesce(context, '') ELSE text END AS context FROM o JOIN long USING (doc_id) LEFT JOIN c USING (doc_id, n)""")
 def c12_context(spark: SparkSession, d: str) -> DataFrame:
-    """A long source's first two passages and the two before each, none twice."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    rows = passages(spark, d).withColumn("i", F.row_number().over(w) - 1)
-    piece = F.struct("i", "content")
-    rows = rows.withColumn("first", F.collect_list(F.when(F.col("i") < 2, piece)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.withColumn("before", F.collect_list(piece).over(w.rowsBetween(-2, -1)))
-    chosen = F.array_sort(F.array_distinct(F.concat("first", "before")))
-    return rows.select("doc_id", "n", F.array_join(F.transform(chosen, lambda x: x["content"]), "\n\n").alias("context"))
+    """A short source whole; a long one's first two passages and the two before each, none twice."""
+    return windows.source_context(passages(spark, d), documents(spark, d))
 
 
 @query(f"""WITH {PASSAGES} SELECT doc_id, n, end_offset + length(regexp_replace(text[1:end_offset], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS end_utf16 FROM passages JOIN documents USING (doc_id)""")
 def c15_utf16(spark: SparkSession, d: str) -> DataFrame:
-    rows = passages(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "n", T.utf16_offset(F.col("text"), F.col("end_offset").cast("int")).alias("end_utf16"))
+    return positions.placed(passages(spark, d), documents(spark, d)).select("doc_id", "n", "end_utf16")
 
 
 @query(f"WITH {PASSAGES} SELECT doc_id, n, length(content) AS characters FROM passages ORDER BY doc_id, n LIMIT 20 OFFSET 40")
@@ -254,8 +264,8 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     SELECT h.query_id, h.doc_id, h.n, h.rank, CASE WHEN t - f <= 16000 THEN f ELSE start_offset END AS start_offset, CASE WHEN t - f <= 16000 THEN t ELSE end_offset END AS end_offset FROM hits h JOIN w USING (doc_id, n)""")
 def q20_window(spark: SparkSession, d: str) -> DataFrame:
     """Every passage of the documents found, with its neighbours."""
-    _, rows = _hits(spark, d)
-    hits = arms(spark, d).where("arm = 'score' and rank <= 5").drop("arm").join(rows.select("doc_id", "n"), "doc_id")
+    found, rows = _hits(spark, d)
+    hits = found.drop("n").join(rows.select("doc_id", "n"), "doc_id")
     return windows.expand(hits, rows, documents(spark, d), radius=1).select("query_id", "doc_id", "n", "rank", "start_offset", "end_offset")
 
 
@@ -269,8 +279,19 @@ def q20_whole_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PASSAGES} SELECT doc_id, n, text[start_offset + 1:end_offset] = content AND end_offset <= length(text) AS ok FROM passages JOIN documents USING (doc_id)")
 def q22_verify(spark: SparkSession, d: str) -> DataFrame:
-    rows = passages(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "n", windows.verified(F.col("text"), F.col("start_offset").cast("int"), F.col("end_offset").cast("int"), F.col("content")).alias("ok"))
+    return positions.placed(passages(spark, d), documents(spark, d)).select("doc_id", "n", "ok")
+
+
+@query(f"""WITH {PASSAGES}, t AS (SELECT passages.*, text FROM passages JOIN documents USING (doc_id)),
+    f AS (SELECT doc_id, n, content, text, CASE WHEN n % 4 = 0 THEN start_offset ELSE 0 END AS lower, n % 4 = 0 AS told FROM t),
+    a AS (SELECT *, instr(text[lower + 1:], content) + lower AS one FROM f), b AS (SELECT *, CASE WHEN one > lower THEN instr(text[one + 1:], content) END AS again FROM a)
+    SELECT doc_id, n, CASE WHEN one > lower AND (again = 0 OR (told AND contains(text[one:one + again - 1], chr(10)))) THEN one - 1 END AS start_offset FROM b""")
+def q22_located(spark: SparkSession, d: str) -> DataFrame:
+    """Every line looked for in its document by its words alone, one in four with its line known. One that stands there twice has no place."""
+    known = F.when(F.col("n") % 4 == 0, F.col("n") + 1)
+    none = F.lit(None).cast("long")
+    rows = passages(spark, d).select("doc_id", "n", "content", none.alias("start_offset"), none.alias("end_offset"), known.alias("start_line"))
+    return positions.relocated(rows, documents(spark, d)).select("doc_id", "n", "start_offset")
 
 
 @query(f"""WITH {QUESTIONS}, {bm25_sql()}, top AS {top_sql("bm25", 3)}

@@ -1,14 +1,18 @@
-"""Storage that outlives an executor, and joins by a checked size."""
+"""Storage that outlives an executor and goes with its session, and joins by a checked size."""
 
 from __future__ import annotations
 
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_SENT = 200_000  # rows of a side up to which it is broadcast
+MOST_SENT_BYTES = 64 << 20  # and their bytes
+
+_made: dict[str, set[str]] = {}  # folders of each application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,27 +26,75 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _owned(spark: SparkSession, folder: str) -> None:
+    """From now on the folder is this application's: it goes when the context stops, or else when the JVM ends."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _made:
+        _made[app] = set()
+        stop = context.stop
+
+        def clean_and_stop() -> None:
+            for made in sorted(_made.pop(app, ())):
+                delete(spark, made)
+            stop()
+
+        context.stop = clean_and_stop
+    _made[app].add(folder)
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+    _made.get(spark.sparkContext.applicationId, set()).discard(folder)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed when the session's JVM ends."""
+    """A new folder in the shared one, removed when the session stops."""
     folder = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, files = _path(spark, folder)
     files.mkdirs(path)
-    files.deleteOnExit(path)
+    _owned(spark, folder)
     return folder
 
 
 def there(spark: SparkSession, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+    found, files = _path(spark, path)
+    return files.exists(found)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared folder and later stages read them from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: rows go to the shared folder and later stages read them from there. They go with the session, or by `forget`."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jsc.sc()
+    if not jvm.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        _owned(spark, jvm.getCheckpointDir().get())
+    kept = df.checkpoint(eager=True)
+    if folder := _checkpoint_of(kept):
+        _owned(spark, folder)
+    return kept
+
+
+def _checkpoint_of(df: DataFrame) -> str | None:
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    found = plan.rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the rows of a settled table that nothing reads any more."""
+    if folder := _checkpoint_of(df):
+        delete(df.sparkSession, folder)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -62,9 +114,25 @@ def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     return df.coalesce(max(1, min(tasks(df.sparkSession), -(-rows // each))))
 
 
-def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows; else it is joined as it comes."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value, about."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.size(value) * 8
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.octet_length(F.array_join(value, "        "))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(value)))
+    return F.lit(8)
+
+
+def sent(df: DataFrame, most: int = MOST_SENT, most_bytes: int = MOST_SENT_BYTES) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows and about `most_bytes` bytes; else it is joined as it comes."""
+    size = sum((F.coalesce(_bytes(f.name, f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(16)).cast("long")
+    rows, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and total <= most_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

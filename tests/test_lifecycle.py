@@ -134,7 +134,7 @@ def test_readers_of_tables_and_fallbacks():
 def test_average_precision(spark):
     rows = spark.createDataFrame([([True, False, True],), ([False],), ([],)], "f array<boolean>")
     got = [r[0] for r in rows.select(reports.average_precision(F.col("f"))).collect()]
-    assert got[0] == pytest.approx((1 + 2 / 3) / 2) and got[1] == 0 and got[2] is None
+    assert got[0] == pytest.approx((1 + 2 / 3) / 2) and got[1] == 0 and got[2] == 0
 
 
 def test_ignore_rules_fail_closed(spark, tmp_path, monkeypatch):
