@@ -124,14 +124,13 @@ class Occurrences:
         if not by_level:
             return
         at = self._codes(text)
-        parts = {p: self._codes(p) for group in by_level.values() for p in group}
+        names = [p for group in by_level.values() for p in group]
+        inside = self._codes("".join(names))  # a pattern's own windows don't reach beyond it
+        starts = dict(zip(names, np.cumsum([0] + [len(p) for p in names]).tolist()))
         for level in range(max(by_level) + 1):
             if level in by_level:
-                self._look(level, at, by_level.pop(level), parts)
-            if not by_level:
-                return
-            at = self._doubled(at, 1 << level)
-            parts = {p: self._doubled(parts[p], 1 << level) for group in by_level.values() for p in group}
+                self._look(level, at, by_level[level], inside, starts)
+            at, inside = self._doubled(at, 1 << level), self._doubled(inside, 1 << level)
 
     @classmethod
     def _codes(cls, text: str) -> np.ndarray:
@@ -149,9 +148,9 @@ class Occurrences:
             return at[:0]
         return cls._mixed(at[:-width] * np.uint64(0xBF58476D1CE4E5B9) + at[width:])
 
-    def _look(self, level: int, at: np.ndarray, patterns: list[str], parts: dict[str, np.ndarray]) -> None:
+    def _look(self, level: int, at: np.ndarray, patterns: list[str], inside: np.ndarray, starts: dict[str, int]) -> None:
         width = 1 << level
-        firsts = np.array([parts[p][0] for p in patterns], np.uint64)
+        firsts = inside[np.array([starts[p] for p in patterns], np.int64)]
         some = np.flatnonzero(np.isin(at, np.unique(firsts)))
         some = some[np.argsort(at[some], kind="stable")]
         keys = at[some]
@@ -161,7 +160,7 @@ class Occurrences:
             where = some[a:b]
             where = where[where + n <= len(self.text)]
             for shift in {*range(width, n - width, width), n - width}:  # patterns beyond the last level are told by all their windows
-                where = where[at[where + shift] == parts[p][shift]]
+                where = where[at[where + shift] == inside[starts[p] + shift]]
             if len(where) and self.text[where[0] : where[0] + n] == p:
                 self.places[p] = where
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,9 +58,11 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str,
             found = within.withColumn("k", F.row_number().over(order)).where("k = rank").select(*names, "name", "v")
             done = state.where("low = high").select(*names, "name", F.col("low").alias("v")).unionByName(found)
             return _wide(done, by, names, shares)
-        # a share of the range first, as a range of doubles may be greater than a double
-        share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
-        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        most = F.lit(sys.float_info.max)
+        low, high = F.greatest("low", -most) / 2, F.least("high", most) / 2  # halves, as a range of doubles may be greater than a double
+        share = F.least(F.floor((F.col("v") / 2 - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        ends = F.when(F.col("v") < -most, F.lit(-1)).when(F.col("v") > most, F.lit(BUCKETS))
+        bucket = ends.when(high > low, share).otherwise((F.col("v") > F.col("low")).cast("long"))
         counts = within.groupBy(*names, "name", "rank", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         up_to = Window.partitionBy(*names, "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         chosen = counts.withColumn("before", F.sum("n").over(up_to) - F.col("n")).where("rank > before and rank <= before + n")
