@@ -55,9 +55,9 @@ def test_layout(spark):
     rows.append((1, 1, -1, 0, "Chapter One", 0.2, 0.24, 16.0, True))
     rows += [(2, 1, 0, 0, "BOLD CAPITALS", 0.2, 0.24, 10.0, True), (2, 1, 1, 0, "ALL OF IT.", 0.3, 0.34, 10.0, True), (2, 1, 2, 0, "Bold Words", 0.4, 0.44, 10.0, True), (2, 1, 3, 0, "PLAIN", 0.5, 0.54, 10.0, False)]
     both = {r["doc_id"]: r["text"] for r in page_text(spark.createDataFrame(rows, "doc_id long, page int, block int, line int, text string, top double, bottom double, size double, bold boolean")).collect()}
-    assert both[2] == "# BOLD CAPITALS\n\nALL OF IT.\n\nBold Words\n\nPLAIN"
+    assert both[2] == "\n# BOLD CAPITALS\n\nALL OF IT.\n\nBold Words\n\nPLAIN"
     text = both[1]
-    assert text == "# Chapter One\n\nBody of the first example text." + "\fBody of the first example text." * 3
+    assert text == "\n# Chapter One\n\nBody of the first example text." + "\fBody of the first example text." * 3
 
 
 def test_retriever(spark):
@@ -83,3 +83,26 @@ def test_context_hook(spark):
         return context.upper()
 
     assert [r[0] for r in rows.select(answers.contextualised(F.col("c"), F.col("x"), hook)).collect()] == ["X\n\na", "b"]
+
+
+def test_layout_carries_initials_and_cuts_at_captions(spark):
+    made = []
+    add = lambda doc, page, block, *lines, size=10.0: made.extend((doc, page, block, i, t, 0.3, 0.35, size, False) for i, t in enumerate(lines))
+    body = "plain words that stand here to be the body of the text"
+    add(1, 1, 0, body)
+    add(1, 1, 1, "O", size=30.0)
+    add(1, 1, 2, "nce upon a time", "Figure 1: A wood", "in spring.", "It was SelecƟon-", "Based and well-", "known.")
+    add(1, 1, 3, "The Second Part", size=16.0)
+    add(1, 1, 4, "A", size=30.0)
+    add(1, 2, 0, "The Third Part", size=16.0)  # a heading doesn't take the initial, and opens the page that its paragraph stands on
+    add(1, 2, 1, "nother day. Table 2. stays here")
+    add(1, 3, 0, "X", size=30.0)
+    add(1, 3, 1, "Th", size=30.0)  # replaces the one before
+    add(1, 4, 0, "ey went on. " + body)
+    add(1, 4, 1, "Z", size=30.0)  # nothing follows
+    add(2, 1, 0, "Table 1. First line", body, "Table 2: Last")
+    add(2, 1, 1, "12", size=30.0)
+    got = {r["doc_id"]: r["text"] for r in page_text(spark.createDataFrame(made, "doc_id long, page int, block int, line int, text string, top double, bottom double, size double, bold boolean")).collect()}
+    first = f"{body}\n\n# Chapter 1\n\nOnce upon a time\n\nFigure 1: A wood in spring. It was Selection- Based and wellknown.\n\n# The Second Part\n"
+    assert got[1] == "\f".join([first, "\n# The Third Part\n\nAnother day. Table 2. stays here", "", f"\n# Chapter 2\n\nThey went on. {body}"])
+    assert got[2] == f"Table 1. First line {body}\n\nTable 2: Last\n\n12"
