@@ -193,6 +193,35 @@ def s17_qualify(spark: SparkSession, d: str) -> DataFrame:
     return wanted.withColumn("is_gold", F.lit(1)).unionByName(others.withColumn("is_gold", F.lit(0)))
 
 
+_NORMALISED = f"""{QUESTIONS}, d AS (SELECT doc_id, text FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AND doc_id % 9 <> 4),
+    g AS (SELECT query_id, documents.doc_id FROM q JOIN documents ON contains(text, query) AND query <> ''),
+    a AS (SELECT * FROM g UNION ALL SELECT query_id, -1 FROM q WHERE query_id % 7 = 3),
+    ok AS (SELECT query_id, count(DISTINCT doc_id) AS n_gold FROM a WHERE query_id IN (SELECT query_id FROM q WHERE query <> '') GROUP BY query_id HAVING bool_and(doc_id IN (SELECT doc_id FROM d)))"""
+
+
+def _normalised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as questions, with every document that holds them as gold; a ninth of the documents stands twice, a seventh of the items has gold that isn't there."""
+    from quarry.operators.qualify import normalised
+    from quarry.plans.tables import gold
+
+    asked = questions(spark, d).where("query != ''")
+    stray = asked.where("query_id % 7 = 3").select("query_id", F.lit(-1).cast("long").alias("doc_id"))
+    wanted = gold(spark, d).select("query_id", F.col("doc_id").cast("long").alias("doc_id")).unionByName(stray).groupBy("query_id").agg(F.collect_list("doc_id").alias("gold"))
+    asked = asked.join(wanted, "query_id", "left").select(F.col("query_id").alias("question_id"), F.col("query").alias("question"), F.lit("-").alias("answer"), "gold")
+    rows = documents(spark, d).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~F.coalesce("text", F.lit("")).rlike(r"^\s*$"))
+    return normalised(asked, rows.unionByName(rows.where("doc_id % 9 = 4")))
+
+
+@query(f"WITH {_NORMALISED} SELECT query_id AS question_id, n_gold FROM ok")
+def s17_questions(spark: SparkSession, d: str) -> DataFrame:
+    return _normalised(spark, d)[0].select("question_id", F.size("gold").cast("long").alias("n_gold"))
+
+
+@query(f"WITH {_NORMALISED} SELECT doc_id, doc_id IN (SELECT doc_id FROM a JOIN ok USING (query_id)) AS is_gold FROM d")
+def s17_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _normalised(spark, d)[1].select("doc_id", "is_gold")
+
+
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 25 OFFSET 50")
 def s18_page(spark: SparkSession, d: str) -> DataFrame:
     from quarry.operators.stores import page
