@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import lifecycle
@@ -149,6 +149,34 @@ def a3_evidence(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("text is not null").select("doc_id", lifecycle.evidence(name, place, F.col("text")).alias("evidence"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, doc_id // 3 AS q, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY doc_id // 3) AS n, source, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents),
+    i AS (SELECT q, r AS no, n, CASE WHEN doc_id % 5 = 0 THEN r % 3 + 1 ELSE r END AS named, trim(flat[6:35]) AS anchor FROM p WHERE doc_id % 11 <> 1),
+    h AS (SELECT i.q, no, named, list(r) FILTER (contains(lower(flat), lower(anchor))) AS found FROM i JOIN p USING (q) GROUP BY ALL),
+    w AS (SELECT q, no, anchor, CASE WHEN list_contains(found, named) THEN named WHEN len(found) = 1 THEN found[1] END AS r FROM h JOIN i USING (q, no, named)),
+    t AS (SELECT w.q, no, w.r, source, array_to_string(string_split(trim(flat[strpos(lower(flat), lower(anchor)):strpos(lower(flat), lower(anchor)) + length(anchor) - 1]), ' ')[1:4], ' ') AS quote FROM w JOIN p USING (q, r)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY no) AS k FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY q, quote ORDER BY no) = 1)),
+    s AS (SELECT q, count(*) AS shown, string_agg(k || '. ' || source || '.txt. Source lines: L' || r || '.' || chr(10) || 'Anchor: “' || quote || '”' || chr(10) || 'Paraphrase: so [' || r || ']' || chr(10) || 'Context: there', chr(10) || chr(10) ORDER BY no) AS body FROM u GROUP BY q),
+    b AS (SELECT q, count(no) AS wanted, coalesce(bool_or(anchor = '' OR named > n), false) AS bad FROM (SELECT DISTINCT q FROM p) LEFT JOIN i USING (q) GROUP BY q),
+    f AS (SELECT q, bad OR (shown IS NULL AND wanted > 0) AS failed, shown, body FROM b LEFT JOIN s USING (q))
+    SELECT q AS query_id, failed, CASE WHEN failed THEN 'The answer could not be read.' WHEN shown IS NULL THEN 'I don''t have enough information to answer that question.'
+        WHEN shown < 3 THEN body || chr(10) || chr(10) || 'The supplied evidence supports only ' || shown || ' selection(s).' ELSE body END AS answer FROM f""")
+def a5_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Three documents at a time as a question's passages, with an envelope of quotes from them, some of which name another passage."""
+    from quarry.functions.text import collapsed
+    from quarry.operators.selections import selections
+
+    asked = F.floor(F.col("doc_id") / 3).alias("query_id")
+    order = Window.partitionBy("query_id").orderBy("doc_id")
+    rows = documents(spark, d).select(asked, "doc_id", F.concat("source", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("content")).withColumn("rank", F.row_number().over(order))
+    rows = rows.withColumn("location", F.concat(F.lit("L"), F.col("rank").cast("string"))).withColumn("evidence", F.lit(""))
+    named = F.when(F.col("doc_id") % 5 == 0, F.col("rank") % 3 + 1).otherwise(F.col("rank"))
+    anchor = F.substring(collapsed(F.col("content")), 6, 30)
+    item = F.struct(F.col("rank").alias("no"), named.alias("passage"), anchor.alias("anchor"), F.lit("so").alias("paraphrase"), F.lit("there").alias("caveat"), (F.col("doc_id") % 11 != 1).alias("addresses_request"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("no"))
+    made = rows.groupBy("query_id").agg(F.to_json(F.struct(items.alias("selections"))).alias("answer"))
+    return selections(made, rows, 3, 4, cite=True).select("query_id", "failed", "answer")
+
+
 @query(f"WITH {PASSAGES}, p AS (SELECT n AS ordinal, 'L' || (n + 1) AS location, start_offset, end_offset, content FROM passages WHERE doc_id = (SELECT max(doc_id) FROM documents)) SELECT * FROM p ORDER BY ordinal LIMIT 5 OFFSET 1")
 def c17_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of one source's passages."""
