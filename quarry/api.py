@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import copy
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.stem import stemmed_tokens
 from quarry.functions.text import source_title, titled, tokens
 from quarry.operators import chunks, dense, facets, fusion, lexical, positional, windows
-from quarry.operators.index import embed_once
+from quarry.operators.index import RebuildRequired, embed_once, refresh, source_delta
 from quarry.operators.lifecycle import cleaned, rerank_or_keep
 from quarry.storage import sent, settle
 
@@ -60,16 +63,67 @@ class Retriever:
 
     def __init__(self, documents: DataFrame, settings: Settings | None = None, embed=None):
         """embed: Column -> Column of vectors, or None for lexical search alone."""
-        self.settings = s = settings or Settings()
+        self.settings = settings or Settings()
         self.embed = embed
         self.documents = documents if "path" in documents.columns else documents.withColumn("path", F.lit(""))
-        made = chunks.chunk_documents(self.documents, path_col="path", size=s.chunk_size, overlap=s.chunk_overlap)
-        made = made.join(self.documents.select("doc_id", "path"), "doc_id")
+        self.passages = settle(self._cut(self.documents))
+        self._index = self._symbols = self._blocks = self._vectors = None
+
+    def _cut(self, documents: DataFrame) -> DataFrame:
+        s = self.settings
+        made = chunks.chunk_documents(documents, path_col="path", size=s.chunk_size, overlap=s.chunk_overlap)
+        made = made.join(documents.select("doc_id", "path"), "doc_id")
         made = cleaned(made, "path", "content", "clean") if s.clean else made.withColumn("clean", F.col("content"))
         searchable = titled(source_title(F.col("path")), F.col("clean")) if s.titles else F.col("clean")
         made = made.withColumn("n", F.col("chunk_id")).withColumn("id", F.concat_ws("::chunk:", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
-        self.passages = settle(made.withColumn("searchable", searchable).drop("clean"))
-        self._index = self._symbols = self._blocks = self._vectors = None
+        return made.withColumn("searchable", searchable).drop("clean")
+
+    def _embedded(self, passages: DataFrame) -> DataFrame:
+        rows = passages.select("id", F.col("searchable").alias("content"))
+        return embed_once(rows, lambda t: t.withColumn("vector", self.embed(F.col("text")))).select("id", F.col("vector").alias("embedding"))
+
+    def refreshed(self, documents: DataFrame) -> Retriever:
+        """A retriever of the documents as they are now: only those added, or with another path or text, are cut and embedded again, and those gone are left out.
+
+        This one goes on with its own tables. Postings are built anew when a search asks for them, as their totals change with any passage.
+        """
+        other = copy.copy(self)
+        other.documents = documents if "path" in documents.columns else documents.withColumn("path", F.lit(""))
+        was, now = (t.select("doc_id", "path", F.sha2(F.col("text").cast("binary"), 256).alias("digest")) for t in (self.documents, other.documents))
+        delta = settle(source_delta(was, now, "doc_id", ["path", "digest"]))
+        made = settle(self._cut(other.documents.join(delta, "doc_id", "left_semi")))
+        other.passages = settle(refresh(self.passages, delta, made, "doc_id"))
+        other._index = other._symbols = other._blocks = other._vectors = None
+        if self._vectors is not None:
+            kept = self._vectors.join(self.passages.join(delta, "doc_id", "left_semi").select("id"), "id", "left_anti")
+            other._vectors = settle(kept.unionByName(self._embedded(made)))
+        return other
+
+    def _stamp(self) -> str:
+        return json.dumps({"settings": asdict(self.settings), "embedded": self.embed is not None})
+
+    def save(self, folder: str) -> None:
+        """Write documents, passages and vectors below a new folder; its settings come last, so a folder that isn't whole doesn't open."""
+        parts = {"documents": self.documents, "passages": self.passages} | ({"vectors": self.vectors} if self.embed else {})
+        for name, rows in parts.items():
+            rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        self.passages.sparkSession.createDataFrame([(self._stamp(),)], "stamp string").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/stamp")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, settings: Settings | None = None, embed=None) -> Retriever:
+        """A saved retriever, without cutting or embedding; RebuildRequired if there is none that is whole or it was made with other settings."""
+        made = cls.__new__(cls)
+        made.settings, made.embed = settings or Settings(), embed
+        try:
+            stamp = spark.read.schema("stamp string").parquet(f"{folder}/stamp").first()
+        except AnalysisException as missing:
+            raise RebuildRequired("nothing is saved here") from missing
+        if stamp is None or stamp[0] != made._stamp():
+            raise RebuildRequired("saved with other settings")
+        made.documents, made.passages = (spark.read.parquet(f"{folder}/{name}") for name in ("documents", "passages"))
+        made._index = made._symbols = made._blocks = None
+        made._vectors = spark.read.parquet(f"{folder}/vectors") if embed else None
+        return made
 
     @property
     def index(self) -> lexical.Index:
@@ -96,8 +150,7 @@ class Retriever:
     def vectors(self) -> DataFrame:
         """The passages' vectors; each distinct text is embedded once, when a search first asks for them."""
         if self._vectors is None:
-            rows = self.passages.select("id", F.col("searchable").alias("content"))
-            self._vectors = settle(embed_once(rows, lambda t: t.withColumn("vector", self.embed(F.col("text")))).select("id", F.col("vector").alias("embedding")))
+            self._vectors = settle(self._embedded(self.passages))
         return self._vectors
 
     def _channels(self, asked: DataFrame, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:

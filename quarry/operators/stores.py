@@ -68,6 +68,31 @@ def compare_and_set(current: str | None, expected: str | None) -> None:
         raise Conflict("changed meanwhile; reload")
 
 
+def workspace_changes(stored: DataFrame, incoming: DataFrame, claims: DataFrame) -> DataFrame:
+    """(workspace_id, documents, bytes, state) of each claim to replace a workspace's documents.
+
+    stored, incoming: workspace_id, place (from 0), id, name, content; stored also has a revision, one a workspace. claims: workspace_id, expected (null: a new workspace).
+    state: `invalid` (over the limits, a repeated or empty id), `conflict` (the revision isn't the expected one), `unchanged` (every place holds the same document) or
+    `replaced`. Places meet places, so a workspace of any size is compared by many tasks. Claims of one workspace count once; one without incoming rows empties it.
+    """
+    at = ["workspace_id", "place"]
+
+    def placed(t: DataFrame, column: str) -> DataFrame:
+        return t.select(*at, F.struct(F.col("id"), F.trim("name").alias("name"), F.sha2(F.col("content").cast("binary"), 256).alias("digest")).alias(column))
+
+    moved = placed(stored, "was").join(placed(incoming, "is"), at, "full_outer")
+    moved = moved.groupBy("workspace_id").agg(F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("moved"))
+    size = F.octet_length("content")
+    ids = incoming.groupBy("workspace_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.count_if(F.col("content").isNull()).alias("absent"))
+    bad = (F.max("n") > 1) | (F.sum("n") > MOST_DOCUMENTS) | (F.max("largest") > MOST_BYTES) | (F.sum("bytes") > MOST_TOTAL) | (F.sum("absent") > 0) | (F.count_if(F.coalesce("id", F.lit("")) == "") > 0)
+    sizes = ids.groupBy("workspace_id").agg(F.sum("n").alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), bad.alias("bad"))
+    now = stored.groupBy("workspace_id").agg(F.max("revision").alias("revision"))
+    rows = claims.dropDuplicates(["workspace_id"]).join(now, "workspace_id", "left").join(sizes, "workspace_id", "left").join(moved, "workspace_id", "left")
+    state = F.when(F.coalesce("bad", F.lit(False)), "invalid").when(~F.col("revision").eqNullSafe(F.col("expected")), "conflict")
+    state = state.when(F.col("revision").isNotNull() & (F.coalesce("moved", F.lit(0)) == 0), "unchanged").otherwise("replaced")
+    return rows.select("workspace_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("bytes", F.lit(0)).alias("bytes"), state.alias("state"))
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
@@ -91,14 +116,19 @@ def allowed_attributes(attributes: Column, names: list[str]) -> Column:
     return F.map_filter(attributes, lambda k, _: k.isin(*names))
 
 
-MOST_TURNS, MOST_QUESTIONS = 100, 200
+MOST_TURNS, MOST_QUESTIONS, MOST_CONVERSATIONS = 100, 200, 1000
 
 
-def append_turns(stored: DataFrame, new: DataFrame) -> DataFrame:
+def append_turns(stored: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
     """Conversations (conversation_id, turn_no, run_id, ...) with new rows, which have no turn_no, after the last of each.
 
-    A run that is there already changes nothing. Raises where a conversation would have over MOST_TURNS turns.
+    A run that is there already changes nothing. Raises where a conversation would have over MOST_TURNS turns, if strict where a run comes with another question
+    than its own and, if rows have a workspace_id, where a workspace would have over MOST_CONVERSATIONS conversations.
     """
+    if strict:
+        seen = stored.select("conversation_id", "run_id", F.trim("question").alias("__q")).unionByName(new.select("conversation_id", "run_id", F.trim("question").alias("__q")))
+        if seen.groupBy("conversation_id", "run_id").agg((F.min("__q") != F.max("__q")).alias("differ")).where("differ").limit(1).count():
+            raise ValueError("a run belongs to another question")
     fresh = new.join(stored.select("conversation_id", "run_id"), ["conversation_id", "run_id"], "left_anti").dropDuplicates(["conversation_id", "run_id"])
     last = stored.groupBy("conversation_id").agg(F.max("turn_no").alias("__last"))
     order = Window.partitionBy("conversation_id").orderBy("run_id")
@@ -106,6 +136,10 @@ def append_turns(stored: DataFrame, new: DataFrame) -> DataFrame:
     both = stored.unionByName(fresh.select(*stored.columns))
     if both.groupBy("conversation_id").count().where(F.col("count") > MOST_TURNS).limit(1).count():
         raise ValueError(f"a conversation has {MOST_TURNS} turns at most")
+    if "workspace_id" in both.columns:
+        held = both.select("workspace_id", "conversation_id").distinct().groupBy("workspace_id").count()
+        if held.where(F.col("count") > MOST_CONVERSATIONS).limit(1).count():
+            raise ValueError(f"a workspace has {MOST_CONVERSATIONS} conversations at most")
     return both
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import stores
+from quarry.operators import answers, stores
 from quarry.plans.tables import documents, table
 
 QUERIES, ORACLES = {}, {}
@@ -30,6 +31,33 @@ def w2_upsert(spark: SparkSession, d: str) -> DataFrame:
     return stores.upsert(stored, rows.withColumn("n_chars", F.col("n_chars") + 1), "doc_id")
 
 
+@query("""WITH d AS (SELECT source || '-' || (doc_id // 250) AS w, doc_id, text, doc_id % 7 = 0 AND (doc_id // 250) % 2 = 0 AS touched FROM documents)
+    SELECT w AS workspace_id, count(*) AS documents, sum(octet_length(encode(text)) + CASE WHEN touched THEN 1 ELSE 0 END)::BIGINT AS bytes,
+    CASE WHEN count(*) > 500 OR max(octet_length(encode(text)) + CASE WHEN touched THEN 1 ELSE 0 END) > 16777216 OR sum(octet_length(encode(text)) + CASE WHEN touched THEN 1 ELSE 0 END) > 67108864 OR count(*) <> count(text) THEN 'invalid'
+    WHEN length(w) % 3 = 0 THEN 'conflict' WHEN NOT bool_or(touched) THEN 'unchanged' ELSE 'replaced' END AS state FROM d WHERE w IS NOT NULL GROUP BY w""")
+def w1_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Every document again, in workspaces by source and 250 ids: some texts with a full stop more, some workspaces claimed by an old revision."""
+    rows = documents(spark, d).where("source is not null").selectExpr("concat(source, '-', doc_id div 250) AS workspace_id", "doc_id AS place", "cast(doc_id AS string) AS id", "'' AS name", "text AS content")
+    touched = (F.col("place") % 7 == 0) & F.expr("(place div 250) % 2 = 0")
+    new = rows.withColumn("content", F.when(touched, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    claims = rows.select("workspace_id", F.when(F.length("workspace_id") % 3 == 0, "r0").otherwise("r1").alias("expected")).distinct()
+    return stores.workspace_changes(rows.withColumn("revision", F.lit("r1")), new, claims)
+
+
+@query(r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)
+    SELECT doc_id AS query_id, CASE WHEN n = 0 THEN 'I don''t have enough information to answer that question.' WHEN n <= 2800 THEN n::VARCHAR END AS answer,
+    CASE WHEN n = 0 THEN 0 WHEN n <= 700 THEN 1 ELSE 2 END AS attempts, CASE WHEN n > 2800 THEN 'incomplete' END AS error FROM n""")
+def a2_retry(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in model that counts words, and is cut off where a text has more words than it is given tokens."""
+
+    def count(queries: pd.Series, passages: pd.Series, room: int) -> pd.DataFrame:
+        n = passages.str.count(r"[^\x20\x09-\x0D]+")
+        return pd.DataFrame({"text": n.astype(str), "finish": (n > room).map({True: "length", False: "stop"})})
+
+    evidence = documents(spark, d).select(F.col("doc_id").alias("query_id"), F.lit("how many words").alias("query"), F.col("text").alias("answer"))
+    return answers.answered_whole(evidence, count)
+
+
 @query("SELECT source, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS size_bytes FROM documents GROUP BY source ORDER BY lower(source), source LIMIT 10 OFFSET 2")
 def w3_list(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("size_bytes"))

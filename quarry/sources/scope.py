@@ -40,6 +40,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def snapshot(files: DataFrame) -> DataFrame:
+    """(path, size, modified, revision) of a listing, one row a path: what `index.source_delta` compares. A file whose size or time of change differs has another revision."""
+    once = files.groupBy("path").agg(F.max(F.struct("modified", "size")).alias("of")).select("path", "of.size", "of.modified")
+    stamp = F.concat_ws("\n", "path", F.col("size").cast("string"), F.unix_micros("modified").cast("string"))
+    return once.withColumn("revision", F.sha2(stamp, 256))
+
+
 def matches(path: Column, patterns: Iterable[str]) -> Column:
     """Whether the whole path or the base name fits a shell pattern."""
     found = F.lit(False)

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,15 @@ def test_layout_carries_initials_and_cuts_at_captions(spark):
     first = f"{body}\n\n# Chapter 1\n\nOnce upon a time\n\nFigure 1: A wood in spring. It was Selection- Based and wellknown.\n\n# The Second Part\n"
     assert got[1] == "\f".join([first, "\n# The Third Part\n\nAnother day. Table 2. stays here", "", f"\n# Chapter 2\n\nThey went on. {body}"])
     assert got[2] == f"Table 1. First line {body}\n\nTable 2: Last\n\n12"
+
+
+def test_cut_off_answers_are_asked_for_once_more(spark):
+    from quarry.operators.answers import ABSTENTION, answered_whole
+
+    def generator(queries, passages, room):
+        cut = passages.str.len() > room
+        return pd.DataFrame({"text": passages.where(~cut, "cut").replace("blank", " ").to_numpy(), "finish": cut.map({True: "length", False: "stop"}).where(passages != "odd", "filter").to_numpy()})
+
+    rows = [(1, "q", "x" * 5), (2, "q", "x" * 30), (3, "q", "x" * 50), (4, "q", " "), (5, "q", None), (6, "q", "blank"), (7, "q", "odd")]
+    got = {r["query_id"]: (r["answer"], r["attempts"], r["error"]) for r in answered_whole(spark.createDataFrame(rows, "query_id long, query string, answer string"), generator, 10).collect()}
+    assert got == {1: ("x" * 5, 1, None), 2: ("x" * 30, 2, None), 3: (None, 2, "incomplete"), 4: (ABSTENTION, 0, None), 5: (ABSTENTION, 0, None), 6: (None, 1, "empty"), 7: (None, 1, "incomplete")}

@@ -176,3 +176,30 @@ def test_vectors_and_stores(spark):
     stores.check_workspace(spark.createDataFrame([("a", "x")], "name string, content string"))
     with pytest.raises(ValueError):
         stores.check_workspace(spark.createDataFrame([("a", "x"), ("a", "y")], "name string, content string"))
+
+
+def test_a_refreshed_retriever_equals_a_new_one(spark, tmp_path):
+    from quarry.api import Retriever, Settings
+    from quarry.operators.answers import hashed_embedding
+    from quarry.operators.index import RebuildRequired
+
+    rows = [(i, f"Paper {i} is about topic{i}. " * 60, f"/p/{i}.txt") for i in range(5)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, path string")
+    first = Retriever(make(rows), embed=hashed_embedding)
+    questions = spark.createDataFrame([(1, "what is topic3"), (2, "what is topic9")], "query_id long, query string")
+    first.search(questions).count()  # vectors are made
+    changed = [*rows[:2], (3, "Paper 3 is about topic9 now. " * 50, "/p/3.txt"), (4, rows[4][1], "/p/other.txt"), (7, "topic9 again. " * 70, "/p/7.txt"), (8, None, "/p/8.txt")]
+    second, fresh = first.refreshed(make(changed)), Retriever(make(changed), embed=hashed_embedding)
+    columns = ["doc_id", "id", "searchable", "start_offset", "end_offset"]
+    flat = lambda t, cols: sorted(map(str, t.select(*cols).collect()))
+    assert flat(second.passages, columns) == flat(fresh.passages, columns)
+    assert flat(second._vectors, ["id", "embedding"]) == flat(fresh.vectors, ["id", "embedding"])
+    assert flat(second.search(questions), ["query_id", "doc_id", "n", "rank"]) == flat(fresh.search(questions), ["query_id", "doc_id", "n", "rank"])
+    assert first.passages.where("doc_id = 2").count()  # the one before keeps its tables
+    second.save(str(tmp_path / "saved"))
+    opened = Retriever.open(spark, str(tmp_path / "saved"), embed=hashed_embedding)
+    assert flat(opened.search(questions), ["query_id", "doc_id", "n", "rank"]) == flat(fresh.search(questions), ["query_id", "doc_id", "n", "rank"])
+    assert flat(opened.refreshed(make(rows)).passages, columns) == flat(first.passages, columns)
+    for folder, settings in (("saved", Settings(chunk_size=300)), ("none", None)):
+        with pytest.raises(RebuildRequired):
+            Retriever.open(spark, str(tmp_path / folder), settings, hashed_embedding)

@@ -23,6 +23,39 @@ def test_turns_and_limits(spark):
     assert [r["status"] for r in states.orderBy("batch_id").collect()] == ["interrupted", "running", "done"]
 
 
+def test_runs_and_conversations_have_limits(spark):
+    schema = "workspace_id string, conversation_id string, run_id string, question string"
+    stored = spark.createDataFrame([("w", "c", "r1", "q", 1)], schema + ", turn_no int").select("workspace_id", "conversation_id", "turn_no", "run_id", "question")
+    assert stores.append_turns(stored, spark.createDataFrame([("w", "c", "r1", " q ")], schema), strict=True).count() == 1
+    with pytest.raises(ValueError, match="another question"):
+        stores.append_turns(stored, spark.createDataFrame([("w", "c", "r1", "other")], schema), strict=True)
+    many = spark.range(1000).selectExpr("'w' AS workspace_id", "concat('c', id) AS conversation_id", "'r' AS run_id", "'q' AS question")
+    assert stores.append_turns(stored.limit(0), many).count() == 1000
+    with pytest.raises(ValueError, match="conversations"):
+        stores.append_turns(stored, many)
+
+
+def test_a_workspace_is_replaced_only_where_it_changes(spark):
+    schema = "workspace_id string, place long, id string, name string, content string"
+    held = [("same", 0, "a", "A", "x"), ("same", 1, "b", "B", "y"), ("order", 0, "a", "A", "x"), ("order", 1, "b", "B", "y"), ("gone", 0, "a", "A", "x"), ("old", 0, "a", "A", "x"), ("twice", 0, "a", "A", "x"), ("null", 0, "a", "A", "x"), ("fewer", 0, "a", "A", "x"), ("fewer", 1, "b", "B", "y")]
+    new = [("same", 0, "a", " A ", "x"), ("same", 1, "b", "B", "y"), ("order", 0, "b", "B", "y"), ("order", 1, "a", "A", "x"), ("old", 0, "a", "A", "x"), ("twice", 0, "a", "A", "x"), ("twice", 1, "a", "A", "z"), ("null", 0, "a", "A", None), ("new", 0, "a", "A", "é"), ("fewer", 0, "a", "A", "x")]
+    stored = spark.createDataFrame(held, schema).withColumn("revision", F.lit("r1"))
+    claims = [(w, "r0" if w == "old" else None if w == "new" else "r1") for w in ("same", "order", "gone", "old", "twice", "null", "new", "fewer")] + [("same", "r1")]
+    got = {r["workspace_id"]: (r["documents"], r["bytes"], r["state"]) for r in stores.workspace_changes(stored, spark.createDataFrame(new, schema), spark.createDataFrame(claims, "workspace_id string, expected string")).collect()}
+    assert got == {"same": (2, 2, "unchanged"), "order": (2, 2, "replaced"), "gone": (0, 0, "replaced"), "old": (1, 1, "conflict"), "twice": (2, 2, "invalid"), "null": (1, 0, "invalid"), "new": (1, 2, "replaced"), "fewer": (1, 1, "replaced")}
+    empty = spark.createDataFrame([], schema)
+    assert stores.workspace_changes(empty.withColumn("revision", F.lit("r1")), empty, spark.createDataFrame([("w", None)], "workspace_id string, expected string")).collect()[0]["state"] == "replaced"
+
+
+def test_snapshots_feed_the_delta(spark):
+    from quarry.sources.scope import snapshot
+
+    files = spark.createDataFrame([("a", 1, "2024-01-01"), ("b", 2, "2024-01-01"), ("a", 1, "2024-01-01")], "path string, size long, modified string").withColumn("modified", F.to_timestamp("modified"))
+    later = files.where("path = 'a'").unionByName(files.where("path = 'b'").withColumn("modified", F.to_timestamp(F.lit("2024-01-02"))))
+    assert snapshot(files).count() == 2
+    assert [tuple(r) for r in index.source_delta(snapshot(files), snapshot(later)).collect()] == [("b", "changed")]
+
+
 def test_identity_and_spans(spark):
     rows = spark.createDataFrame([("value",), ("é",)], "v string")
     for key in (b"k", b"x" * 80):
