@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,27 @@ def test_sentencepiece_on_random_text():
     for _ in range(2000):
         text = "".join(r.choice(" \n\t\r▁ae.éﬁ①<s>/;{})0　​\0Ω😀,") for _ in range(r.randint(0, 30)))
         assert used.encode([text])[0][0].tolist() == used.model.encode(text)
+        assert used.both_ways([text])[0][2] == used.model.decode(used.model.encode(text))
+
+
+def test_sentencepiece_segments_frequent_chunks_once(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["the", "a", "deep", "été", "😀", "x" * 40]) + r.choice(["", "", ".", "\n"]) for _ in range(200)) + f" only{i}" for i in range(50)] + [None, "", " ", "the"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string").repartition(3)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    feed = model.encode("\n")
+    counts = Counter(c for t in texts for c in sentencepiece_codec._chunks(t or ""))
+    got = {x["chunk"]: (x["n"], list(x["ids"])) for x in sentencepiece_codec.chunk_table(rows, PIECES).collect()}
+    assert {c for c, n in counts.items() if n > 100} <= set(got) and not any(c.startswith("▁only") for c in got)
+    assert all(n <= counts[c] and feed + ids == model.encode("\n" + c) for c, (n, ids) in got.items())
+    few = sentencepiece_codec.chunk_table(rows, PIECES, most=5).collect()
+    assert 0 < len(few) <= 5 and min(x["n"] for x in few) > max((n for c, (n, _) in got.items() if c not in {x["chunk"] for x in few}))
+    assert sentencepiece_codec.chunk_table(rows, PIECES, most_bytes=0).count() == 0
+    made = [{x["doc_id"]: tuple(x) for x in sentencepiece_codec.encode_documents(rows, PIECES, text_col="t", keep_ids=False, corpus_table=on).collect()} for on in (True, False)]
+    assert made[0] == made[1] and len(made[0]) == len(texts)
+    for i, text in enumerate(texts):
+        ids = model.encode(text or "")
+        assert made[0][i][1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())
 
 
 def brute_components(prints, linked):
