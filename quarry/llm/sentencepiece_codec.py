@@ -53,7 +53,7 @@ class ChunkCodec:
         lead = self.model.encode("\n")  # a line feed parts what follows from the marker put before a text
         self.lead, self._feed = len(lead), lead
         self.chunked = self.chunked and len(lead) >= 2 and self.model.encode("\na")[: len(lead)] == lead
-        self.key, self.base = None, ([], [])
+        self.key, self.base, self.first = None, ([], []), None
         self.clear()
 
     def _plain(self) -> bool:
@@ -65,20 +65,28 @@ class ChunkCodec:
         """Begin with a corpus's table: its chunks and their ids. key tells tables apart."""
         if key != self.key:
             self.key, self.base = key, base
+            self.first = None
             self.clear()
 
     def clear(self) -> None:
-        """Forget all chunks but those of the corpus's table."""
-        self.table = _Numbers()
-        self.texts: list[str] = []
-        self.plain: list[str] = []
-        self.flat, self.filled = np.empty(1 << 16, np.int32), 0
-        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-        chunks, ids = self.base
-        if chunks:
-            for chunk in chunks:
-                self.table[chunk]  # numbers it
-            self._add([x.tolist() for x in ids])
+        """Forget all chunks but those of the corpus's table, which are numbered and decoded once."""
+        if self.first is None:
+            self.table = _Numbers()
+            self.texts: list[str] = []
+            self.plain: list[str] = []
+            self.flat, self.filled = np.empty(1 << 16, np.int32), 0
+            self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+            chunks, ids = self.base
+            if chunks:
+                self.table.update(zip(chunks, range(len(chunks))))
+                self._add([x.tolist() for x in ids])
+            self.first = (dict(self.table), len(self.table), self.filled)
+        else:
+            numbers, known, self.filled = self.first
+            self.table = _Numbers(numbers)
+            del self.texts[known:], self.plain[known:]
+            self.flat = self.flat[: max(self.filled, 1 << 16)].copy()
+            self.start, self.count = self.start[:known].copy(), self.count[:known].copy()
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """The ids of chunks, as they are in a text."""
