@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.storage import sent
+
 TURN_BYTES = 8 << 20  # patterns that one pass over the texts carries
 
 
@@ -25,10 +27,10 @@ def held(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     for turn in range(turns):
         mine = distinct if turns == 1 else distinct.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
         words = sorted(r[0] for r in mine.collect())  # bounded by the turn
-        sent = texts.sparkSession.sparkContext.broadcast(words)
+        carried = texts.sparkSession.sparkContext.broadcast(words)
 
-        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words = sent.value
+        def look(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
+            words = carried.value
             automaton = ahocorasick.Automaton()
             for k, word in enumerate(words):
                 automaton.add_word(word, k)
@@ -43,4 +45,4 @@ def held(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
         one = texts.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, query string")
         found = one if found is None else found.unionByName(one)
-    return found.join(patterns.where("query != ''").select("query_id", "query"), "query").select("query_id", "doc_id")
+    return found.join(sent(patterns.where("query != ''").select("query_id", "query")), "query").select("query_id", "doc_id")

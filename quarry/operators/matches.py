@@ -11,26 +11,30 @@ from quarry.operators.lexical import tokenized
 from quarry.storage import sent, settle
 
 
+ONE_PASS = 1 << 20  # bytes of queries up to which all are looked for together
+
+
 def holding(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id): documents whose text has the query's text in it. Null and empty queries are in none.
+    """(query_id, doc_id): documents whose text has the query's text in it, worked out once and kept. Null and empty queries are in none.
 
-    A text that holds a query has all its tokens but perhaps the outer ones, which may be parts of words. So documents meet
-    queries on the longest inner token and are then looked through. Queries of under three tokens, which have none, are looked for all
-    together in one pass over each text (`contained`).
+    Up to ONE_PASS bytes of queries are looked for all together in one pass over the texts (`contained`), which don't move. Of more,
+    a text that holds a query has all its tokens but perhaps the outer ones, which may be parts of words. So documents meet
+    queries on the longest inner token and are then looked through. Queries of under three tokens, which have none, are looked for
+    together as above.
     """
     asked = settle(queries.where("query != ''").select("query_id", "query", tokens(F.col("query")).alias("t")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if asked.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0] <= ONE_PASS:
+        return settle(held(texts, asked))
     inner = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
     long = asked.where("size(t) >= 3").select("query_id", "query", longest.alias("term"))
     short = asked.where("size(t) < 3").select("query_id", "query")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     has = tokenized(docs, id_col, text_col).select("doc_id", F.explode("t").alias("term")).join(sent(long.select("term").distinct()), "term", "left_semi").distinct()
     pairs = settle(has.join(sent(long.select("query_id", "term")), "term").select("doc_id", "query_id"))
     named = texts.join(sent(pairs), "doc_id").join(sent(long.select("query_id", "query")), "query_id")
     found = named.where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
-    if short.isEmpty():
-        return found
-    return found.unionByName(held(texts, short))
+    return settle(found if short.isEmpty() else found.unionByName(held(texts, short)))
 
 
 def relevant_files(files: DataFrame, queries: DataFrame, most: int = 5, path_col: str = "path") -> DataFrame:

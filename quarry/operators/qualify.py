@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.metrics import fixed_sample
-from quarry.storage import sent
+from quarry.storage import sent, settle
 
 
 def _blank(text: Column) -> Column:
@@ -26,7 +26,7 @@ def unambiguous(documents: DataFrame, drop: bool = True) -> DataFrame:
     A null or blank id, or a document that stays and has no text, is an error. Ids are counted before they are shuffled, and texts move only past the few repeated ids.
     """
     _refuse(documents, {"documents without an id": _blank(F.col("doc_id").cast("string"))})
-    repeated = documents.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = settle(documents.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not drop and not repeated.isEmpty():
         raise ValueError("repeated document ids")
     left = documents.join(sent(repeated), "doc_id", "left_anti")
@@ -42,23 +42,26 @@ def qualified(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """
     asked = questions.withColumn("gold", F.array_distinct(F.coalesce("gold", F.array().cast(questions.schema["gold"].dataType))))
     pairs = asked.select("question_id", F.explode("gold").alias("doc_id"))
-    lacking = pairs.select("doc_id").distinct().join(documents.select("doc_id"), "doc_id", "left_anti")
+    wanted = settle(pairs.select("doc_id").distinct())
+    present = settle(documents.select("doc_id").join(sent(wanted), "doc_id", "left_semi"))
+    lacking = settle(wanted.join(sent(present), "doc_id", "left_anti"))
     # a null among the gold ids is in no corpus
     failed = pairs.withColumn("doc_id", F.struct("doc_id")).join(sent(lacking.select(F.struct("doc_id").alias("doc_id"))), "doc_id", "left_semi").select("question_id").distinct()
     return asked.where(F.size("gold") > 0).join(sent(failed), "question_id", "left_anti")
 
 
 def normalised(
-    questions: DataFrame, documents: DataFrame, limit: int | None = None, others: int | None = None, keep_unlabelled: bool = False, drop_repeated: bool = True
+    questions: DataFrame, documents: DataFrame, limit: int | None = None, others: int | None = None, keep_unlabelled: bool = False, drop_repeated: bool = True, may_be_none: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(questions, corpus) that fit each other.
 
     questions: question_id, question, answer, gold; ids are unique, and blank questions or answers are an error. documents: doc_id, text. limit: the first so many qualified questions by id (a trial run).
     others: beside the gold documents of those, so many others by the hash of their ids; None keeps the whole corpus. keep_unlabelled: questions without gold stay too, beyond the limit.
-    Both tables get a column: questions `qualified`, the corpus `is_gold`. No question at all, or none qualified, is an error.
+    Both tables get a column: questions `qualified`, the corpus `is_gold`. No question at all, or none qualified, is an error, unless it `may_be_none`.
     """
     if limit is not None and limit < 1:
         raise ValueError("the limit must be positive")
+    questions = settle(questions)  # looked at several times, and its gold may be dear to find
     _refuse(questions, {"questions without an id": _blank(F.col("question_id").cast("string")), "blank questions": _blank(F.col("question")), "blank answers": _blank(F.col("answer"))})
     if not questions.groupBy("question_id").count().where("count > 1").isEmpty():
         raise ValueError("repeated question ids")
@@ -66,9 +69,10 @@ def normalised(
     chosen = qualified(questions, corpus)
     if limit is not None:
         chosen = chosen.orderBy("question_id").limit(limit)
-    if chosen.isEmpty():
+    chosen = settle(chosen)
+    if not may_be_none and chosen.isEmpty():
         raise ValueError("no question has all its gold documents in the corpus")
-    gold = chosen.select(F.explode("gold").alias("doc_id")).distinct()
+    gold = settle(chosen.select(F.explode("gold").alias("doc_id")).distinct())
     chosen = chosen.withColumn("qualified", F.lit(True))
     if keep_unlabelled:
         bare = questions.where(F.coalesce(F.size("gold"), F.lit(0)) <= 0).withColumn("gold", F.coalesce("gold", F.array().cast(questions.schema["gold"].dataType)))

@@ -51,3 +51,12 @@ def test_against_brute_force(spark):
 def test_faults_are_refused(spark, questions, documents, kept):
     with pytest.raises(ValueError):
         normalised(*_sets(spark, questions, documents), **kept)
+
+
+def test_the_queries_where_no_question_qualifies(spark, tmp_path):
+    from quarry.plans import registry
+
+    spark.createDataFrame([(4, "one question here"), (5, "one question there"), (6, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one question")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert registry.QUERIES["s17_questions"](spark, str(tmp_path)).collect() == []  # document 4 stands twice
+    assert sorted(map(tuple, registry.QUERIES["s17_corpus"](spark, str(tmp_path)).collect())) == [(5, False), (6, False)]
