@@ -126,3 +126,18 @@ def test_a_judge_gives_a_verdict_for_each_passage(spark):
     assert reports.quality_scores(spark.createDataFrame([right], schema)).first()["context_precision"] == 0
     with pytest.raises(Exception, match="another number of passages"):
         reports.quality_scores(spark.createDataFrame([(*right[:-1], 2)], schema)).collect()
+
+
+def test_questions_are_grouped_many_to_a_batch(spark):
+    from pyspark.sql import functions as F
+
+    labels = spark.range(40).select((F.col("id") % 20).alias("question_id"), (F.col("id") / 20).cast("int").alias("ordinal"), F.lit("s").alias("source_id"), F.lit(0).cast("long").alias("start_offset"), F.lit(9).cast("long").alias("end_offset"), F.lit("relevant").alias("label"))
+    groups = judgments.answer_groups(labels)
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" in plan  # no Python call a question
+    assert {(r["ordinal"], r["group_no"]) for r in groups.collect()} == {(0, 0), (1, 0)} and groups.count() == 40
+    passages = labels.select("question_id", (F.col("ordinal") + 1).alias("rank"), "source_id", (F.col("start_offset") + 9 * F.col("ordinal")).alias("start_offset"), (F.col("end_offset") + 9 * F.col("ordinal")).alias("end_offset"))
+    scored = judgments.score_batch(passages, labels)
+    assert scored._jdf.queryExecution().toString().count("InArrow") == 0  # groups are worked out once and kept
+    row = scored.first()
+    assert (row["judged_questions"], row["hit"], row["precision"], row["unjudged_passages"]) == (20, 1.0, 0.5, 20)
