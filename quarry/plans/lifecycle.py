@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import lifecycle
+from quarry.operators import lifecycle, positions
 from quarry.plans.evaluation import arms
 from quarry.plans.tables import PASSAGES, QUESTIONS, bm25_sql, documents, passages, questions, table, top_sql
 
@@ -42,8 +42,7 @@ def c11_cleaned_prose(spark: SparkSession, d: str) -> DataFrame:
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id") % 3
     path = F.concat("source", F.when(n == 0, "/x.py").when(n == 1, "/x.txt").otherwise("/x.md"))
-    rows = passages(spark, d).join(documents(spark, d).select("doc_id", path.alias("path")), "doc_id")
-    return lifecycle.cleaned(rows)
+    return lifecycle.cleaned(positions.lines(documents(spark, d).withColumn("path", path), "path"))
 
 
 @query("""SELECT source AS scope, CASE WHEN count(*) % 4 = 0 THEN 'not_indexed' WHEN count(*) % 4 = 1 THEN 'unavailable' WHEN count(*) % 4 = 2 THEN 'stale' ELSE 'current' END AS state FROM documents GROUP BY source""")

@@ -130,3 +130,13 @@ def test_source_context(spark):
     rows = spark.createDataFrame([(1, 0, "short"), *[(2, n, t) for n, t in enumerate(["a", "b", " ", "d", "e", "b"])]], "doc_id long, n int, content string")
     got = {(r["doc_id"], r["n"]): r["context"] for r in windows.source_context(rows, docs, whole=10).collect()}
     assert got == {(1, 0): "short", (2, 0): "a\n\nb", (2, 1): "a\n\nb", (2, 2): "a\n\nb", (2, 3): "a\n\nb", (2, 4): "a\n\nb\n\nd", (2, 5): "a\n\nb\n\nd\n\ne"}
+
+
+def test_lines_carry_columns_and_need_no_join(spark):
+    docs = spark.createDataFrame([(1, "a\n\nb😀\nc", "x"), (2, None, "y"), (3, "", "z"), (4, "last\n", None)], "doc_id long, text string, path string")
+    found = positions.lines(docs, "path")
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == [(1, 0, 0, 1, "a", "x"), (1, 2, 3, 5, "b😀", "x"), (1, 3, 6, 7, "c", "x"), (4, 0, 0, 4, "last", None)]
+    from quarry.plans import registry
+
+    plan = registry.QUERIES["c11_cleaned_prose"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
