@@ -125,19 +125,19 @@ class Retriever:
         made._vectors = spark.read.parquet(f"{folder}/vectors") if embed else None
         return made
 
+    def _fields(self) -> tuple[lexical.Index, lexical.Index]:
+        """The indexes of the passages' texts and of their identifier words, stored when a search first asks for them and read by all later ones."""
+        if self._index is None:
+            self._index, self._symbols = lexical.build_fields(self.passages, "id", "searchable", stemmed_tokens if self.settings.stemming else tokens)
+        return self._index, self._symbols
+
     @property
     def index(self) -> lexical.Index:
-        """The passages' postings, stored when a search first asks for them and read by all later ones."""
-        if self._index is None:
-            self._index = lexical.build_index(self.passages, "id", "searchable", stemmed_tokens if self.settings.stemming else tokens)
-        return self._index
+        return self._fields()[0]
 
     @property
     def symbols(self) -> lexical.Index:
-        """The postings of the passages' identifier words."""
-        if self._symbols is None:
-            self._symbols = lexical.build_index(lexical.with_symbols(self.passages.select("id", "searchable"), "searchable"), "id", "searchable", self.index.tokenizer)
-        return self._symbols
+        return self._fields()[1]
 
     @property
     def blocks(self) -> positional.BlockIndex:

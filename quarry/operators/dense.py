@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.lexical import ranked
+from quarry.operators.segments import best_of
 
 QUERY_VECTORS = 10_000  # query vectors that one pass over the corpus carries
 _BLOCK = 1 << 22  # scores worked out at a time
@@ -27,15 +28,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size > 0, size, 1)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Whether a row is among a column's k best; of rows with equal scores, the first ones."""
-    if len(scores) <= k:
-        return np.ones(scores.shape, bool)
-    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-    above, at = scores > least, scores == least
-    return above | (at & (np.cumsum(at, axis=0) <= k - above.sum(axis=0)))
-
-
 def valid(vector: Column, width: int) -> Column:
     """Of that width, and all finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -80,7 +72,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col:
             step = max(1, _BLOCK // len(names))
             for i in range(0, len(ids), step):
                 scores = score(rows[i : i + step], matrix)
-                row, asks = np.nonzero(_best(np.round(scores, 6), k))
+                row, asks = np.nonzero(best_of(np.round(scores, 6), k))
                 yield pa.RecordBatch.from_arrays([pa.array(names[asks]), ids.take(pa.array(row + i)).combine_chunks(), pa.array(scores[row, asks])], ["query_id", "doc_id", "score"])
 
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()

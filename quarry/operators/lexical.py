@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import filled, identifier_words, pieces, tokens
+from quarry.operators import segments
 from quarry.storage import scratch, sent, settle, spread, tasks
 
 K1, B, EPSILON = 1.5, 0.75, 1e-9
@@ -34,14 +37,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, positions: bool = False) -> DataFrame:
-    """(doc_id, term, tf, dl[, positions]); summed before the shuffle. Documents without tokens have no rows."""
-    parts = tokenized(docs, id_col, text_col, tokenizer)
-    before = F.when(F.get("t", F.lit(0)) == "", 1).otherwise(0) if tokenizer is tokens else F.lit(0)
-    each = parts.where("dl > 0").select("doc_id", "dl", before.alias("before"), F.posexplode("t").alias("pos", "term")).where("term != ''")
-    sums = [F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")]
-    if positions:
-        sums.append(F.sort_array(F.collect_list(F.col("pos") - F.col("before"))).alias("positions"))
-    return each.groupBy("doc_id", "term").agg(*sums)
+    """(doc_id, term, tf, dl[, positions]), counted where the texts are. Documents without tokens have no rows."""
+    return segments.flat(tokenized(docs, id_col, text_col, tokenizer), positions)
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -67,27 +64,54 @@ def _counts(each: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Stored postings (term, doc_id, tf, dl) of a collection and its totals: texts are tokenized once for all searches."""
+    """Stored segments of a collection (`segments`) and its totals: texts are tokenized once for all searches. Fields that lie in the same segments have the same path and a prefix each."""
 
     path: str
     tokenizer: Callable[[Column], Column]
     n: int
     avgdl: float
+    prefix: str = ""
 
-    def postings(self, spark: SparkSession) -> DataFrame:
+    def segments(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """(term, doc_id, tf, dl), and ALL once a document."""
+        p, rows = self.prefix, self.segments(spark)
+        kind = rows.schema["docs"].dataType.elementType.simpleString()
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, path: str | None = None) -> Index:
-    """Tokenize all texts and store their postings at the path, or in a folder of the session's.
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    s = segments.Segment(batch, row, p)
+                    every = np.arange(len(s.docs))
+                    at = np.append(s.at, every)
+                    terms = pa.concat_arrays([s.terms.take(pa.array(np.repeat(np.arange(len(s.ends)), np.diff(s.ends, prepend=0)))), pa.array([ALL] * len(every), pa.string())])
+                    yield pa.RecordBatch.from_arrays([terms, s.docs.take(pa.array(at)), pa.array(np.append(s.tf, np.ones_like(every)), pa.int64()), pa.array(s.dl[at], pa.int32())], ["term", "doc_id", "tf", "dl"])
 
-    Each file is in order of terms, so that readers skip row groups; a common term's rows are spread over the files with its documents.
-    """
+        return rows.select("docs", *(p + c for c in ("dl", "terms", "n", "at", "tf"))).mapInArrow(flat, f"term string, doc_id {kind}, tf long, dl int")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens, path: str | None = None) -> Index:
+    """Tokenize all texts and store their segments at the path, or in a folder of the session's. Nothing is shuffled."""
     spark = docs.sparkSession
     path = path or f"{scratch(spark, 'postings')}/rows"
-    found = _counts(tokenized(docs, id_col, text_col, tokenizer).select("doc_id", "dl", _terms()))
-    found.sortWithinPartitions("term").select("term", "doc_id", "tf", "dl").write.parquet(path)
-    return Index(path, tokenizer, *_totals(spark.read.parquet(path)))
+    segments.store(segments.make(tokenized(docs, id_col, text_col, tokenizer)), path)
+    return Index(path, tokenizer, *segments.totals(spark.read.parquet(path)))
+
+
+def build_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> tuple[Index, Index]:
+    """The indexes of the content and of its identifier words, a document's in the same segment, so that their scores are summed there."""
+    spark = docs.sparkSession
+    path = f"{scratch(spark, 'fields')}/rows"
+    cut, count = (pieces, filled) if tokenizer is tokens else (tokenizer, F.size)
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    words = lambda text: F.coalesce(cut(text), F.array().cast("array<string>"))
+    parts = texts.select("doc_id", words(F.col("text")).alias("t"), words(identifier_words(F.col("text"))).alias("s_t"))
+    parts = parts.select("doc_id", count(F.col("t")).cast("int").alias("dl"), "t", count(F.col("s_t")).cast("int").alias("s_dl"), "s_t")
+    segments.store(segments.make(parts, ("", "s_")), path)
+    stored = spark.read.parquet(path)
+    return Index(path, tokenizer, *segments.totals(stored)), Index(path, tokenizer, *segments.totals(stored, "s_"), "s_")
 
 
 def _totals(found: DataFrame) -> tuple[int, float]:
@@ -95,24 +119,47 @@ def _totals(found: DataFrame) -> tuple[int, float]:
     return n, avgdl or 1.0
 
 
+def _idf(n: int) -> Column:
+    return F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+
+
+def term_weights(index, asked: DataFrame) -> DataFrame:
+    """(query_id, term, w) of the asked terms (query_id, term, qtf) that stored segments have; index: its path, n and prefix, if it has one."""
+    prefix = getattr(index, "prefix", "")
+    df = segments.frequencies(asked.sparkSession.read.parquet(index.path), sent(asked.select("term").distinct()), prefix)
+    return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * _idf(index.n)).alias("w"))
+
+
+def _index_scores(fields: Sequence[Index], queries: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """Scores summed over fields of the same segments: where the postings are, so that only each segment's k best of a query move."""
+    weights = None
+    for number, index in enumerate(fields):
+        asked = settle(query_terms(queries, tokenizer=index.tokenizer))
+        one = term_weights(index, asked).withColumn("field", F.lit(number))
+        weights = one if weights is None else weights.unionByName(one)
+    stored = fields[0].segments(queries.sparkSession)
+    return segments.scored(stored, settle(weights), [f.prefix for f in fields], [f.avgdl for f in fields], k, k1, b, EPSILON)
+
+
 def bm25_scores(
-    docs: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text", within: DataFrame | None = None
+    docs: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = tokens, id_col: str = "doc_id", text_col: str = "text", within: DataFrame | None = None, best: int | None = None
 ) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with the query. docs: a table of texts, or a stored index of one.
 
     Of a table's texts, which are tokenized once, only tokens that some query has leave the scan, summed by document. Scores are
     summed where a document's rows are, so query terms times documents never move: only each task's best do, when ranked.
-    within: the documents (doc_id) of an index that are searched; counts are then those of these documents.
+    within: the documents (doc_id) of an index that are searched; counts are then those of these documents. best: so many of a query are
+    enough; the whole index then gives each segment's best only, as all scores are as many as queries times documents.
     """
     spark = queries.sparkSession
+    if isinstance(docs, Index) and within is None:
+        return _index_scores([docs], queries, best, k1, b)
     asked = settle(query_terms(queries, tokenizer=docs.tokenizer if isinstance(docs, Index) else tokenizer))
     few = asked.count() <= QUERY_ROWS
     hint = F.broadcast if few else (lambda t: t)
     if isinstance(docs, Index):
-        n, avgdl, held = docs.n, docs.avgdl, docs.postings(spark)
-        if within is not None:
-            held = held.join(sent(within.select("doc_id").distinct()), "doc_id", "left_semi")
-            n, avgdl = _totals(held)
+        held = docs.postings(spark).join(sent(within.select("doc_id").distinct()), "doc_id", "left_semi")
+        n, avgdl = _totals(held)
         terms = held.join(hint(asked.select("term").distinct()), "term", "left_semi")
     else:
         wanted = asked.select("term").union(spark.createDataFrame([(ALL,)], "term string")).distinct()
@@ -121,8 +168,7 @@ def bm25_scores(
         n, avgdl = _totals(found)
         terms = found.where(F.col("term") != ALL)
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of a query at most
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    weights = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * _idf(n)).alias("w"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)) + EPSILON)
     terms = terms.repartition(tasks(spark), "doc_id")
     return terms.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > EPSILON)
@@ -132,7 +178,7 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, k: int, **how) -> DataFram
     """(query_id, doc_id, score, rank, distance); distance falls as the score rises."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return ranked(bm25_scores(docs, queries, **how), k).withColumn("distance", F.exp(-0.1 * F.col("score")))
+    return ranked(bm25_scores(docs, queries, best=k, **how), k).withColumn("distance", F.exp(-0.1 * F.col("score")))
 
 
 def with_symbols(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,7 +187,9 @@ def with_symbols(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fields_search(docs: DataFrame | tuple[Index, Index], queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """BM25 over the content and over its identifier words, summed by document. docs: a table, or the two fields' indexes."""
+    """BM25 over the content and over its identifier words, summed by document. docs: a table, or the two fields' indexes, best of one `build_fields`."""
+    if isinstance(docs, tuple) and docs[0].path == docs[1].path and how.get("within") is None:
+        return ranked(_index_scores(docs, queries, k, how.get("k1", K1), how.get("b", B)), k)
     content, symbols = docs if isinstance(docs, tuple) else (docs.select(id_col, text_col), with_symbols(docs.select(id_col, text_col), text_col))
     how = how | {"id_col": id_col, "text_col": text_col}
     both = bm25_scores(content, queries, **how).unionByName(bm25_scores(symbols, queries, **how))

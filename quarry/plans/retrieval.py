@@ -9,7 +9,7 @@ from quarry.functions.text import identifier_words, tokens
 from quarry.operators import dense, fusion, lexical, positional
 from quarry.operators.lexical import ranked
 from quarry.operators.matches import relevant_files
-from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, block_index, bm25_sql, documents, gold, lexical_index, query_vectors, questions, table, top_sql, vectors
+from quarry.plans.tables import GOLD, QUESTIONS, TOKENS, block_index, bm25_sql, documents, field_indexes, gold, lexical_index, named, query_vectors, questions, table, top_sql, vectors
 from quarry.storage import sent, settle
 
 QUERIES, ORACLES = {}, {}
@@ -73,7 +73,7 @@ def _channels(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, Data
     """Dense and lexical lists for the same questions: question i asks with vector i."""
     asked = vectors(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(sent(questions(spark, d).select("query_id")), "query_id", "left_semi")
     near = dense.search(vectors(spark, d), asked, k)
-    return near, lexical.bm25(lexical_index(spark, d), questions(spark, d), k)
+    return settle(near), settle(lexical.bm25(lexical_index(spark, d), questions(spark, d), k))
 
 
 _CHANNELS = f"""{QUESTIONS}, {bm25_sql()},
@@ -109,15 +109,16 @@ _BALANCED = """turns AS (SELECT query_id, doc_id, min((rank, channel)) AS turn F
 
 @query(f"WITH {_CHANNELS}, {_rrf_sql(1.0, 1.0)}, {_BALANCED} SELECT query_id, doc_id, fused_rank, shortlist_rank FROM shortlist")
 def q9_balanced(spark: SparkSession, d: str) -> DataFrame:
-    channels = [settle(c) for c in _channels(spark, d)]
+    channels = _channels(spark, d)
     return fusion.balanced(fusion.rrf(*channels), channels, 12).select("query_id", "doc_id", "fused_rank", "shortlist_rank")
 
 
 def hybrid(spark: SparkSession, d: str, candidates: int = 12, top: int = 5) -> DataFrame:
     """Dense and lexical search, fusion, balanced shortlist, reranking by the stand-in scorer, final ranks."""
-    channels = [settle(c) for c in _channels(spark, d)]
+    channels = _channels(spark, d)
     shortlist = fusion.balanced(fusion.rrf(*channels), channels, candidates)
-    texts = documents(spark, d).select("doc_id", "source", F.col("text").alias("content"))
+    shortlist = settle(shortlist)
+    texts = settle(named(documents(spark, d), shortlist).select("doc_id", "source", F.col("text").alias("content")))
     full = shortlist.join(texts, "doc_id", "left").join(sent(questions(spark, d)), "query_id")
     full = full.withColumn("content", F.concat(F.lit("Source: "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
     score = fusion.keyword_overlap(F.col("query"), F.col("content"), tokens)
@@ -149,7 +150,7 @@ _SYMBOLS = r"regexp_replace(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z
     b AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT * FROM c UNION ALL SELECT * FROM s) GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 5) AS score FROM {top_sql("b", 5)}""")
 def q3_two_fields(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.fields_search((lexical_index(spark, d), lexical_index(spark, d, "symbols")), questions(spark, d), 5).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return lexical.fields_search(field_indexes(spark, d), questions(spark, d), 5).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH ph AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS p FROM benchmark), dt AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
@@ -182,7 +183,7 @@ def q4_quoted(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("query")
     forms = (F.concat(F.lit('"'), text, F.lit('"')), F.concat(F.lit('"'), text, F.lit(' zzyzx"')), text)
     every = asked.select(F.posexplode(F.array(*forms)).alias("k", "form"), "query_id").select((F.col("query_id") * 3 + F.col("k")).alias("query_id"), F.col("form").alias("query"))
-    found = positional.quoted_search(block_index(spark, d), (lexical_index(spark, d), lexical_index(spark, d, "symbols")), every, 5)
+    found = positional.quoted_search(block_index(spark, d), field_indexes(spark, d), every, 5)
     return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), "mode", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import lexical, positional, positions
 from quarry.operators.lifecycle import source_stamp, stamp_digest
 from quarry.operators.matches import holding
-from quarry.storage import there
+from quarry.storage import sent, settle, there
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +32,22 @@ def query_vectors(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFram
     return vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_indexes: dict[tuple[str, str, str], lexical.Index | positional.BlockIndex] = {}
+_indexes: dict[tuple[str, str, str], lexical.Index | positional.BlockIndex | tuple[lexical.Index, lexical.Index]] = {}
 
 
-def lexical_index(spark: SparkSession, sf_dir: str, field: str = "text") -> lexical.Index:
-    """The stored index of the documents' texts, or of their identifier words (`symbols`); built when a session first asks for it, and again when the files change."""
-    key = spark.sparkContext.applicationId, _stamp(spark, sf_dir), field
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the documents' texts; built when a session first asks for it, and again when the files change."""
+    key = spark.sparkContext.applicationId, _stamp(spark, sf_dir), "text"
     if key not in _indexes or not there(spark, _indexes[key].path):  # a shared folder may be emptied between queries
-        rows = documents(spark, sf_dir).select("doc_id", "text")
-        _indexes[key] = lexical.build_index(lexical.with_symbols(rows) if field == "symbols" else rows)
+        _indexes[key] = lexical.build_index(documents(spark, sf_dir).select("doc_id", "text"))
+    return _indexes[key]
+
+
+def field_indexes(spark: SparkSession, sf_dir: str) -> tuple[lexical.Index, lexical.Index]:
+    """The stored indexes of the documents' texts and of their identifier words, in the same way."""
+    key = spark.sparkContext.applicationId, _stamp(spark, sf_dir), "fields"
+    if key not in _indexes or not there(spark, _indexes[key][0].path):
+        _indexes[key] = lexical.build_fields(documents(spark, sf_dir).select("doc_id", "text"))
     return _indexes[key]
 
 
@@ -91,3 +98,8 @@ def bm25_sql(docs: str = "SELECT doc_id, text FROM documents", name: str = "bm25
 
 def top_sql(source: str, k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {source} QUALIFY rank <= {k})"
+
+
+def named(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of docs that hits name by doc_id: hits of stated queries are few and are sent, so that texts don't move."""
+    return docs.join(sent(settle(hits.select("doc_id").distinct())), "doc_id", "left_semi")
