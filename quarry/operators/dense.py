@@ -13,7 +13,7 @@ from quarry.operators.lexical import ranked
 from quarry.operators.segments import best_of
 
 QUERY_VECTORS = 10_000  # query vectors that one pass over the corpus carries
-_BLOCK = 1 << 22  # scores worked out at a time
+_BLOCK = 1 << 19  # scores worked out at a time: 4 MiB, and a few times that while the best are found
 
 #: Scores that rise with nearness, of a block of rows x and all queries q: cosine is one minus its distance, the others the distance turned round. A zero vector is like no other.
 METRICS = {
