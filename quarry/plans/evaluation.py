@@ -168,7 +168,7 @@ def e3_scores(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, arm AS channel, rank, coalesce(rank <= 5, false) AS hit FROM (SELECT query_id, arm FROM q, (SELECT DISTINCT arm FROM ranked)) LEFT JOIN f USING (query_id, arm)""")
 def e30_anchor_rank(spark: SparkSession, d: str) -> DataFrame:
     """Each question's text is its anchor; both arms are channels."""
-    hits = arms(spark, d).join(documents(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("arm", "channel")
+    hits = sent(arms(spark, d)).join(documents(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("arm", "channel")
     return reports.anchor_ranks(hits, questions(spark, d).where("query != ''").withColumnRenamed("query", "anchor"))
 
 
@@ -186,7 +186,7 @@ _GRADES = f"""{_ARMS}, t5 AS (SELECT query_id, string_agg(lower(text), ' ' ORDER
 
 
 def _grades(spark: SparkSession, d: str) -> DataFrame:
-    top = arms(spark, d).where("arm = 'score' and rank <= 5").join(documents(spark, d).select("doc_id", "text"), "doc_id")
+    top = sent(arms(spark, d).where("arm = 'score' and rank <= 5")).join(documents(spark, d).select("doc_id", "text"), "doc_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.lower("text").alias("t"))))
     body = top.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("body"))
     asked = questions(spark, d).join(body, "query_id").withColumn("query", F.lower("query"))
@@ -207,7 +207,7 @@ def e20_keyword_grade(spark: SparkSession, d: str) -> DataFrame:
 def e19_containment(spark: SparkSession, d: str) -> DataFrame:
     from quarry.functions.text import collapsed
 
-    top = arms(spark, d).where("arm = 'score'").join(documents(spark, d).select("doc_id", "text"), "doc_id").join(sent(questions(spark, d)), "query_id")
+    top = sent(arms(spark, d).where("arm = 'score'")).join(documents(spark, d).select("doc_id", "text"), "doc_id").join(sent(questions(spark, d)), "query_id")
     return top.select("query_id", "doc_id", F.lower(collapsed(F.col("text"))).contains(F.lower(collapsed(F.col("query")))).alias("contained"))
 
 
@@ -215,7 +215,7 @@ def e19_containment(spark: SparkSession, d: str) -> DataFrame:
     h AS (SELECT query_id, min(rank) AS r FROM m WHERE len(list_filter(a, lambda w: length(w) > 3)) > 0 AND len(list_filter(a, lambda w: length(w) > 3 AND contains(body, w))) / len(list_filter(a, lambda w: length(w) > 3)) >= 0.5 GROUP BY query_id)
     SELECT count(*) AS n, count(*) FILTER (r = 1) AS hit1, count(r) AS hit5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM q LEFT JOIN h USING (query_id)""")
 def e36_token_hits(spark: SparkSession, d: str) -> DataFrame:
-    top = arms(spark, d).where("arm = 'score' and rank <= 5").join(documents(spark, d).select("doc_id", F.lower("text").alias("body")), "doc_id")
+    top = sent(arms(spark, d).where("arm = 'score' and rank <= 5")).join(documents(spark, d).select("doc_id", F.lower("text").alias("body")), "doc_id")
     asked = questions(spark, d).withColumn("long", F.filter(tokens(F.col("query")), lambda w: F.length(w) > 3))
     found = F.size(F.filter("long", lambda w: F.col("body").contains(w))) / F.size("long")
     first = top.join(sent(asked), "query_id").where((F.size("long") > 0) & (found >= 0.5)).groupBy("query_id").agg(F.min("rank").alias("r"))
@@ -430,7 +430,7 @@ def e35_smoke(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ARMS} SELECT t.query_id, count(*) AS passage_count, count(DISTINCT source) AS source_count FROM top t JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY t.query_id""")
 def e18_batch(spark: SparkSession, d: str) -> DataFrame:
     """All questions of a batch in one job: passages and distinct sources of each."""
-    top = arms(spark, d).where("arm = 'score' and rank <= 5").join(documents(spark, d).select("doc_id", "source"), "doc_id")
+    top = sent(arms(spark, d).where("arm = 'score' and rank <= 5")).join(documents(spark, d).select("doc_id", "source"), "doc_id")
     return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("passage_count"), F.count_distinct("source").alias("source_count"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import lifecycle, positions
 from quarry.plans.evaluation import arms
 from quarry.plans.tables import PASSAGES, QUESTIONS, bm25_sql, documents, passages, questions, table, top_sql
+from quarry.storage import sent
 
 QUERIES, ORACLES = {}, {}
 
@@ -85,7 +86,7 @@ _CANDIDATES = f"{QUESTIONS}, {bm25_sql()}, top AS {top_sql('bm25', 10)}"
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     top = arms(spark, d).where("arm = 'score'").select("query_id", "doc_id", F.col("rank").alias("shortlist_rank"))
-    return top.join(documents(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").join(questions(spark, d), "query_id")
+    return sent(top).join(documents(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").join(sent(questions(spark, d)), "query_id")
 
 
 @query(f"""WITH {_CANDIDATES}, s AS (SELECT t.query_id, t.doc_id, rank AS shortlist_rank, length(text) AS score, count(*) OVER (PARTITION BY t.query_id) AS n, contains(query, 'e') AND length(query) % 2 = 0 AS fails FROM top t JOIN documents USING (doc_id) JOIN q ON t.query_id = q.query_id)

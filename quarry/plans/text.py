@@ -327,5 +327,5 @@ def q22_located(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {QUESTIONS}, {bm25_sql()}, top AS {top_sql("bm25", 3)}
     SELECT query_id, string_agg('[' || rank || '] ' || source || ' (L1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN documents USING (doc_id) GROUP BY query_id""")
 def a1_passages(spark: SparkSession, d: str) -> DataFrame:
-    top = arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm").join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.col("text").alias("content")), "doc_id")
+    top = sent(arms(spark, d).where("arm = 'score' and rank <= 3").drop("arm")).join(documents(spark, d).select("doc_id", F.col("source").alias("name"), F.col("text").alias("content")), "doc_id")
     return windows.rendered(top.withColumn("location", F.lit("L1")))
