@@ -42,8 +42,7 @@ def segments(texts: DataFrame, words: int, hot: np.ndarray, fragments: int = FRA
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes, at, parts = [], [], []
-            for t in batch["t"]:
-                whole = overlap.shingle_set(t, words)
+            for whole in overlap.shingle_sets(batch["t"], words):
                 node, place = overlap.node_of(whole), fragment_of(whole, hot, fragments)
                 for k in np.unique(place).tolist():
                     nodes.append(node)

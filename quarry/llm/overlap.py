@@ -14,21 +14,24 @@
    first only those that join all that the bound lets pass, then all that are left between components. A bucket over `limit` is cut
    by bands of set sizes first: sets of bands that aren't neighbours can't be similar and never meet.
 
-Similarity is that of 64-bit hashes of the shingles. Candidates from elsewhere can be given; they are checked like the others.
+Similarity is that of 64-bit hashes of the shingles, which are sums over the hashes of their words: a word is hashed once in some MB of
+text, and a shingle's words once multiplied by their places, all texts of a batch together. Candidates from elsewhere can be given; they are checked like the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, gathered, settle, stored, tasks, tidy, whole_row
-from quarry.llm.simhash import _join, _signed, shingle_hashes
+from quarry.llm.simhash import SEED, _join, _signed
 
 SMALL = 8  # texts of a bucket whose pairs are all given at once
 LIMIT = 20_000  # texts of a shard of a large bucket
@@ -40,10 +43,52 @@ CLASSES = 512  # parity bits of a set at least, and those that a cell compares
 _BATCH = 50_000  # rows of whole buckets handled at a time
 _CHECKS = 1_000  # pairs whose sets a task holds in turn
 _PAIRS = 1 << 18  # pairs looked at at a time
+_TEXT = 1 << 22  # characters of whole texts hashed at a time
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words, True))
+    return next(shingle_sets([text], words))
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, as sorted hashes; a text of fewer words is one shingle, one of none has none."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= _TEXT:
+            yield from _hashed(held, words)
+            held, size = [], 0
+    yield from _hashed(held, words)
+
+
+def _hashed(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))  # A-Z and ASCII white space only
+    found = pc.ascii_split_whitespace(bare)
+    coded = found.flatten().dictionary_encode()
+    known = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    each = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in known), np.uint64, len(known))[coded.indices.to_numpy()]
+    place = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(words)], np.uint64)  # odd: shingles that differ in one word never meet
+    sums = each * place[0]
+    for k in range(1, min(words, len(each))):
+        sums[:-k] += each[k:] * place[k]
+    sums = _mixed(sums)
+    at, blank = found.offsets.to_numpy().tolist(), pc.equal(bare, "").to_pylist()
+    for start, end, none in zip(at, at[1:], blank):
+        if none:
+            yield sums[:0]
+        elif end - start < words:
+            yield _mixed((each[start:end] * place[: end - start]).sum(keepdims=True) + np.uint64(words - (end - start)))
+        else:
+            ordered = np.sort(sums[start : end - words + 1])
+            yield ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The sums with all their bits spread over all places (MurmurHash3's last steps), one to one."""
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -87,7 +132,9 @@ def prefix(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     n = len(hashes)
     if len(hot) and n:
         at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-        hashes = hashes[np.argsort(np.where(hot[at] == hashes, rank[at], 0), kind="stable")]
+        often = hot[at] == hashes
+        if often.any():
+            hashes = np.concatenate([hashes[~often], hashes[often][np.argsort(rank[at[often]])]])
     return hashes[: n - -(-4 * n // 5) + 1] if n else hashes
 
 
@@ -133,8 +180,8 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray,
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = Often()
         for batch in batches:
-            for t in batch["t"]:
-                often.add(shingle_set(t, words))
+            for s in shingle_sets(batch["t"], words):
+                often.add(s)
         keys, times = often.found(OFTEN)
         yield pd.DataFrame({"h": keys.view(np.int64), "n": times})
 
@@ -320,7 +367,7 @@ def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> D
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [shingle_set(t, words) for t in batch["t"]]
+            made = list(shingle_sets(batch["t"], words))
             yield pd.DataFrame({"node": [node_of(s) for s in made], "s": [s.tobytes() for s in made]})
 
     asked = sent_whole(of(nodes, touched(pairs)).select("id").distinct())
@@ -425,10 +472,11 @@ def _cells(members: DataFrame, links: DataFrame, nodes: DataFrame, limit: int) -
 def shingle_table(texts: DataFrame, words: int, limit: int = LIMIT, print_of=None, hot: tuple | None = None) -> DataFrame:
     """(doc_id, node, n, parity, prefix, salt, earlier, bits) of texts (doc_id, t), stored. Texts with equal sets are one node."""
     hot, rank, times = hot or hot_shingles(texts, words)
+    large = bool((times > limit).any())
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [shingle_set(t, words) for t in batch["t"]]
+            made = list(shingle_sets(batch["t"], words))
             named = [node_of(s) for s in made]
             first = [prefix(s, hot, rank) for s in made]
             yield pd.DataFrame(
@@ -438,7 +486,7 @@ def shingle_table(texts: DataFrame, words: int, limit: int = LIMIT, print_of=Non
                     "n": [len(s) for s in made],
                     "parity": [parities(s) for s in made],
                     "prefix": [p.view(np.int64) for p in first],
-                    "salt": [s if s.any() else s[:0] for s in (salts(p, node, hot, times, limit) for p, node in zip(first, named))],  # mostly none
+                    "salt": [s if s.any() else s[:0] for s in (salts(p if large else p[:0], node, hot, times, limit) for p, node in zip(first, named))],  # mostly none
                     "earlier": [before(p, hot).view(np.int64) for p in first],
                     "bits": [print_of(s) if print_of else 0 for s in made],
                 }

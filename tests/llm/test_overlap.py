@@ -123,6 +123,34 @@ def test_parities_rule_out_no_similar_pair():
     assert ruled > 1000
 
 
+def test_sets_are_those_of_the_words(monkeypatch):
+    """Against hashes of the joined words, in one batch and in many, with odd white space, short texts and repeats."""
+    r = random.Random(3)
+    space = (" ", "  ", "\n", "\t", "\x0b", "\x0c\r")
+    texts = [None, "", " \n", "a", "A", "b a", " a\tB ", "a b", "a\x1cb c\xa0d", "É b", "é b", "a b c d e", "x A b C d e", "a b c d e x"]
+    texts += ["".join(r.choice("aBcé\U0001f600") + r.choice(space) for _ in range(r.choice((2, 5, 6, 30, 200)))) for _ in range(150)]
+    for words in (1, 2, 5):
+        expected = [set(simhash.shingle_hashes(t, words, True).tolist()) for t in texts]
+        whole = [s.tolist() for s in overlap.shingle_sets(texts, words)]
+        monkeypatch.setattr(overlap, "_TEXT", 50)
+        assert [s.tolist() for s in overlap.shingle_sets(texts, words)] == whole
+        monkeypatch.undo()
+        assert all(s == sorted(set(s)) for s in whole)
+        assert [len(s) for s in whole] == [len(s) for s in expected]
+        for i in range(0, len(texts), 3):
+            assert [len(set(whole[i]) & set(s)) for s in whole] == [len(expected[i] & s) for s in expected]
+    assert not list(overlap.shingle_sets([], 5))
+
+
+def test_a_batch_hashes_each_word_once(monkeypatch):
+    """Not each of the 5-word shingles, which are as many as the words and five times as long."""
+    calls, real = [], overlap.xxhash.xxh64_intdigest
+    monkeypatch.setattr(overlap.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or real(*a))
+    r = random.Random(1)
+    assert len(overlap.shingle_set(" ".join(f"w{r.randrange(50)}" for _ in range(5000)), 5)) > 4900
+    assert len(calls) < 100
+
+
 def test_odd_rows(spark):
     long = "word and more words of a long text. " * 3000
     rows = [(1, "a b"), (1, "other words here"), (2, "A  b"), (3, ""), (4, None), (None, "a b"), (5, long), (6, long + "x")]
