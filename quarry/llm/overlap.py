@@ -3,7 +3,7 @@
 1. Prefix filter: all texts order their shingles in one way. Two sets with a similarity of at least 4/5 share one of the
    first n - ceil(4 n / 5) + 1 shingles of each, whatever the order, so no such pair is left out. The order puts shingles
    that many texts have last, so that boilerplate makes no large buckets. Each task counts all its texts' shingles and gives those
-   that it meets often; their sums over all tasks decide the cost and no link.
+   that it meets more than once; their sums over all tasks decide the cost and no link.
 2. Buckets of texts that share such a shingle: small ones give all their pairs, large ones the pairs with their first text.
    A bucket that the counts expect to be over `limit` is dealt as several, whose first texts are paired in turn.
    A frequent shingle that all its texts have right after the same other one in the order adds no pair to that one's bucket, and goes.
@@ -35,9 +35,9 @@ from quarry.llm.simhash import SEED, _join, _signed
 
 SMALL = 8  # texts of a bucket whose pairs are all given at once
 LIMIT = 20_000  # texts of a shard of a large bucket
-OFTEN = 8  # texts of a task that have a shingle for it to be counted over all
+OFTEN = 2  # texts of a task that have a shingle for it to be counted over all
 _BLOCK = 1 << 22  # shingles counted at a time
-MOST_HOT = 100_000  # shingles that go last
+MOST_HOT = 100_000  # shingles that go last, or a few more
 MOST_IDS = 2_000_000  # ids that are broadcast
 CLASSES = 512  # parity bits of a set at least, and those that a cell compares
 _BATCH = 50_000  # rows of whole buckets handled at a time
@@ -172,9 +172,9 @@ class Often:
 
 
 def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles that OFTEN texts of some task have, at most MOST_HOT of the most frequent over all texts, their places in the order, and their counts.
+    """The most frequent shingles over all texts, about MOST_HOT at most, their places in the order, and their counts over the tasks OFTEN of whose texts have them.
 
-    A shingle that more than OFTEN texts a task have on average is among them, so what is left is rare for the size of the corpus.
+    How many have each count tells which are the most frequent, so no task sorts them all. Of those with the last count, as many as fit are taken by their hashes.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +186,14 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray,
         yield pd.DataFrame({"h": keys.view(np.int64), "n": times})
 
     seen = texts.select("t").mapInPandas(tidy(count), "h long, n long")
-    often = seen.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    summed = settle(seen.groupBy("h").agg(F.sum("n").alias("n")))
+    room, last, parts = MOST_HOT, 0, 0
+    for times, many in sorted(((r["n"], r["count"]) for r in summed.groupBy("n").count().collect()), reverse=True):
+        last, parts = times, min(1 << 20, (room << 20) // many)
+        room -= many
+        if room <= 0:
+            break
+    often = summed.where((F.col("n") > last) | (F.col("n") == last) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < parts)).orderBy(F.desc("n"), "h").collect()
     hot = np.array([r["h"] for r in often], np.int64).view(np.uint64)
     times = np.array([r["n"] for r in often], np.int64)
     rank = np.arange(len(hot), 0, -1)

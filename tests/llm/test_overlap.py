@@ -151,6 +151,23 @@ def test_a_batch_hashes_each_word_once(monkeypatch):
     assert len(calls) < 100
 
 
+def test_shingles_frequent_over_all_tasks_go_last(spark, monkeypatch):
+    """Those that few texts of each task have too; and the most frequent ones if not all fit."""
+    r = random.Random(2)
+    line = lambda k: " ".join(f"l{k}x{i}" for i in range(5))
+    texts = [f"{line('a')} {r.random()} {r.random()} " + (line("b") if i % 2 else line(i)) for i in range(24)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(4, "doc_id").coalesce(4)
+    a, b = (overlap.shingle_set(line(k), 5)[0] for k in "ab")
+    hot, rank, times = overlap.hot_shingles(rows, 5)
+    assert hot.tolist() == sorted([a, b])
+    counts = dict(zip(hot.tolist(), times.tolist()))
+    assert counts[a] == 24 and 9 <= counts[b] <= 12  # a task that has one b leaves it out
+    assert dict(zip(hot.tolist(), rank.tolist())) == {a: 2, b: 1}
+    monkeypatch.setattr(overlap, "MOST_HOT", 1)
+    assert overlap.hot_shingles(rows, 5)[0].tolist() == [a]
+    assert all(len(x) == 0 for x in overlap.hot_shingles(rows.limit(0), 5))
+
+
 def test_odd_rows(spark):
     long = "word and more words of a long text. " * 3000
     rows = [(1, "a b"), (1, "other words here"), (2, "A  b"), (3, ""), (4, None), (None, "a b"), (5, long), (6, long + "x")]
