@@ -19,8 +19,9 @@ import json
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, count as numbers, islice
 
 import numpy as np
 import pandas as pd
@@ -82,12 +83,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     group_end = np.minimum((np.arange(n) // GROUP + 1) * GROUP, n)
     best = _selectors(values)
-    hop = np.minimum(np.arange(n) + _COUNT[best], group_end).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
+    hop = np.minimum(np.arange(n) + _COUNT[best], group_end)
+    begins, at = np.zeros(n, bool), np.arange(0, n, GROUP)
+    while len(at):  # from word to word, in all groups at once
+        begins[at] = True
         at = hop[at]
-    starts = np.array(starts, np.int64)
+        at = at[(at % GROUP != 0) & (at < n)]
+    starts = np.flatnonzero(begins)
     selector = best[starts].astype(np.int64)
     extra = selector == ESCAPE
     place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(extra)[:-1]))
@@ -189,16 +191,15 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 #: Words of one pre-token of Latin letters, or two with marks after them.
 _SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?%&*$#|]+)?")
-
-
-class _Numbers(dict):
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
+#: Pre-tokens by which one ends, in any text, between a letter and a mark of _END.
+_SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,;:!?%&*$#|])"
+#: Capitals that don't compose with a combining mark as their small letters do, so that case and NFC don't commute.
+_CAPITAL = r"[HJTWY][^\x{0}-\x{2ff}]*[\x{308}\x{30a}\x{30c}\x{331}]"
 
 
 class WordTokenizer:
-    """Ids as the tokenizers library gives them; a word between ASCII white space is tokenized once.
+    """Ids as the tokenizers library gives them; a word between ASCII white space is tokenized once, without the marks after it if those are pre-tokens of their own.
 
     Only for vocabularies whose normaliser folds white space and whose pre-tokenizer drops it (checked on loading):
     there no token reaches over it. Others are tokenized text by text.
@@ -211,6 +212,7 @@ class WordTokenizer:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec["added_tokens"])
+        self.cuts = splits[0].get("pattern") == {"Regex": _SPLITS}
         self.added = [t["content"].lower() for t in spec["added_tokens"]]  # they match a text as it is, not its lower case
         vocabulary = self.model.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -218,7 +220,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.filled = _Numbers(), 0
+        self.table, self.filled = defaultdict(numbers().__next__), 0  # words are numbered as they come
         self.flat = np.empty(1 << 16, np.uint32)
         self.start, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)  # ids of a batch beyond _ROOM_IDS at most, and a text has under 2**31 characters
 
@@ -258,12 +260,15 @@ class WordTokenizer:
         self.filled += total
 
     def _words(self, texts: list[str]) -> pa.ListArray:
-        """The words of each text, A-Z in lower case as the normaliser has them in the end, but in texts with an added token in any case."""
+        """The words of each text, A-Z in lower case as the normaliser has them in the end and marks cut off; they stay as they are in texts with an added token in any case, or a capital of _CAPITAL."""
         whole = pa.array(texts, pa.string())
         low = pc.ascii_lower(whole)
+        stays = pc.match_substring_regex(whole, _CAPITAL)
         for token in self.added:
-            low = pc.if_else(pc.match_substring(low, token, ignore_case=True), whole, low)
-        return pc.ascii_split_whitespace(low)
+            stays = pc.or_(stays, pc.match_substring(low, token, ignore_case=True))
+        if self.cuts and whole.nbytes < 1 << 30:  # spaces make texts longer, and Arrow's have 2**31 bytes at most
+            low = pc.replace_substring_regex(low, _END, r"\1 \2")
+        return pc.ascii_split_whitespace(pc.if_else(stays, whole, low))
 
     @staticmethod
     def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Clashing column names, odd markup, special tokens and odd rows through the whole pipeline."""
 
+import json
 import random
 import time
 from html.parser import HTMLParser
@@ -57,6 +58,31 @@ def test_special_tokens_are_the_library(spark):
         assert ids[at[k] : at[k + 1]].tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_are_cut_off_words_and_ids_are_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, used, r = Tokenizer.from_file(path), packed_ids.WordTokenizer(path), random.Random(5)
+    used.encode(["Zwölfte zwölfte, zwölfte. zwölfte!?", "zwölfte; zwölfte:"])
+    assert set(used.table) == {"zwölfte", ",", ".", "!?", ";", ":"}  # one entry, whatever marks follow
+    bits = [*".,;:!?%&*$#|'", "'s", "'ll", "s", "T", "re", "word", "É", "ä", "ß", "İ", "ı", "ɏ", "ɐ", "×", "Σ", "ж", "字", "e\u0301", "\u0338", "\u0308", "7", "x1", "=", "<", "|>", "_", "-", " ", "\n", "\x1c", "\u00a0", "\u200b", "😀", "\x00"]
+    texts = ["T\u0308 t\u0308", "H\u0331a", "J\u030c", "W\u030a", "Y\u030a", "T\u0334\u0308", "T\u0323\u0308"]  # small ones compose, capitals don't
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(6000)]
+    ids, sizes = used.encode(texts)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
+def test_marks_stay_where_they_are_no_pretokens(tmp_path):
+    path = tmp_path / "other.json"
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "\\S+"}
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["One, two. Three!? x1. end", "t|> a.b. <|endoftext|> it's,"]
+    ids, sizes = packed_ids.WordTokenizer(str(path)).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids]
+
+
 class _Text(HTMLParser):
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
